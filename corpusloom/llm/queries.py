@@ -12,6 +12,8 @@ from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.sharding import shard_rows
 from corpusloom.llm.token_counts import length_histogram
 from corpusloom.llm.token_pieces import tokenizer_path
+from corpusloom.llm.substring_dedup import remove_repeated_substrings
+from corpusloom.llm.warc import archive_pages
 from corpusloom.session import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -25,6 +27,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
@@ -40,8 +50,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
+    "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
 }
 
