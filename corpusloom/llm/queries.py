@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.exact_dedup import exact_duplicates
+from corpusloom.llm.language_id import identify_language
 from corpusloom.llm.mixing import mix_sources
+from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.sharding import shard_rows
 from corpusloom.llm.token_counts import length_histogram
@@ -47,6 +49,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -55,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
+    "op9_minhash": op9_minhash,
+    "op10_language_id": op10_language_id,
 }
 
 OP1_SQL = r"""
