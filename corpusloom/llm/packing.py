@@ -32,18 +32,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.text(text) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
-                        column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.record_batch(arrays[: 5 + keep_ids], names=names[: 5 + keep_ids])
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + keep_ids]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
+        for whole in batches:
+            for batch, all_ids, bounds in enc.batches(whole, 1):
+                out: list[list] = [[] for _ in names]
+                for k, doc in enumerate(batch.column(0).to_pylist()):
+                    ids = all_ids[bounds[k] : bounds[k + 1]].tobytes() + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
+                            column.append(value)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(pieces, PIECE + (", ids binary" if keep_ids else ""))

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.token_pieces import encoder
 from corpusloom.plans.ranking import with_prefix_sum
+from corpusloom.session import stored
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -23,8 +25,8 @@ def token_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Da
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            counts = [len(enc.text(t)) // 4 for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(counts, pa.int64())], names=["n_tokens"])
+            for _, _, bounds in enc.batches(batch, 0):
+                yield pa.record_batch([pa.array(np.diff(bounds))], names=["n_tokens"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(lengths, "n_tokens long")
 
@@ -37,7 +39,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
     length, ``docs_over`` longer ones; ``truncated_tokens`` is the corpus size when every document is cut at
     this length, ``quantile`` the share of documents not longer.  An empty table gives an empty histogram.
     """
-    hist = token_lengths(docs, tokenizer, text_col).groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # Both prefix sums read the histogram twice; the texts are encoded once.
+    hist = stored(token_lengths(docs, tokenizer, text_col).groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs")))
     hist = hist.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("_all", F.lit(0)).withColumn("_band", F.expr("length div 256"))
     # docs and tokens are summed together: a limit's count of both is one prefix away.
     docs_before = with_prefix_sum(hist, F.col("n_docs"), ["_all"], "_band", ["length"], "_docs_before", "total_docs")
