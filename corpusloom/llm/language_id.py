@@ -254,3 +254,17 @@ def identify_language(docs: DataFrame, train_docs: int = 1000, folds: int = 5, i
     model = train(docs, train_docs, folds, id_col, text_col, lang_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), in_fold(id_col, folds).alias("held_out"), F.col(text_col).alias("_body"))
     return predict(slim, model, "_body")
+
+
+def keep_identified(docs: DataFrame, train_docs: int = 1000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose language can be told: not null and with a letter.
+
+    What has letters is kept whatever its language, so clean documents stay.  If no row has a language to learn from, the
+    model knows none and everything is kept that has a letter.
+    """
+    model = train(docs, train_docs, folds, id_col, text_col, lang_col)
+    columns = docs.columns
+    if not model.langs:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    tagged = docs.withColumn("_predicted_text", F.col(text_col))
+    return predict(tagged, model, "_predicted_text").where("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in columns])

@@ -142,3 +142,23 @@ def mix_sources(
         .agg(F.sum("_words").alias("taken"))
         .select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "taken")
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix as documents: each row of ``docs`` as often as it is taken, with all its columns.
+
+    Whole takes repeat the row; a last, partial take has the first words of the text only, joined by single spaces, and
+    keeps the other columns as they are.  Documents that the mix does not take, or that have no words, are left out.  Rows that share
+    an id are taken together: each of them as often as the id's words were taken on average.
+    """
+    taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = taken.where("taken > 0").groupBy(F.col(id_col).alias("_tid")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    met = docs.join(taken, docs[id_col].eqNullSafe(taken["_tid"])).withColumn("_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)))
+    # Words of this row that are taken in all; equal to _taken where ids are unique.
+    share = F.when(F.col("_words") == F.col("_size"), F.col("_taken")).otherwise(F.floor(F.col("_words") * F.col("_taken") / F.col("_size")))
+    met = met.withColumn("_share", share).where("_words > 0 and _share > 0")
+    met = met.withColumn("_copy", F.explode(F.expr("sequence(0L, (_share - 1) div _words)")))
+    left = F.least(F.col("_share") - F.col("_copy") * F.col("_words"), F.col("_words"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    text = F.when(left == F.col("_words"), F.col(text_col)).otherwise(part)
+    return met.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
