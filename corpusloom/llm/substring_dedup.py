@@ -261,10 +261,20 @@ class FingerprintIndex:
         return out
 
     def open_spans(self) -> DataFrame:
-        """Spans that share an anchor with a span of other content, as ``doc_id, spans``."""
-        contents = self.contents()
-        shared = contents.groupBy("h").agg(F.min("r").alias("_a"), F.max("r").alias("_b")).where("_a <> _b").select(F.col("h").alias("_h"))
-        found = contents.join(shared, F.col("h") == F.col("_h"), "left_semi")
+        """Spans that share an anchor with a span of other content, as ``doc_id, spans``.
+
+        Each run is looked at alone and merge-joined with each other run, so no run is moved.  (An anchor that two runs
+        have stands for different contents, since a later run leaves out what an earlier one has.)
+        """
+        parts = []
+        for name in self.runs:
+            run = self.spark.table(name).where("first").select("h", "r", "doc_id", "start", "n")
+            own = self.spark.table(name).where("first").groupBy("h").agg(F.min("r").alias("_a"), F.max("r").alias("_b")).where("_a <> _b").select(F.col("h").alias("_h"))
+            others = [own] + [self.spark.table(t).where("first").select(F.col("h").alias("_h")) for t in self.runs if t != name]
+            parts += [run.join(other, F.col("h") == F.col("_h"), "left_semi").select("doc_id", "start", "n") for other in others]
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
         return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
