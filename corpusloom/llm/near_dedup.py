@@ -67,6 +67,24 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>")
 
 
+#: Bits of a parity sketch.
+PARITY = 2048
+
+
+def parity_sketches(sets: DataFrame) -> DataFrame:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for shingles in batch.column(1):
+                place = shingles.values.to_numpy().view(np.uint64) % np.uint64(PARITY)
+                odd = np.bincount(place.astype(np.int64), minlength=PARITY) & 1
+                found.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            sizes = pa.compute.list_value_length(batch.column(1)).cast(pa.int64())
+            yield pa.record_batch([batch.column(0), sizes, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n", "parity"])
+
+    return sets.mapInArrow(sketch, "doc_id long, n long, parity array<long>")
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, least: float, m: int) -> DataFrame:
     """Pairs ``a, b`` whose sizes allow the similarity and whose likelihood estimate lies within five deviations of it."""
 
@@ -84,10 +102,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float, m: int) -> DataFram
     return met.where(estimate("ra", "rb", "na", "nb") >= least - slack).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on the full sets."""
-    ids = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    sets = stored(shingle_sets(docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi"), width))
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -95,9 +111,41 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return met.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, stars: int = 3, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def settled_apart(labelled: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets whose nodes are not all in one component, with their present component."""
+    now = labelled.select("key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left")
+    now = stored(now.select("key", "doc_id", F.coalesce("root", "doc_id").alias("comp")))
+    apart = now.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select(F.col("key").alias("_key"))
+    return stored(now.join(stored(apart), F.col("key") == F.col("_key")).drop("_key"))
+
+
+def star_pairs(labelled: DataFrame, order: F.Column) -> DataFrame:
+    """Each node with the first node of its bucket by ``order``, where that is of another component."""
+    leaders = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("_l"))
+    leaders = leaders.select(F.col("key").alias("_key"), F.col("_l.id").alias("lead"), F.col("_l.c").alias("lead_comp"))
+    met = labelled.join(leaders, F.col("key") == F.col("_key")).where("comp <> lead_comp")
+    return met.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+
+
+def cross_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket from different components that could be linked at all.
+
+    Each node has a parity sketch of its whole set: every shingle flips one of ``PARITY`` bits.  The bits in which two
+    sketches differ are at most the shingles that only one of the sets has, so a pair with more of them than the
+    similarity allows is left out for certain, and what is left is not much more than the links.
+    """
+    known = stored(parity_sketches(sets))
+    rows = stored(labelled.join(known, "doc_id"))
+    columns = {c: f"_{c}" for c in ("key", "doc_id", "comp", "n", "parity")}
+    other = rows.select(*[F.col(c).alias(d) for c, d in columns.items()])
+    sizes = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+    apart = F.aggregate(F.zip_with("parity", "_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("_n"))
+    met = rows.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & sizes & close)
+    return met.select(F.least("doc_id", "_doc_id").alias("a"), F.greatest("doc_id", "_doc_id").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of the similarity graph: ``doc_id, n_shingles, component_id, kept``, one row per input row.
 
     Documents are linked when the Jaccard similarity of their ``width``-word shingle sets is ``percent``/100 or more;
@@ -114,40 +162,32 @@ def near_duplicates(
     nodes = sketch.where("n_shingles > 0").join(same.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi")
     keyed = nodes.select("doc_id", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select(F.col("key").alias("_key"))
-    # Rows of buckets with more than one node: the only rows that later rounds read.
-    open_rows = stored(keyed.join(stored(crowded), F.col("key") == F.col("_key")).select("key", "doc_id").distinct())
+    # Rows of buckets with more than one node: the only rows that later rounds read, and the only sets they need.
+    labelled = stored(keyed.join(stored(crowded), F.col("key") == F.col("_key")).select("key", "doc_id").distinct()).withColumn("comp", F.col("doc_id"))
+    met = stored(labelled.select(F.col("doc_id").alias("_id")).distinct())
+    sets = stored(shingle_sets(slim.join(met, F.col("doc_id") == F.col("_id"), "left_semi"), width))
+    nodes = stored(nodes.join(met, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "n_shingles", "regs"))
 
     tested = links = roots = None
-    for round_no in range(stars + 1):
-        if round_no:
-            labelled = open_rows.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
-            labelled = stored(labelled)
-            apart = labelled.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select(F.col("key").alias("_key"))
-            labelled = stored(labelled.join(stored(apart), F.col("key") == F.col("_key")).drop("_key"))
-            open_rows = labelled.select("key", "doc_id")
-        else:
-            labelled = open_rows.withColumn("comp", F.col("doc_id"))
-        if round_no < stars:
-            # First one order for all buckets, so a group tends to one leader; then another for each bucket.
-            order = F.xxhash64("doc_id") if not round_no else F.xxhash64("doc_id", "key", F.lit(round_no))
-            leaders = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("_l"))
-            leaders = leaders.select(F.col("key").alias("_key"), F.col("_l.id").alias("lead"), F.col("_l.c").alias("lead_comp"))
-            met = labelled.join(leaders, F.col("key") == F.col("_key")).where("comp <> lead_comp")
-            pairs = met.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
+    # Stars by one order for all buckets, so a group tends to one leader; then by another for each bucket; then all pairs
+    # that could still be linked.
+    for round_no in range(3):
+        if roots is not None:
+            labelled = settled_apart(labelled, roots)
+            if labelled.isEmpty():
+                break
+        if round_no < 2:
+            pairs = star_pairs(labelled, F.xxhash64("doc_id") if not round_no else F.xxhash64("doc_id", "key"))
         else:
-            other = labelled.select(F.col("key").alias("_key"), F.col("doc_id").alias("lead"), F.col("comp").alias("lead_comp"))
-            met = labelled.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("lead_comp")))
-            pairs = met.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b"))
-        pairs = pairs.distinct()
+            pairs = cross_pairs(labelled, sets.join(labelled.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi"), percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         if pairs.isEmpty():
-            if round_no == stars or not round_no:
+            if roots is None:
                 break
             continue
-        hopeful = stored(likely(pairs, nodes, least, m))
-        new = stored(verified(hopeful, slim, width, percent))
+        new = stored(verified(stored(likely(pairs, nodes, least, m)), sets, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         roots = connected_components(links)
