@@ -198,7 +198,8 @@ def extract_metrics(df: DataFrame, rules: Sequence[Rule] = RULES, line: str = "l
         failed = F.transform(F.filter(pairs, lambda p: p != ""), lambda p: F.struct(F.lit("label").alias("kind"), F.concat(F.lit("w2w_push_fail_"), F.split_part(p, F.lit("="), F.lit(1))).alias("name"), F.split_part(p, F.lit("="), F.lit(2)).cast("double").alias("value")))
         extra.append(F.when(F.col("rule") == send, failed).otherwise(empty))
     out = numbered.withColumn("_m", F.explode(F.concat(main, *extra)))
-    out = out.select(*df.columns, F.col("_m.kind").alias("kind"), F.col("_m.name").alias("name"), F.col("_m.value").alias("value"))
+    kept = [c for c in df.columns if c not in ("kind", "name", "value")]
+    out = out.select(*kept, F.col("_m.kind").alias("kind"), F.col("_m.name").alias("name"), F.col("_m.value").alias("value"))
     return out.where(F.col("value").isNotNull() & ~((F.col("name") == "head_loss") & (F.col("value") == 0)))
 
 

@@ -1,2 +1,126 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over ``embeddings`` grouped by label, and the share tables, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.operators import vectors
+from corpusloom.session import table
+
+
+def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.finite_rows(table(spark, d, "embeddings"))
+
+
+def rounded(column: str, digits: int = 4):
+    return F.transform(column, lambda x: F.round(x, digits) + 0.0).alias(column)
+
+
+def q_weighted_vector_mean(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.weighted_vector_mean(embeddings(spark, d), ["label"], weight=F.expr("vec_id % 4")).select("label", rounded("mean"))
+
+
+def q_delta_update(spark: SparkSession, d: str) -> DataFrame:
+    means = vectors.weighted_vector_mean(embeddings(spark, d), ["label"])
+    met = embeddings(spark, d).join(means, "label")
+    old = F.transform("embedding", lambda x: x.cast("double") / 2)
+    new = vectors.delta_update(F.transform("embedding", lambda x: x.cast("double")), old, F.col("mean"))
+    return met.select("vec_id", F.round(F.aggregate(new, F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+def q_rotating_sparse_mean(spark: SparkSession, d: str) -> DataFrame:
+    size = embeddings(spark, d).agg(F.max(F.size("embedding"))).first()[0] or 1
+    out = vectors.rotating_sparse_mean(embeddings(spark, d), ["label"], 0.2, 7, size)
+    return out.select("vec_id", "label", rounded("mean"))
+
+
+def q_decayed_delta(spark: SparkSession, d: str) -> DataFrame:
+    vec = F.transform("embedding", lambda x: x.cast("double"))
+    out = vectors.decayed_delta(vec, F.transform(vec, lambda x: -2 * x), 0.9, 3, second_moment=True)
+    return embeddings(spark, d).select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+def q_split_parts(spark: SparkSession, d: str) -> DataFrame:
+    parts = vectors.split_parts(embeddings(spark, d).select("vec_id", "embedding"), 10)
+    return parts.select("vec_id", "part_index", F.size("part").alias("n"), F.round(F.aggregate("part", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+def q_assign_parts(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "lineitem").select(F.expr("l_orderkey div 100").alias("job"), F.col("l_quantity").cast("long").alias("n"), F.row_number().over(vectors.Window.partitionBy(F.expr("l_orderkey div 100")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("part_index"))
+    jobs = parts.select("job").distinct()
+    owners = jobs.select("job", F.explode(F.array(*[F.struct(F.lit(o).alias("owner"), F.lit(f).alias("fraction")) for o, f in (("a", 0.5), ("b", 0.25), ("c", 0.25))])).alias("o")).select("job", "o.*")
+    return vectors.assign_parts(parts, owners, ["job"]).groupBy("job", "owner").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("total"))
+
+
+def q_apportion(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return vectors.apportion(c, 100, ["nation"], "segment", "score").select("nation", "segment", "seats")
+
+
+def q_sample_mean(spark: SparkSession, d: str) -> DataFrame:
+    means = vectors.weighted_vector_mean(embeddings(spark, d), ["label"], weight=F.when(F.col("vec_id") % 3 == 0, 0.0).otherwise(1.0))
+    return means.select("label", F.transform("mean", lambda x: F.round(F.coalesce(x, F.lit(0.0)), 4) + 0.0).alias("mean"))
+
+
+def q_quantize_uniform8(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.quantize_uniform8(embeddings(spark, d), ["label"])[1].select("label", "code", "n", F.round("centre", 5).alias("centre"))
+
+
+def q_quantize_quantile8(spark: SparkSession, d: str) -> DataFrame:
+    """Fewer borders than a byte allows, so that the SQL twin stays short."""
+    return vectors.quantize_quantile8(embeddings(spark, d), ["label"], borders=7)[1].select("label", "code", "n", F.round("centre", 5).alias("centre"))
+
+
+def q_dequantize(spark: SparkSession, d: str) -> DataFrame:
+    codes, book = vectors.quantize_quantile8(embeddings(spark, d), ["label"], borders=7)
+    out = vectors.dequantize(codes, book, ["label"])
+    return out.groupBy("vec_id").agg(F.round(F.sum("restored"), 4).alias("total"), F.round(F.max(F.abs(F.col("restored") - F.col("x"))), 4).alias("worst"))
+
+
+def q_scale_meanstd(spark: SparkSession, d: str) -> DataFrame:
+    out = embeddings(spark, d).select("vec_id", vectors.scale_meanstd(F.col("embedding")).alias("v"))
+    return out.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("square"), F.round(F.array_max("v"), 4).alias("top"))
+
+
+def q_half_precision(spark: SparkSession, d: str) -> DataFrame:
+    """Largest error of each lossy cast; not SQL, so tested against numpy."""
+    e = embeddings(spark, d).select("vec_id", "embedding", vectors.clamp_fp16("embedding").alias("half"), vectors.round_bf16("embedding").alias("brain"))
+    worst = lambda c: F.array_max(F.zip_with("embedding", c, lambda x, y: F.abs(x - y)))
+    return e.select("vec_id", worst("half").alias("half_error"), worst("brain").alias("brain_error"))
+
+
+def q_received_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as expected pairs; those shipped without return count as received."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_linenumber").alias("part"), F.col("l_orderkey").alias("sender"), "l_returnflag")
+    out = vectors.expected_vs_received(li.select("owner", "part", "sender").distinct(), li.where("l_returnflag = 'N'"), ["owner"])
+    return out.select("owner", "expected", "received", F.round("fraction", 6).alias("fraction"))
+
+
+QUERIES = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
+
+LONG = "long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings)"
+CUTS = f"{LONG}, cuts AS (SELECT label, quantile_cont(x, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS b FROM long GROUP BY label), codes AS (SELECT vec_id, label, pos, x, len(list_filter(b, lambda q: q < x))::INT AS code FROM long JOIN cuts USING (label))"
+ORACLE_SQL = {
+    "weighted_vector_mean": f"WITH {LONG}, m AS (SELECT label, pos, CASE WHEN sum(vec_id % 4) <> 0 THEN sum(x * (vec_id % 4)) / sum(vec_id % 4) END AS v FROM long GROUP BY label, pos) SELECT label, list(round(v, 4) + 0.0 ORDER BY pos) AS mean FROM m GROUP BY label",
+    "delta_update": f"WITH {LONG}, m AS (SELECT label, pos, avg(x) AS v FROM long GROUP BY label, pos) SELECT vec_id, round(sum(x + v - x / 2), 3) AS total FROM long JOIN m USING (label, pos) GROUP BY vec_id",
+    "rotating_sparse_mean": f"""WITH {LONG}, m AS (SELECT *, ('0x' || substr(md5(pos::VARCHAR), 1, 8))::BIGINT % 5 = 2 AS hit FROM long), v AS (SELECT *, CASE WHEN hit THEN avg(x) OVER (PARTITION BY label, pos) ELSE x END AS y FROM m)
+        SELECT vec_id, label, list(round(y, 4) + 0.0 ORDER BY pos) AS mean FROM v GROUP BY vec_id, label""",
+    "decayed_delta": f"WITH {LONG} SELECT vec_id, round(sum(greatest(0, x - 2 * x * pow(0.9, 3))), 4) AS total FROM long GROUP BY vec_id",
+    "split_parts": f"WITH {LONG} SELECT vec_id, (pos // 10)::INT AS part_index, count(*)::INT AS n, round(sum(x), 4) AS total FROM long GROUP BY 1, 2",
+    "assign_parts": """WITH p AS (SELECT l_orderkey // 100 AS job, l_quantity::BIGINT AS n, row_number() OVER w AS part_index, sum(l_quantity::BIGINT) OVER w AS p_end, sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey // 100) AS total
+          FROM lineitem WINDOW w AS (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)),
+        o AS (SELECT * FROM (VALUES ('a', 0.0, 0.5), ('b', 0.5, 0.75), ('c', 0.75, 1.0)) t(owner, f0, f1)),
+        b AS (SELECT job, part_index, n, owner, greatest(0, least(p_end, CASE WHEN owner = 'c' THEN total ELSE floor(f1 * total + 1e-9) END) - greatest(p_end - n, floor(f0 * total + 1e-9))) AS ov FROM p, o),
+        w AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY job, part_index ORDER BY ov DESC, owner) = 1) SELECT job, owner, count(*) AS parts, sum(n)::BIGINT AS total FROM w GROUP BY 1, 2""",
+    "apportion": """WITH c AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, count(*)::DOUBLE AS score FROM customer GROUP BY 1, 2), b AS (SELECT *, floor(100 * score / sum(score) OVER (PARTITION BY nation) + 1e-9)::BIGINT AS base FROM c),
+        l AS (SELECT *, 100 - sum(base) OVER (PARTITION BY nation) AS seats_left FROM b), q AS (SELECT *, unnest(range(1, greatest(seats_left, 1)::BIGINT + 1)) AS k FROM l),
+        r AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY score / (base + k) DESC, segment) AS rk FROM q) SELECT nation, segment, (base + count(*) FILTER (rk <= seats_left))::BIGINT AS seats FROM r GROUP BY nation, segment, base""",
+    "sample_mean": f"WITH {LONG}, m AS (SELECT label, pos, coalesce(avg(x) FILTER (vec_id % 3 <> 0), 0) AS v FROM long GROUP BY label, pos) SELECT label, list(round(v, 4) + 0.0 ORDER BY pos) AS mean FROM m GROUP BY label",
+    "quantize_uniform8": f"""WITH {LONG}, s AS (SELECT label, avg(x) AS mu, stddev_samp(x) AS sd FROM long GROUP BY label), c AS (SELECT label, x, least(255, greatest(0, round_even((x - mu) / (6 * sd / 256), 0) + 128))::INT AS code FROM long JOIN s USING (label))
+        SELECT label, code, count(*) AS n, round(avg(x), 5) AS centre FROM c GROUP BY 1, 2""",
+    "quantize_quantile8": f"WITH {CUTS} SELECT label, code, count(*) AS n, round(avg(x), 5) AS centre FROM codes GROUP BY 1, 2",
+    "dequantize": f"WITH {CUTS}, d AS (SELECT *, avg(x) OVER (PARTITION BY label, code) AS restored FROM codes) SELECT vec_id, round(sum(restored), 4) AS total, round(max(abs(restored - x)), 4) AS worst FROM d GROUP BY vec_id",
+    "scale_meanstd": f"WITH {LONG}, s AS (SELECT vec_id, x - avg(x) OVER (PARTITION BY vec_id) AS c FROM long), t AS (SELECT vec_id, c / greatest(sqrt(avg(c * c) OVER (PARTITION BY vec_id)), 1e-6) AS v FROM s) SELECT vec_id, round(sum(v * v), 3) AS square, round(max(v), 4) AS top FROM t GROUP BY vec_id",
+    "received_fraction": "WITH e AS (SELECT l_suppkey AS owner, l_linenumber, l_orderkey, bool_or(l_returnflag = 'N') AS got FROM lineitem GROUP BY 1, 2, 3) SELECT owner, count(*) AS expected, count(*) FILTER (got) AS received, round(count(*) FILTER (got) / count(*), 6) AS fraction FROM e GROUP BY owner",
+}
