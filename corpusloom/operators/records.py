@@ -188,10 +188,10 @@ def join_rank(members: DataFrame, by: tuple[str, ...], joined: str = "joined", m
 def state_donors(df: DataFrame, strategy: str = "priority", target: str | None = None, me: str | None = None) -> DataFrame:
     """Donors in the order to ask them: an explicit target first, the asker left out."""
     rows = df.where(F.col("uid") != me) if me else df
-    first = F.when(F.col("uid") == target, 0).otherwise(1) if target else F.lit(1)
+    first = [F.when(F.col("uid") == target, 0).otherwise(1)] if target else []
     number = F.regexp_extract("uid", r"([0-9]+)$", 1)
     then = [F.col("priority").desc_nulls_last(), F.md5("uid")] if strategy == "priority" else [F.when(number != "", number.cast("long")).asc_nulls_last(), F.col("uid")]
-    return rows.orderBy(first, *then)
+    return rows.orderBy(*first, *then)
 
 
 def expire_batches(df: DataFrame, now: Column, ttl_s: float, most_rows: int, most_bytes: int, by: tuple[str, ...] = ("cache",)) -> DataFrame:
