@@ -43,14 +43,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .groupBy("_digest", "_text")
         .agg(F.min("_keep").alias("_keep"), F.sum("_n").alias("_n"))
         .groupBy("_digest")
-        .agg(F.min("_keep").alias("_keep"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"))
+        .agg(F.min("_keep").alias("_keep"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_texts"), F.max(F.octet_length("_text")).alias("_bytes"))
         .select(
             F.col("_digest").alias("_wdigest"),
+            F.col("_bytes").alias("_wbytes"),
             "_keep",
             F.when(F.col("_texts") == 1, F.col("_n")).otherwise(F.raise_error(F.lit("different texts share one digest"))).alias("_n"),
         )
     )
-    joined = rows.select("_id", "_digest").join(winners, F.col("_digest") == F.col("_wdigest"))
+    # Both sides are dealt out anew by digest and length, so that adaptive execution can split a hot digest.
+    found = rows.select("_id", "_digest", F.octet_length("_text").alias("_bytes"))
+    joined = found.join(winners, (F.col("_digest") == F.col("_wdigest")) & (F.col("_bytes") == F.col("_wbytes")))
     return joined.select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
