@@ -2,7 +2,7 @@
 
 A window is ``WINDOW`` consecutive words.  Within a window, the ``GRAM``-word gram with the least hash is its
 anchor; windows of one document that share an anchor occurrence form a span.  Equal windows have equal anchors,
-so one row per span (an eighth of the windows) finds every repeated window:
+so one row per span (about an eighth of the windows) finds every repeated window:
 
 * two spans of equal content repeat all their windows: the later span is removed as a whole;
 * spans of different content with one anchor may share some windows: these few spans are opened, and their
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW = 20
-GRAM = 6
+GRAM = 5
 #: Words that are hashed together, and words remembered by a Python worker; results depend on neither.
 CHUNK_WORDS = 1 << 18
 CACHE = 1 << 18
