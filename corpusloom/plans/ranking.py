@@ -36,9 +36,11 @@ def with_prefix_sum(
         offsets = offsets.withColumn(group_total, F.sum("_t").over(Window.partitionBy(*keys)))
         extra = [group_total]
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # A merge join by hint: sizes of generated rows are underestimated, and neither side may be broadcast by mistake.
+    # The rows lie by (keys, bucket) already, so only the small table of totals moves.
     return (
         valued.withColumn("_in", F.coalesce(F.sum("_v").over(within), F.lit(0)))
-        .join(offsets.select(*keys, bucket, "_off", *extra), [*keys, bucket])
+        .join(offsets.select(*keys, bucket, "_off", *extra).hint("merge"), [*keys, bucket])
         .withColumn(name, F.col("_off") + F.col("_in"))
         .drop("_v", "_off", "_in")
     )
