@@ -82,19 +82,21 @@ def slot_schedule(targets: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     points = chunks.select("_chunk", F.explode(F.expr(f"sequence(_chunk * {chunk}, least(_n, (_chunk + 1) * {chunk}) - 1)")).alias("slot"))
     points = points.withColumn("_point", F.pmod(F.pmod(F.col("slot"), F.lit(1 << 32)) * F.lit(GOLDEN_32), F.lit(1 << 32)) / F.lit(float(1 << 32)))
     # Ranges are cut at the bounds of equal bins, so a point meets by equality the few ranges of its bin.
-    ranges = targets.where("_want > 0").select("_src", "_lo", "_hi", F.explode(F.expr(f"sequence(cast(floor(_lo * {BINS}) as int), least(cast(floor(_hi * {BINS}) as int), {BINS - 1}))")).alias("_bin"))
+    facts = ["_src", "source_size", "_quota", "_block", "_blocks", "_want", "_slots"]
+    ranges = targets.where("_want > 0").select(*facts, "_lo", "_hi", F.explode(F.expr(f"sequence(cast(floor(_lo * {BINS}) as int), least(cast(floor(_hi * {BINS}) as int), {BINS - 1}))")).alias("_bin"))
     points = points.withColumn("_pbin", F.floor(F.col("_point") * BINS).cast("int"))
-    placed = points.join(ranges, (F.col("_pbin") == F.col("_bin")) & (F.col("_point") >= F.col("_lo")) & (F.col("_point") < F.col("_hi")))
-    ranked = with_prefix_sum(placed.select("slot", "_src", "_chunk"), F.lit(1), ["_src"], "_chunk", ["slot"], "rank")
+    # The planner cannot know how many points there are: by hint, they are never broadcast.
+    placed = points.hint("merge").join(ranges, (F.col("_pbin") == F.col("_bin")) & (F.col("_point") >= F.col("_lo")) & (F.col("_point") < F.col("_hi")))
+    ranked = with_prefix_sum(placed.select("slot", "_chunk", *facts), F.lit(1), ["_src"], "_chunk", ["slot"], "rank")
     got = placed.groupBy("_src").agg(F.count(F.lit(1)).alias("_got"))
     tail = (
         targets.join(got, "_src", "left")
         .withColumn("_got", F.coalesce("_got", F.lit(0)))
         .where("_got < _want")
-        .select("_src", "_slots", F.explode(F.expr("sequence(_got, _want - 1)")).alias("rank"))
-        .select((F.col("_slots") + F.col("rank")).alias("slot"), "_src", "rank")
+        .select(*facts, F.explode(F.expr("sequence(_got, _want - 1)")).alias("rank"))
+        .select((F.col("_slots") + F.col("rank")).alias("slot"), "rank", *facts)
     )
-    used = ranked.select("slot", "_src", "rank").unionByName(tail).join(targets, "_src").where("rank < _want")
+    used = ranked.select("slot", "rank", *facts).unionByName(tail).where("rank < _want")
     block = F.pmod(F.col("rank"), F.col("_blocks"))
     first = F.expr("(rank div _blocks)") * F.col("source_size") + block * F.col("_block")
     end = F.least(first + F.col("_block"), F.expr("(rank div _blocks) + 1") * F.col("source_size"), F.col("_quota"))
@@ -127,12 +129,11 @@ def mix_sources(
     within = Window.partitionBy("_src", "_bucket").orderBy("_order", "_id", "_size")
     placed = placed.withColumn("_row", F.row_number().over(within)).join(targets, "_src")
     ks = F.when(F.col("_size") > 0, F.expr("sequence(_start div _block, (_start + _size - 1) div _block)"))
-    pieces = placed.select("_src", "_bucket", "_row", "_id", "_size", "source_size", "target", "_start", F.explode_outer(ks).alias("_k"))
+    pieces = placed.select("_src", "_bucket", "_row", "_id", "_size", "source_size", "target", "_start", "_block", F.explode_outer(ks).alias("_k"))
     # A block's slots, as words from its first word on: whole takes and, for the last slot of a source, a cut one.
     takes = slot_schedule(targets).groupBy("_src", F.col("_k").alias("_sk")).agg(F.collect_list("_words").alias("_takes"))
     takes = takes.select(F.col("_src").alias("_ssrc"), "_sk", "_takes")
-    blocks = targets.select(F.col("_src").alias("_bsrc"), F.col("_block"))
-    met = pieces.join(takes, (F.col("_src") == F.col("_ssrc")) & (F.col("_k") == F.col("_sk")), "left").join(blocks, F.col("_src") == F.col("_bsrc"))
+    met = pieces.join(takes.hint("merge"), (F.col("_src") == F.col("_ssrc")) & (F.col("_k") == F.col("_sk")), "left")
     at = F.greatest(F.col("_start") - F.col("_k") * F.col("_block"), F.lit(0))
     to = F.least(F.col("_start") + F.col("_size") - F.col("_k") * F.col("_block"), F.col("_block"))
     words = F.aggregate(F.coalesce("_takes", F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda s, t: s + F.greatest(F.least(t, to) - at, F.lit(0)))

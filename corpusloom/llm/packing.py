@@ -128,5 +128,6 @@ def pack_documents(
     )
     keyed = pieces.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece"))).withColumn("_bucket", hash_bucket("_order", 2))
     ranked = with_prefix_sum(keyed, F.lit(1), ["length"], "_bucket", ["_order", "ids_crc32"], "rank")
-    placed = ranked.join(slots, (F.col("length") == F.col("slot_length")) & (F.col("rank") == F.col("slot_rank")))
+    # There are as many slots as pieces, which the planner cannot know: they must not be broadcast.
+    placed = ranked.join(slots.hint("merge"), (F.col("length") == F.col("slot_length")) & (F.col("rank") == F.col("slot_rank")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)
