@@ -217,3 +217,12 @@ def batch_ledger(opens: DataFrame, reports: DataFrame, timeout_s: float, stall_s
     )
     outcome = F.when(F.col("_dropped") > 0, "dropped").when(F.col("_done") > 0, "done").when(F.lit(stall_s > stall_timeout_s), "dropped").otherwise("timeout")
     return out.select("origin", "seq", outcome.alias("outcome"), F.when((F.col("_dropped") == 0) & (F.col("_done") > 0), F.col("_loss")).alias("loss"), "late_reports")
+
+
+def loss_records(df: DataFrame, window: str) -> DataFrame:
+    """Per-origin metrics as records that expire after ``window``: ``key, subkey, value, expiration, arrival``.
+
+    A loss of 0 or none is no sample, but its batches and tokens still count.
+    """
+    value = F.to_json(F.struct("mode", "step", F.nullif(F.col("loss"), F.lit(0.0)).alias("loss"), "tps"))
+    return df.select(F.lit("metrics").alias("key"), F.col("origin").alias("subkey"), value.alias("value"), (F.col("ts") + F.expr(f"interval {window}")).alias("expiration"), F.col("ts").alias("arrival"))

@@ -110,3 +110,14 @@ def samples_for_ids(ids: DataFrame, permutation: DataFrame, samples: DataFrame,
     """
     placed = locate(ids, total, per_chunk).join(permutation, ["chunk_id", "local"])
     return placed.withColumn("g", F.col("chunk_id") * per_chunk + F.col("j")).join(samples, "g")
+
+
+def chunk_samples(slices: DataFrame, seq: int) -> DataFrame:
+    """Samples ``chunk_id, j, tokens`` of chunks held as ``chunk_id, pos, tokens`` slices; windows that are not whole are left out."""
+    n = F.size("tokens")
+    low = F.when((F.pmod("pos", F.lit(seq)) == 0) & (F.col("pos") > 0), F.expr(f"pos div {seq}") - 1).otherwise(F.expr(f"pos div {seq}"))
+    rows = slices.where(n > 0).withColumn("j", F.explode(F.sequence(low, F.expr(f"(pos + size(tokens) - 1) div {seq}"))))
+    first, end = F.greatest(F.col("pos"), F.col("j") * seq), F.least(F.col("pos") + n, F.col("j") * seq + seq + 1)
+    part = F.slice("tokens", (first - F.col("pos") + 1).cast("int"), F.greatest(end - first, F.lit(0)).cast("int"))
+    grouped = rows.select("chunk_id", "j", F.struct(first.alias("at"), part.alias("t")).alias("p")).groupBy("chunk_id", "j").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    return grouped.select("chunk_id", "j", F.flatten(F.transform("ps", lambda p: p["t"])).alias("tokens")).where(F.size("tokens") == seq + 1)

@@ -412,3 +412,49 @@ def phase_timeline(df: DataFrame, phase1: int, phase2: int, max_stale: int, by:
         return frame
 
     return df.groupBy(by).applyInPandas(fold, f"{by} string, step long, phase int")
+
+
+# What the console view shows, in the order in which it is tried, and the lines of the synchronisation phases.
+SHOWN: tuple[tuple[str, str], ...] = (
+    ("SERVER", r"\w+ starting\. Verbose logs are written to: (.+)"),
+    ("SERVER", r"^Node name: (\S+)"),
+    ("DOWNLOAD", r"Starting state download with (\d+) threads"),
+    ("DOWNLOAD", r"State download progress: ([\d.]+)%, speed: ([\d.]+) MB/s, ETA: (\S+)"),
+    ("DOWNLOAD", r"State \((\d+) MB\) downloaded in ([\d.]+) sec"),
+    ("AUTH", r"On waitlist\. Position: (\d+)\."),
+    ("AUTH", r"Authorization queue\. Position: (\d+), Estimated wait: (.+)$"),
+    ("AUTH", r"Access for user (\S+) has been granted until (.+) UTC"),
+    ("NETWORK", r"Testing internet speed\.\.\."),
+    ("NETWORK", r"Download Speed: ([\d.]+) Mbps"),
+    ("NETWORK", r"Upload Speed: ([\d.]+) Mbps"),
+    ("NETWORK", r"Latency: ([\d.]+) ms"),
+    ("NETWORK", r"Running DHT node on \['/ip4/([^/]+)/tcp/(\d+)/p2p/([^']+)'\]"),
+    ("SERVER", r"Initializing expert"),
+    ("SERVER", r"Server started with (\d+) modules?:"),
+    ("SERVER", r"^([^:]+):\s+\w+,\s+([\d,]+)\s+parameters$"),
+    ("TRAINING", r"Transitioning to epoch (\d+)"),
+    ("TRAINING", r"All-reduce round finished at local epoch #(\d+)"),
+    ("PROGRESS", r"^Processed (\d+) batches in last (\d+) seconds:$"),
+    ("SERVER", r"^Shutting down \w+\.\.\.$"),
+)
+PHASE = (r"Ghost phase 1 will last (\d+) steps, ending at local epoch (\d+)", r"Ghost phase 2 will last (\d+) steps, ending at local epoch (\d+)", r"Exiting ghost mode at \d+ local epoch")
+
+
+def visible_lines(df: DataFrame, by: Sequence[str] = ("host",), order: Sequence[str] = ("ts",)) -> DataFrame:
+    """Lines that a console shows, with ``tag``, of parsed lines.
+
+    Warnings and errors always; other lines only by the patterns above.  "Processed 0 batches" is hidden in synchronisation
+    phase 1, and the end of the phases is shown only if one was entered.
+    """
+    message = F.col("msg")
+    loud = F.col("level").isin("WARNING", "ERROR", "CRITICAL")
+    mark = F.when(~loud, F.when(message.rlike(PHASE[0]), 1).when(message.rlike(PHASE[1]), 2).when(message.rlike(PHASE[2]), 0))
+    before = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumn("_mark", mark).withColumn("_phase", F.coalesce(before, F.lit(0)))
+    tag = F.lit(None).cast("string")
+    for name, pattern in reversed(SHOWN):
+        tag = F.when(message.rlike(pattern), F.lit(name)).otherwise(tag)
+    idle = (F.col("_phase") == 1) & message.rlike(r"^Processed 0 batches in last \d+ seconds:$")
+    synced = F.when((F.col("_mark") > 0) | (F.col("_phase") > 0), "SYNC")
+    shown = F.when(loud, F.when(F.col("level") == "WARNING", "WARNING").otherwise("ERROR")).when(F.col("_mark").isNotNull(), synced).when(~idle, tag)
+    return rows.withColumn("tag", shown).where("tag is not null").drop("_mark", "_phase")
