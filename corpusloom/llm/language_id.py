@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDER = 3
 #: Bytes that are scored together.
@@ -224,7 +225,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to rows that have ``text_col``: see ``identify_language``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     keep = [c for c in docs.columns if c != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_col)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -240,7 +242,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     langs[k], scores[k] = model.langs[b], s
             yield pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], text_col).mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(score, schema)
 
 
 def identify_language(docs: DataFrame, train_docs: int = 1000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -263,8 +265,9 @@ def keep_identified(docs: DataFrame, train_docs: int = 1000, folds: int = 5, id_
     model knows none and everything is kept that has a letter.
     """
     model = train(docs, train_docs, folds, id_col, text_col, lang_col)
-    columns = docs.columns
     if not model.langs:
         return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    tagged = docs.withColumn("_predicted_text", F.col(text_col))
-    return predict(tagged, model, "_predicted_text").where("lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in columns])
+    # The row travels as one column, so its names cannot clash.
+    columns = docs.columns
+    tagged = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).alias("body")), model, "body")
+    return tagged.where("lang_pred <> 'und'").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -154,12 +154,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     taken = taken.where("taken > 0").groupBy(F.col(id_col).alias("_tid")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    met = docs.join(taken, docs[id_col].eqNullSafe(taken["_tid"])).withColumn("_words", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)))
+    # The row travels as one column, so its names cannot clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_rid"), F.col(text_col).alias("_text"))
+    met = rows.join(taken, F.col("_rid").eqNullSafe(F.col("_tid"))).withColumn("_words", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)))
     # Words of this row that are taken in all; equal to _taken where ids are unique.
     share = F.when(F.col("_words") == F.col("_size"), F.col("_taken")).otherwise(F.floor(F.col("_words") * F.col("_taken") / F.col("_size")))
     met = met.withColumn("_share", share).where("_words > 0 and _share > 0")
     met = met.withColumn("_copy", F.explode(F.expr("sequence(0L, (_share - 1) div _words)")))
     left = F.least(F.col("_share") - F.col("_copy") * F.col("_words"), F.col("_words"))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    text = F.when(left == F.col("_words"), F.col(text_col)).otherwise(part)
-    return met.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    part = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    text = F.when(left == F.col("_words"), F.col("_text")).otherwise(part)
+    return met.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

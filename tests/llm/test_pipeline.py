@@ -48,11 +48,18 @@ def test_stages(spark, data_dir, tmp_path):
     assert corpus_pipeline.run(spark, data_dir).count() == len(out)
 
 
-def test_stages_on_edges(spark, edge_docs, no_docs, data_dir):
-    for docs in (edge_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
+def test_stages_on_edges(spark, edge_docs, no_docs, clashing, data_dir):
+    from pyspark.sql import functions as F
+
+    odd = clashing.withColumns({n: F.lit("y") for n in ("lang_pred", "score", "row", "body", "_kept_id", "_taken", "_words", "_copy", "_tid")})
+    sizes = []
+    for docs in (edge_docs, odd, no_docs):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, data_dir)
-        docs.count()
+            assert name == "packing" or docs.columns == columns
+        sizes.append(docs.count())
+    assert sizes[0] == sizes[1] > 0 == sizes[2]
 
 
 def test_repeated_ids_in_a_mix(spark):
