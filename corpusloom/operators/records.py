@@ -129,8 +129,10 @@ def swarm_progress(records: DataFrame, now: Column, target: float, stale_allow:
     The epoch is the largest of non-client peers; samples count for peers at most ``stale_allow`` behind; speed counts
     for all; estimates add what peers did since they reported.  ETA and next refresh follow.
     """
+    if not by:
+        return swarm_progress(records.withColumn("_swarm", F.lit(0)), now, target, stale_allow, ("_swarm",)).drop("_swarm")
     top = records.groupBy(*by).agg(F.max(F.when(~F.col("client_mode"), F.col("epoch"))).alias("global_epoch"))
-    met = records.join(top, list(by)) if by else records.crossJoin(top)  # one row on the right
+    met = records.join(top, list(by))
     fresh = F.col("epoch") >= F.col("global_epoch") - stale_allow
     since = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("time")) / 1e6)
     out = met.groupBy(*by, "global_epoch").agg(

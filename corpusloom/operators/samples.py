@@ -76,12 +76,16 @@ def locate(ids: DataFrame, total: Column, per_chunk: int) -> DataFrame:
 def locate_range(positions: DataFrame, layout: DataFrame) -> DataFrame:
     """Position to containing chunk for layouts of uneven chunks: the first whose cumulative count exceeds it.
 
-    Intervals are found by one sorted pass over positions and bounds together, not by comparing all pairs.
+    Bins as wide as the largest chunk make this an equality join: a chunk lies in two bins at most.
     """
-    marks = layout.select(F.col("cumulative").alias("pos"), F.col("chunk_id"), F.lit(0).alias("kind"))
-    both = positions.select("pos", F.lit(None).cast("long").alias("chunk_id"), F.lit(1).alias("kind")).unionByName(marks)
-    after = Window.orderBy(F.col("pos").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("found", F.last("chunk_id", ignorenulls=True).over(after)).where("kind = 1").select("pos", F.col("found").alias("chunk_id"))
+    width = layout.agg(F.max("samples")).first()[0]
+    if not width:
+        return positions.select("pos", F.lit(None).cast("long").alias("chunk_id")).where("false")
+    start = F.col("cumulative") - F.col("samples")
+    spans = layout.where("samples > 0").select("chunk_id", start.alias("_from"), F.col("cumulative").alias("_to"))
+    spans = spans.withColumn("_bin", F.explode(F.expr(f"sequence(_from div {width}, (_to - 1) div {width})")))
+    met = positions.select("pos", F.expr(f"pos div {width}").alias("_pbin")).join(spans, (F.col("_pbin") == F.col("_bin")) & (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to")))
+    return met.select("pos", "chunk_id")
 
 
 def sample_pieces(stream: DataFrame, seq: int, n: str = "n_tokens") -> DataFrame:
