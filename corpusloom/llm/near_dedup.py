@@ -69,6 +69,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 #: Bits of a parity sketch.
 PARITY = 2048
+#: They are kept as so many long columns, which compiled code compares much faster than arrays.
+PARITY_COLUMNS = [f"p{k}" for k in range(PARITY // 64)]
 
 
 def parity_sketches(sets: DataFrame) -> DataFrame:
@@ -80,9 +82,10 @@ def parity_sketches(sets: DataFrame) -> DataFrame:
                 odd = np.bincount(place.astype(np.int64), minlength=PARITY) & 1
                 found.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             sizes = pa.compute.list_value_length(batch.column(1)).cast(pa.int64())
-            yield pa.record_batch([batch.column(0), sizes, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n", "parity"])
+            words = np.array(found, np.int64).reshape(-1, len(PARITY_COLUMNS))
+            yield pa.record_batch([batch.column(0), sizes, *map(pa.array, words.T.copy())], names=["doc_id", "n", *PARITY_COLUMNS])
 
-    return sets.mapInArrow(sketch, "doc_id long, n long, parity array<long>")
+    return sets.mapInArrow(sketch, ", ".join(["doc_id long", "n long", *(f"{c} long" for c in PARITY_COLUMNS)]))
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: float, m: int) -> DataFrame:
@@ -136,10 +139,12 @@ def cross_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     known = stored(parity_sketches(sets))
     rows = stored(labelled.join(known, "doc_id"))
-    columns = {c: f"_{c}" for c in ("key", "doc_id", "comp", "n", "parity")}
+    columns = {c: f"_{c}" for c in ("key", "doc_id", "comp", "n", *PARITY_COLUMNS)}
     other = rows.select(*[F.col(c).alias(d) for c, d in columns.items()])
     sizes = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-    apart = F.aggregate(F.zip_with("parity", "_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.lit(0)
+    for c in PARITY_COLUMNS:
+        apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
     close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("_n"))
     met = rows.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & sizes & close)
     return met.select(F.least("doc_id", "_doc_id").alias("a"), F.greatest("doc_id", "_doc_id").alias("b")).distinct()
