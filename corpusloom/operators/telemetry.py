@@ -5,7 +5,7 @@ A parsed line has ``ts, level, msg`` and the whole ``line``; a metric is ``kind`
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar
+from corpusloom.plans.ranking import at_ranks
 
 
 @dataclass(frozen=True)
@@ -253,11 +254,20 @@ def running_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def peer_socket_summary(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per host, of one row per peer: count, round-trip quantiles by nearest rank, retransmits, delivery rates.
 
-    Quantiles by nearest rank need a host's values sorted; a host has a few peers.
+    A host may have any number of rows: the quantiles come from ranks by buckets of values, for both columns at once.
     """
-    rtt, rate = F.collect_list("rtt_ms"), F.collect_list("delivery_mbps")
-    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rtt.alias("_rtt"), rate.alias("_rate"), F.sum("retrans").alias("retrans_total"), F.min("delivery_mbps").alias("delivery_min"))
-    return rows.select(*by, "n", scalar.nearest_rank(F.col("_rtt"), 0.5).alias("rtt_p50"), scalar.nearest_rank(F.col("_rtt"), 0.95).alias("rtt_p95"), "retrans_total", scalar.nearest_rank(F.col("_rate"), 0.5).alias("delivery_p50"), "delivery_min")
+
+    def ranks(n: Column) -> Column:
+        return F.array(*[F.least(n - 1, F.bround(F.lit(f) * (n - 1)).cast("long")) for f in (0.5, 0.95)])
+
+    rows = df.groupBy(F.struct(*by).alias("_by")).agg(F.count(F.lit(1)).alias("n"), F.sum("retrans").alias("retrans_total"), F.min("delivery_mbps").alias("delivery_min"))
+    long = df.select(F.struct(*by).alias("_by"), F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).cast("double").alias("x")) for c in ("rtt_ms", "delivery_mbps")])).alias("_v")).select("_by", "_v.*")
+    found = at_ranks(long, ["_by", "of"], "x", ranks)
+    at = found.groupBy("_by").agg(*[F.max(F.when(F.col("of") == c, F.col("at"))).alias(f"_{c}") for c in ("rtt_ms", "delivery_mbps")])
+    kind = dict(df.dtypes)
+    value = lambda c, i: F.get(f"_{c}", F.lit(i)).cast(kind[c])
+    met = rows.join(at, "_by", "left")
+    return met.select("_by.*", "n", value("rtt_ms", 0).alias("rtt_p50"), value("rtt_ms", 1).alias("rtt_p95"), "retrans_total", value("delivery_mbps", 0).alias("delivery_p50"), "delivery_min")
 
 
 def worst_peers(df: DataFrame, k: int) -> DataFrame:
@@ -350,49 +360,53 @@ def activity_gap(df: DataFrame, by: Sequence[str], active: Column, timeout_s: fl
 
 
 def epoch_cycle_times(events: DataFrame, by: str = "host") -> DataFrame:
-    """Round times from ``event`` (begin or transition), ``epoch``, ``ts``, folded in order per host.
+    """Round times from ``event`` (begin or transition), ``epoch``, ``ts``, in order per host.
 
     A transition to begin+1 ends an all-reduce (``ar_time``); a begin at the last transition's epoch ends accumulation
     (``grad_accum_time``); any other transition is ``missed_ar_step`` and forgets both.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, begin, trans = [], None, None
-        for event, epoch, ts in rows.sort_values(["ts", "event"])[["event", "epoch", "ts"]].itertuples(index=False):
-            if event == "begin":
-                if trans and trans[0] == epoch:
-                    out.append((ts, "duration", "grad_accum_time", (ts - trans[1]).total_seconds() * 1000))
-                begin = (epoch, ts)
-            else:
-                if begin and begin[0] + 1 == epoch:
-                    out.append((ts, "duration", "ar_time", (ts - begin[1]).total_seconds() * 1000))
-                    trans = (epoch, ts)
-                else:
-                    out.append((ts, "error", "error_missed_ar_step", 1.0))
-                    begin = trans = None
-        frame = pd.DataFrame(out, columns=["ts", "kind", "name", "value"])
-        frame.insert(0, by, rows[by].iloc[0])
-        return frame
 
-    return events.groupBy(by).applyInPandas(fold, f"{by} string, ts timestamp, kind string, name string, value double")
+    No fold is needed: a transition is good if it and all others since the last begin fit that begin, and what a begin
+    meets is the transition before it, if that was good.  The windows keep a host's rows on disk, not in memory.
+    """
+    w = Window.partitionBy(by).orderBy(*[F.asc_nulls_last(c) for c in ("ts", "event", "epoch")])
+    along = w.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.coalesce(F.col("event") == "begin", F.lit(False))
+    rows = events.select(F.col(by).cast("string").alias(by), "ts", "event", "epoch").withColumns({"_b": begins, "_i": F.row_number().over(w)})
+    rows = rows.withColumn("_begin", F.last(F.when(F.col("_b"), F.struct("epoch", "ts", "_i")), ignorenulls=True).over(along))
+    fits = F.coalesce(F.col("_begin.epoch") + 1 == F.col("epoch"), F.lit(False))
+    rows = rows.withColumn("_miss", F.last(F.when(~F.col("_b") & ~fits, F.col("_i")), ignorenulls=True).over(along))
+    rows = rows.withColumn("_good", ~F.col("_b") & fits & F.coalesce(F.col("_miss") < F.col("_begin._i"), F.lit(True)))
+    rows = rows.withColumn("_trans", F.last(F.when(~F.col("_b"), F.struct("epoch", "ts", "_good")), ignorenulls=True).over(along))
+    accumulated = F.col("_b") & F.coalesce(F.col("_trans._good") & (F.col("_trans.epoch") == F.col("epoch")), F.lit(False))
+    kind = F.when(accumulated | F.col("_good"), "duration").when(~F.col("_b"), "error")
+    name = F.when(accumulated, "grad_accum_time").when(F.col("_good"), "ar_time").otherwise("error_missed_ar_step")
+    value = F.when(accumulated, scalar.ms_between(F.col("_trans.ts"), F.col("ts"))).when(F.col("_good"), scalar.ms_between(F.col("_begin.ts"), F.col("ts"))).otherwise(1.0)
+    return rows.where(accumulated | ~F.col("_b")).select(by, F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), name.alias("name"), value.alias("value"))
 
 
 def utilisation_windows(df: DataFrame, by: str = "host", span_ms: float = 5000) -> DataFrame:
-    """Sums of ``value`` from an anchor line on; a line more than ``span_ms`` later closes the sum and is the next anchor."""
+    """Sums of ``value`` from an anchor line on; a line more than ``span_ms`` later closes the sum and is the next anchor.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, anchor, total = [], None, 0.0
-        for ts, value in rows.sort_values(["ts", "value"])[["ts", "value"]].itertuples(index=False):
-            if anchor is not None and (ts - anchor).total_seconds() * 1000 > span_ms:
-                out.append((anchor, ts, total))
-                anchor, total = ts, 0.0
-            anchor = ts if anchor is None else anchor
-            total += value
-        frame = pd.DataFrame(out, columns=["anchor", "closed", "total"])
-        frame.insert(0, by, rows[by].iloc[0])
-        return frame
+    An ordered fold: sorted rows pass batch by batch, and only the host, its anchor and its sum are carried on.
+    """
 
-    return df.groupBy(by).applyInPandas(fold, f"{by} string, anchor timestamp, closed timestamp, total double")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, anchor, total, first = None, None, 0.0, True
+        for rows in batches:
+            out = []
+            for at, ts, value in rows.itertuples(index=False):
+                if first or at != host:
+                    host, anchor, total, first = at, None, 0.0, False
+                if anchor is not None and (ts - anchor).total_seconds() * 1000 > span_ms:
+                    out.append((host, anchor, ts, total))
+                    anchor, total = ts, 0.0
+                anchor = ts if anchor is None else anchor
+                total += value
+            yield pd.DataFrame(out, columns=[by, "anchor", "closed", "total"])
+
+    rows = df.select(F.col(by).cast("string").alias(by), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    ordered = rows.repartition(by).sortWithinPartitions(*[F.asc_nulls_last(c) for c in (by, "ts", "value")])
+    return ordered.mapInPandas(fold, f"{by} string, anchor timestamp, closed timestamp, total double")
 
 
 def phase_timeline(df: DataFrame, phase1: int, phase2: int, max_stale: int, by: str = "peer") -> DataFrame:

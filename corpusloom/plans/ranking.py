@@ -7,7 +7,7 @@ window runs within one bucket only.  ``bucket`` must not decrease along the want
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +46,32 @@ def with_prefix_sum(
     )
 
 
+def value_bucket(x: Column) -> Column:
+    """Bucket of a row ordered by a double (NaN last): 4096 for each factor of e, and as fine near 0.
+
+    The logarithm is semi-monotonic by contract, and all else here is exact or monotonic, so buckets never decrease.
+    """
+    return F.when(F.isnan(x), F.lit(2**63 - 1)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x)) * 4096))
+
+
+def at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Callable[[Column], Column], near: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Per ``keys``: ``n``, the count of values that are not null, and ``at``, the values at the 0-based ``ranks(n)`` (an array).
+
+    Equal values are counted in the map task already, and ranks come from counts by buckets of values, so no task holds a
+    group.  ``near(start, stop, n)`` may rule out, cheaply, rows whose ranks from start to before stop are not asked for.
+    """
+    valued = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_x"))
+    counts = valued.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_c")).withColumn("_bucket", value_bucket(F.col("_x")))
+    rows = with_prefix_sum(counts, F.col("_c"), ["_g"], "_bucket", ["_x"], "_start", "n")
+    stop = F.col("_start") + F.col("_c")
+    if near:
+        rows = rows.where(near(F.col("_start"), stop, F.col("n")))
+    asked = F.transform(ranks(F.col("n")), lambda r, i: F.struct(i.alias("i"), r.alias("r")))
+    hits = rows.select("_g", "n", "_x", F.explode(F.filter(asked, lambda a: (a["r"] >= F.col("_start")) & (a["r"] < stop))).alias("_a"))
+    at = F.transform(F.array_sort(F.collect_list(F.struct("_a.i", "_x"))), lambda a: a["_x"])
+    return hits.groupBy("_g").agg(F.first("n").alias("n"), at.alias("at")).select("_g.*", "n", "at")
+
+
 def hash_bucket(hexdigest: str, digits: int = 3) -> Column:
     """Bucket of a row ordered by a hex digest: its leading ``digits`` hex digits."""
     return F.conv(F.substring(hexdigest, 1, digits), 16, 10).cast("int")

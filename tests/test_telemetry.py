@@ -87,6 +87,57 @@ def test_rounds_and_windows(spark):
     assert [r.phase for r in telemetry.phase_timeline(steps, 2, 2, 5).orderBy("step").collect()] == [0, 0, 1, 1, 2, 2, 0, 0]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_holds_a_host(spark):
+    """Random rows of one hot host and others give what plain folds give, and no plan collects or hands over a group."""
+    rng = np.random.default_rng(5)
+    hosts = ["hot" if rng.random() < 0.6 else f"h{rng.integers(4)}" for _ in range(3000)] + [None] * 30
+    at = rng.choice(2_000_000, len(hosts), replace=False)
+    rows = [(h, ts(int(a) / 100), "begin" if rng.random() < 0.4 else "transition", int(rng.integers(3)), float(rng.integers(9))) for h, a in zip(hosts, at, strict=True)]
+    df = spark.createDataFrame(rows, "host string, ts timestamp, event string, epoch long, value double").repartition(7).cache()
+    cycles, use = telemetry.epoch_cycle_times(df.select("host", "ts", "event", "epoch")), telemetry.utilisation_windows(df.select("host", "ts", "value"), span_ms=60_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    got_cycles, got_use = cycles.collect(), use.collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for host in set(hosts):
+        own = sorted(r[1:] for r in rows if r[0] == host)
+        want = list(fold_rounds([r[:3] for r in own]))
+        assert [r.name for r in sorted((r for r in got_cycles if r.host == host), key=lambda r: r.ts)] == want and len(want) > 5
+        begin = trans = None
+        times = []
+        for t, e, k, _ in own:
+            if e == "begin":
+                times += [(t - trans[1]).total_seconds() * 1000] if trans and trans[0] == k else []
+                begin = (k, t)
+            elif begin and begin[0] + 1 == k:
+                times.append((t - begin[1]).total_seconds() * 1000)
+                trans = (k, t)
+            else:
+                times.append(1.0)
+                begin = trans = None
+        assert np.allclose([r.value for r in sorted((r for r in got_cycles if r.host == host), key=lambda r: r.ts)], times)
+        anchor, total, sums = None, 0.0, []
+        for t, _, _, v in own:
+            if anchor is not None and (t - anchor).total_seconds() > 60:
+                sums.append((anchor, t, total))
+                anchor, total = t, 0.0
+            anchor = anchor or t
+            total += v
+        assert sorted(tuple(r)[1:] for r in got_use if r.host == host) == sums
+    assert "FlatMapGroupsInPandas" not in plan_of(cycles) + plan_of(use)
+    values = [float("nan"), float("inf"), -float("inf"), -5.0, 0.0, 1e-9, 1e300] + [7.25] * 400 + list(rng.normal(0, 50, 593))
+    peers = spark.createDataFrame([("hot", float(v), 1, None if i % 4 == 0 else float(v) * 2) for i, v in enumerate(values)] + [(None, 3.0, 2, None), (None, 1.0, 2, None), ("void", None, 0, None)], "host string, rtt_ms double, retrans int, delivery_mbps double")
+    out = telemetry.peer_socket_summary(peers, ["host"])
+    near = lambda x, f: sorted(x, key=lambda v: (v != v, v))[min(len(x) - 1, round(f * (len(x) - 1)))]
+    got = {r.host: tuple(r)[1:] for r in out.collect()}
+    assert got["hot"][:5] == (1000, near(values, 0.5), near(values, 0.95), 1000, near([v * 2 for i, v in enumerate(values) if i % 4], 0.5))
+    assert got[None] == (2, 1.0, 3.0, 4, None, None) and got["void"] == (1, None, None, 0, None, None)
+    assert "collect_list(rtt_ms" not in plan_of(out)
+
+
 def test_visible_errors_and_activity(spark):
     df = spark.createDataFrame([("h", f"2026-01-01 00:00:0{i},000 - ERROR - odd {i}") for i in range(5)] + [("h", "ERROR without time")], "host string, value string")
     assert telemetry.error_capture(telemetry.parse_lines(df), 2).count() == 2
