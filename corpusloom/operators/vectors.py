@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.scalar import finite
+from corpusloom.plans.ranking import at_ranks
 
 
 def finite_rows(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -105,12 +106,34 @@ def quantize_uniform8(df: DataFrame, by: list[str], vec: str = "embedding") -> t
     return codes.select(*by, "vec_id", "pos", "x", "code"), book
 
 
+def quantile_borders(long: DataFrame, by: list[str], borders: int) -> DataFrame:
+    """Per group the interpolated quantiles at k/(borders+1) of ``x`` as ``_b``, exact, by ranks over buckets of values."""
+    numbers = F.sequence(F.lit(0), F.lit(borders - 1))
+    place = lambda n, k: (n - 1) * ((k + 1) / F.lit(borders + 1))
+
+    def ranks(n: Column) -> Column:
+        return F.flatten(F.transform(numbers, lambda k: F.array(F.floor(place(n, k)), F.ceil(place(n, k)))))
+
+    def near(start: Column, stop: Column, n: Column) -> Column:
+        """Whether a border lies within two ranks; the others are by far the most."""
+        per_rank = F.lit(borders + 1.0) / F.greatest(n - 1, F.lit(1))
+        return F.floor((start - 2) * per_rank) < F.floor((stop + 1) * per_rank)
+
+    def border(k: Column) -> Column:
+        low, high, h = F.get("at", 2 * k), F.get("at", 2 * k + 1), place(F.col("n"), k)
+        return F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+    return at_ranks(long, by, "x", ranks, near).select(*by, F.array_sort(F.transform(numbers, border)).alias("_b"))
+
+
 def quantize_quantile8(df: DataFrame, by: list[str], vec: str = "embedding", borders: int = 255) -> tuple[DataFrame, DataFrame]:
     """As above with interpolated quantiles as borders: a code is the number of borders strictly below the value."""
     long = df.select(*by, F.col("vec_id"), F.posexplode(vec).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    points = F.array(*[F.lit((k + 1) / (borders + 1)) for k in range(borders)])
-    cuts = long.groupBy(*by).agg(F.percentile("x", points).alias("_b"))
-    codes = long.join(cuts, by).withColumn("code", F.aggregate("_b", F.lit(0), lambda n, b: n + (b < F.col("x")).cast("int")))
+    cuts = quantile_borders(long, by, borders)
+    # Binary search: a step is taken when the border that it would count last is below the value.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(borders.bit_length()))])
+    below = lambda x: F.aggregate(steps, F.lit(0), lambda n, s: n + F.when(F.get("_b", n + s - 1) < x, s).otherwise(0))
+    codes = long.join(cuts, by).withColumn("code", below(F.col("x")))
     book = codes.groupBy(*by, "code").agg(F.avg("x").alias("centre"), F.count(F.lit(1)).alias("n"))
     return codes.select(*by, "vec_id", "pos", "x", "code"), book
 

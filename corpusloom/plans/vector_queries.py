@@ -68,7 +68,7 @@ def q_quantize_uniform8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_quantize_quantile8(spark: SparkSession, d: str) -> DataFrame:
-    """Fewer borders than a byte allows, so that the SQL twin stays short."""
+    """Fewer borders than a byte allows, so that the SQL twin stays short; ``quantize_quantile8_byte`` has all 255."""
     return vectors.quantize_quantile8(embeddings(spark, d), ["label"], borders=7)[1].select("label", "code", "n", F.round("centre", 5).alias("centre"))
 
 
@@ -78,6 +78,16 @@ def q_dequantize(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("vec_id").agg(F.round(F.sum("restored"), 4).alias("total"), F.round(F.max(F.abs(F.col("restored") - F.col("x"))), 4).alias("worst"))
 
 
+def q_quantize_quantile8_byte(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.quantize_quantile8(embeddings(spark, d), ["label"])[1].select("label", "code", "n", F.round("centre", 5).alias("centre"))
+
+
+def q_dequantize_byte(spark: SparkSession, d: str) -> DataFrame:
+    codes, book = vectors.quantize_quantile8(embeddings(spark, d), ["label"])
+    out = vectors.dequantize(codes, book, ["label"])
+    return out.groupBy("vec_id").agg(F.round(F.sum("restored"), 4).alias("total"), F.round(F.max(F.abs(F.col("restored") - F.col("x"))), 4).alias("worst"))
+
+
 def q_scale_meanstd(spark: SparkSession, d: str) -> DataFrame:
     out = embeddings(spark, d).select("vec_id", vectors.scale_meanstd(F.col("embedding")).alias("v"))
     return out.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 3).alias("square"), F.round(F.array_max("v"), 4).alias("top"))
@@ -101,6 +111,7 @@ QUERIES = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
 
 LONG = "long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings)"
 CUTS = f"{LONG}, cuts AS (SELECT label, quantile_cont(x, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS b FROM long GROUP BY label), codes AS (SELECT vec_id, label, pos, x, len(list_filter(b, lambda q: q < x))::INT AS code FROM long JOIN cuts USING (label))"
+BYTE = f"{LONG}, cuts AS (SELECT label, quantile_cont(x, {[k / 256 for k in range(1, 256)]}) AS b FROM long GROUP BY label), codes AS (SELECT vec_id, label, pos, x, len(list_filter(b, lambda q: q < x))::INT AS code FROM long JOIN cuts USING (label))"
 ORACLE_SQL = {
     "weighted_vector_mean": f"WITH {LONG}, m AS (SELECT label, pos, CASE WHEN sum(vec_id % 4) <> 0 THEN sum(x * (vec_id % 4)) / sum(vec_id % 4) END AS v FROM long GROUP BY label, pos) SELECT label, list(round(v, 4) + 0.0 ORDER BY pos) AS mean FROM m GROUP BY label",
     "delta_update": f"WITH {LONG}, m AS (SELECT label, pos, avg(x) AS v FROM long GROUP BY label, pos) SELECT vec_id, round(sum(x + v - x / 2), 3) AS total FROM long JOIN m USING (label, pos) GROUP BY vec_id",
@@ -121,6 +132,8 @@ ORACLE_SQL = {
         SELECT label, code, count(*) AS n, round(avg(x), 5) AS centre FROM c GROUP BY 1, 2""",
     "quantize_quantile8": f"WITH {CUTS} SELECT label, code, count(*) AS n, round(avg(x), 5) AS centre FROM codes GROUP BY 1, 2",
     "dequantize": f"WITH {CUTS}, d AS (SELECT *, avg(x) OVER (PARTITION BY label, code) AS restored FROM codes) SELECT vec_id, round(sum(restored), 4) AS total, round(max(abs(restored - x)), 4) AS worst FROM d GROUP BY vec_id",
+    "quantize_quantile8_byte": f"WITH {BYTE} SELECT label, code, count(*) AS n, round(avg(x), 5) AS centre FROM codes GROUP BY 1, 2",
+    "dequantize_byte": f"WITH {BYTE}, d AS (SELECT *, avg(x) OVER (PARTITION BY label, code) AS restored FROM codes) SELECT vec_id, round(sum(restored), 4) AS total, round(max(abs(restored - x)), 4) AS worst FROM d GROUP BY vec_id",
     "scale_meanstd": f"WITH {LONG}, s AS (SELECT vec_id, x - avg(x) OVER (PARTITION BY vec_id) AS c FROM long), t AS (SELECT vec_id, c / greatest(sqrt(avg(c * c) OVER (PARTITION BY vec_id)), 1e-6) AS v FROM s) SELECT vec_id, round(sum(v * v), 3) AS square, round(max(v), 4) AS top FROM t GROUP BY vec_id",
     "received_fraction": "WITH e AS (SELECT l_suppkey AS owner, l_linenumber, l_orderkey, bool_or(l_returnflag = 'N') AS got FROM lineitem GROUP BY 1, 2, 3) SELECT owner, count(*) AS expected, count(*) FILTER (got) AS received, round(count(*) FILTER (got) / count(*), 6) AS fraction FROM e GROUP BY owner",
 }

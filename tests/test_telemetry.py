@@ -192,6 +192,28 @@ def test_vector_casts_and_quantiles(spark):
     assert book.agg(F.sum("n")).first()[0] == len(x)
 
 
+def test_quantile_borders_are_exact(spark, data_dir):
+    """Borders equal a plain computation for small, tied, tiny and huge groups, without a buffer of a whole group."""
+    rng = np.random.default_rng(3)
+    groups = {0: [1.5], 1: [2.0, -2.0], 2: [0.25] * 300 + [0.5], 3: list(rng.normal(0, 1e-6, 700)), 4: list(rng.choice([-1e300, 0.0, 3.0, 1e300], 90)), 5: list(rng.normal(0, 9, 1111))}
+    rows = [(g, 100 * g + i, [float(x) for x in xs[i::3]]) for g, xs in groups.items() for i in range(3)]
+    df = spark.createDataFrame(rows, "label int, vec_id long, embedding array<double>").repartition(5)
+    for borders in (7, 100, 255):
+        codes, book = vectors.quantize_quantile8(df, ["label"], borders=borders)
+        assert "percentile" not in plan_of(codes)
+        got = {g: [] for g in groups}
+        for r in codes.collect():
+            got[r.label].append((r.x, r.code))
+        for g, xs in groups.items():
+            x, h = np.sort(xs), (len(xs) - 1) * (np.arange(1, borders + 1) / (borders + 1))
+            low, high = x[np.floor(h).astype(int)], x[np.ceil(h).astype(int)]
+            cuts = np.sort(np.where(low == high, low, (np.ceil(h) - h) * low + (h - np.floor(h)) * high))
+            assert sorted(got[g]) == [(v, int((cuts < v).sum())) for v in x]
+    from corpusloom.plans.vector_queries import QUERIES
+
+    assert QUERIES["quantize_quantile8_byte"](spark, data_dir).agg(F.max("code")).first()[0] == 255
+
+
 def test_socket_dump(spark, tmp_path):
     (tmp_path / "ss.txt").write_text(
         "State Recv-Q Send-Q Local Address:Port Peer Address:Port\nESTAB 0 0 10.0.0.1:5 10.0.0.2:443\n\t cubic rtt:12.5/1 minrtt:10.5 retrans:0/7 delivery_rate 90.5Mbps\n"
