@@ -76,18 +76,21 @@ def tier_lookup(df: DataFrame, tiers: DataFrame, value: str, name: str = "tier")
 
 
 def name_contains_lookup(df: DataFrame, reference: DataFrame, name: str, key: str = "ref_name") -> DataFrame:
-    """The longest reference key contained in each normalised name, word by word.
+    """The longest reference key contained in each normalised name; keys have any length and may lie within words.
 
-    Keys that end at word bounds are found by equality with the name's word n-grams, so no pair of tables is compared
-    in full.  Of keys of equal length the first by code point wins.
+    No pair of tables is compared in full: where a name has the first three characters of some key, only the stretches as
+    long as such keys are looked up, by equality.  Of keys of equal length the last by code point wins.
     """
-    words = F.split(scalar.normalize_name(F.col(name)), " ")
-    longest = 8
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    keys = reference.select(F.col(key), scalar.normalize_name(F.col(key)).alias("_k")).where(F.size(F.split("_k", " ")) <= longest)
-    met = df.withColumn("_k", F.explode(F.array_distinct(spans))).join(keys, "_k")
-    best = met.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.max_by(F.col(key), F.struct(F.length("_k"), F.col(key))).alias(key))
-    return df.join(best, df.columns, "left")
+    keys = reference.select(F.col(key), scalar.normalize_name(F.col(key)).alias("_k")).where("_k is not null").distinct()
+    begins = keys.select(F.substring("_k", 1, 3).alias("_g"), F.length("_k").alias("_n")).distinct()
+    names = df.select(F.col(name).alias("_name")).where("_name is not null").distinct().withColumn("_text", scalar.normalize_name(F.col("_name")))
+    places = names.withColumn("_p", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))))
+    # A key of no or few characters begins with all of them; the empty key is tried once.
+    grams = F.array(F.when(F.col("_p") == 1, F.lit("")), *[F.substring(F.col("_text"), F.col("_p"), F.lit(n)) for n in (1, 2, 3)])
+    met = places.withColumn("_g", F.explode(F.array_distinct(grams))).join(begins, "_g").where("_p + _n - 1 <= length(_text)")
+    found = met.select("_name", F.substring(F.col("_text"), F.col("_p"), F.col("_n")).alias("_k")).join(keys, "_k")
+    best = found.groupBy("_name").agg(F.max_by(F.col(key), F.struct(F.length("_k"), F.col(key))).alias(key))
+    return df.join(best, F.col(name) == F.col("_name"), "left").drop("_name")
 
 
 def pair_leases_receipts(leases: DataFrame, receipts: DataFrame, ttl: str = "60 seconds", by: tuple[str, ...] = ("origin", "seq", "receiver")) -> DataFrame:

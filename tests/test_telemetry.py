@@ -174,6 +174,19 @@ def test_record_details(spark):
         records.tier_lookup(spark.createDataFrame([(1.0,)], "v double"), tiers, "v").collect()
 
 
+def test_name_lookup_of_any_key(spark):
+    """Keys of many words and within words are found as by comparing all pairs; nulls in other columns lose nothing."""
+    keys = ["A10", "RTX 4090", "one two three four five six seven eight nine", "eight nine ten", "x", "GB", "RTX 40", "a-10", "tx"]
+    names = ["NVIDIA A100 80GB", "a 10", "zero One two-three four five six seven eight NINE ten", "GeForce RTX (4090) D", "rtx4090", "x", "", "??", "Quadro", "seven eight nine ten", None]
+    df = spark.createDataFrame([(n, None if i % 2 else i) for i, n in enumerate(names * 2)], "name string, other int")
+    plain = lambda x: " ".join("".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" else " " for c in x.lower()).split())
+    for some in (keys, [*keys, "-"]):
+        out = records.name_contains_lookup(df, spark.createDataFrame([(k,) for k in some], "ref_name string"), "name")
+        assert out.columns == ["name", "other", "ref_name"]
+        want = [(n, None if i % 2 else i, None if n is None else max(((len(plain(k)), k) for k in some if plain(k) in plain(n)), default=(0, None))[1]) for i, n in enumerate(names * 2)]
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
 def test_vector_casts_and_quantiles(spark):
     rng = np.random.default_rng(0)
     rows = [(i, 0, [float(x) for x in rng.normal(0, 10, 40).astype(np.float32)]) for i in range(30)] + [(99, 0, [1e30, -1e30, float(np.float32(0.1))])]
