@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.plans.groups import with_group_values
 from corpusloom.session import stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over ``a, b`` rows: neighbours of each node are moved to the least node around."""
+    """One star step over ``a, b`` rows: neighbours of each node are moved to the least node around.
+
+    A node may have a third of all edges: its least neighbour is found and brought back in salted parts.
+    """
     if large:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m"))
-    least = least.select("_a", F.least("_a", "_m").alias("_m"))
-    met = around.join(least, F.col("a") == F.col("_a"))
+    met = with_group_values(around, ["a"], F.xxhash64("b"), [F.min("b").alias("_p")], [F.min("_p").alias("_m")])
     if large:
-        moved = met.where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        moved = met.where("b > a").select(F.col("b").alias("a"), F.least("a", "_m").alias("b"))
     else:
-        moved = met.where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b")).unionByName(least.select(F.col("_a").alias("a"), F.col("_m").alias("b")))
+        # The edge to the least neighbour stays, as no edge is repeated; the other neighbours move there.
+        moved = met.select(F.when(F.col("b") == F.col("_m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("_m").alias("b"))
     return moved.where("a <> b").distinct()
 
 

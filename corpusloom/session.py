@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors can reach.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    local tests, a temporary folder is created and set as checkpoint folder.
+    local tests, a temporary folder is created and set as checkpoint folder; on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get()
 
@@ -43,3 +45,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, rows: int, each: int = 16) -> DataFrame:
+    """Deal out ``rows`` small rows that each stand for much work: a task has ``each`` of them at most, or fewer than a task's share.
+
+    The number is given, so adaptive execution keeps it; by the size of the rows it would merge all of them into one task.
+    """
+    return df.repartition(max(1, min(rows, max(shuffle_partitions(df.sparkSession), -(-rows // each)))))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar
+from corpusloom.session import dealt
 
 READ = 1 << 20
 
@@ -154,7 +155,7 @@ def scan_token_objects(spark: SparkSession, inventory: DataFrame, chunk_tokens:
                             yield pa.record_batch([pa.array([ordinal], pa.int64()), pa.array([pos], pa.int64()), pa.array([tokens.to_pylist()], pa.list_(pa.int32()))], names=["ordinal", "pos", "tokens"])
                         pos += len(data) // 4
 
-    return checked.repartition("ordinal").mapInArrow(slices, "ordinal long, pos long, tokens array<int>")
+    return dealt(checked, inventory.count(), 1).mapInArrow(slices, "ordinal long, pos long, tokens array<int>")
 
 
 def rechunk(slices: DataFrame, old_chunk: int) -> DataFrame:
@@ -248,8 +249,8 @@ def read_chunks(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
                         yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([pos], pa.int64()), pa.array([part.to_pylist()], pa.list_(pa.int32()))], names=["chunk_id", "pos", "tokens"])
                         pos += len(part)
 
-    listed = spark.createDataFrame(chunks, "chunk_id long, name string, tokens long, sha256 string").repartition("chunk_id")
-    return listed.mapInArrow(read, "chunk_id long, pos long, tokens array<int>")
+    listed = spark.createDataFrame(chunks, "chunk_id long, name string, tokens long, sha256 string")
+    return dealt(listed, len(chunks), 1).mapInArrow(read, "chunk_id long, pos long, tokens array<int>")
 
 
 def scan_log_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
