@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.ranking import hash_bucket, with_prefix_sum
+from corpusloom.session import shuffle_partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: 2^32 divided by the golden ratio, rounded to an odd number: multiples mod 2^32 are the golden-ratio points.
@@ -70,14 +71,15 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, max
     )
 
 
-def slot_schedule(targets: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+def slot_schedule(targets: DataFrame, chunk: int = 1 << 12) -> DataFrame:
     """The schedule: ``slot, _src, rank, _first, _words``: which words of the source's repeated stream a slot takes."""
     chunks = (
         targets.agg(F.max("_slots").alias("_n"))
         .where("_n > 0")
         .select("_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {chunk}"))).alias("_chunk"))
-        # A slot's place is known from its number alone, so the chunks are dealt out before they are unfolded.
-        .repartition("_chunk")
+        # A slot's place is known from its number alone, so the chunks are dealt out before they are unfolded.  The number of
+        # tasks is given, as adaptive execution would merge these few rows into one task that unfolds all slots.
+        .repartition(shuffle_partitions(targets.sparkSession), "_chunk")
     )
     points = chunks.select("_chunk", F.explode(F.expr(f"sequence(_chunk * {chunk}, least(_n, (_chunk + 1) * {chunk}) - 1)")).alias("slot"))
     points = points.withColumn("_point", F.pmod(F.pmod(F.col("slot"), F.lit(1 << 32)) * F.lit(GOLDEN_32), F.lit(1 << 32)) / F.lit(float(1 << 32)))
@@ -123,8 +125,9 @@ def mix_sources(
     documents.  If no document has words all targets are 0; an empty table gives an empty result.  Other
     columns are not read.  The result depends on ids, sources and sizes only, never on partitioning.
     """
-    sized = sized_documents(docs, id_col, text_col, source_col, seed)
-    targets = source_targets(sized, weights, share, max_repeat, block, min_blocks)
+    # Narrow rows, stored: words are counted once, and all that follows reads the counts.
+    sized = stored(sized_documents(docs, id_col, text_col, source_col, seed))
+    targets = stored(source_targets(sized, weights, share, max_repeat, block, min_blocks))
     placed = with_prefix_sum(sized, F.col("_size"), ["_src"], "_bucket", ["_order", "_id", "_size"], "_start")
     within = Window.partitionBy("_src", "_bucket").orderBy("_order", "_id", "_size")
     placed = placed.withColumn("_row", F.row_number().over(within)).join(targets, "_src")
