@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut, shared_dir
+from corpusloom.plans.groups import with_group_values
+from corpusloom.session import cut, dealt, shared_dir
 
 INDEX = "file string, offset long, length long, records long"
 CHUNK = (
@@ -225,27 +226,28 @@ def read_archives(index: DataFrame, folder: str, chunk_bytes: int = 1 << 20, wit
 
 
 def classified(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Add digest, size, record type and the record a revisit refers to.
+    """Add digest, size, record type and the record a revisit refers to; the html of a revisit is null, as its record has none.
 
     Payloads are equal when SHA-256 and length agree.  Of equal payloads of ``least_bytes`` or more, the
     record with the largest id is the response (all rows that repeat this id are); a row without id
     never is while another has one, and in a group without ids all are responses.
+
+    Groups are settled on narrow rows, by salted parts where a payload is repeated very often; the html then meets the
+    decisions by page, where nothing is hot.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).alias("url"),
-        F.col(html_col).alias("html"),
-        F.sha1(payload).alias("digest"),
-        F.octet_length(payload).cast("long").alias("size"),
-        F.sha2(payload, 256).alias("_same"),
+    same, size = F.sha2(payload, 256).alias("_same"), F.octet_length(payload).cast("long").alias("size")
+    page = F.col(id_col).cast("long").alias("page_id")
+    narrow = pages.select(page, same, size).where(F.col("size") >= least_bytes)
+    groups = with_group_values(
+        narrow, ["_same", "size"], F.xxhash64("page_id"), [F.max("page_id").alias("_k"), F.count(F.lit(1)).alias("_c")], [F.max("_k").alias("_kept"), F.sum("_c").alias("_n")], "_n > 1 and _kept is not null"
     )
-    groups = rows.where(F.col("size") >= least_bytes).groupBy("_same", "size").agg(F.max("page_id").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    shared = groups.where("_n > 1 and _kept is not null").select(F.col("_same").alias("_gsame"), F.col("size").alias("_gsize"), "_kept")
-    joined = rows.join(shared, (F.col("_same") == F.col("_gsame")) & (F.col("size") == F.col("_gsize")), "left")
-    again = F.col("_kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_kept"))
+    again = groups.where(~F.col("page_id").eqNullSafe(F.col("_kept"))).select(F.col("page_id").alias("_page"), F.col("_same").alias("_gsame"), F.col("size").alias("_gsize"), "_kept").distinct()
+    rows = pages.select(page, F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha1(payload).alias("digest"), size, same)
+    joined = rows.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_same") == F.col("_gsame")) & (F.col("size") == F.col("_gsize")), "left")
+    revisit = F.col("_kept").isNotNull()
     return joined.select(
-        "page_id", "url", "html", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_kept")).alias("refers_to")
+        "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("_kept").alias("refers_to")
     )
 
 
@@ -254,11 +256,13 @@ def archive_pages(pages: DataFrame, least_bytes: int = 1000, chunk_bytes: int =
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to, chunks``.  A null html is an empty
     payload, a null or odd url is left out or percent-encoded, repeated rows are records of their own, an empty
-    table gives an empty result.  Extra columns are not read.  The archives stay in the shared folder.
+    table gives an empty result.  An html of any length is written and read in chunks (it is one value of one row, so a
+    task holds it once as a row, but never its record as a whole).  Extra columns are not read.  The archives stay in the
+    shared folder.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     index = cut(write_archives(classified(pages, least_bytes), folder, chunk_bytes))
-    chunks = read_archives(index.repartition("file", "offset"), folder, chunk_bytes, with_data=False)
+    chunks = read_archives(dealt(index, index.count()), folder, chunk_bytes, with_data=False)
     # The last chunk of a record carries the digest and size of all of it.
     return chunks.where("last").select(
         "page_id",
