@@ -17,8 +17,6 @@ CACHE_CHARS = 48
 SLICE = 4 << 20
 #: ASCII marks and digits; not the apostrophe, which might start a contraction.
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha() and c != "'")
-#: Bytes of text that are encoded together.
-SLICE = 4 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,19 +62,25 @@ class WordEncoder:
 
     For tokenizers that drop white space and never merge across it, such as ``word_bpe_49k.json``, the ids of a text are
     those of its words in order.  Likewise, a word's leading run of letters and the marks behind it are split before
-    any merge, so both are looked up alone.
+    any merge, so both are looked up alone, if the run still ends in a letter when it is normalised.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _load(path)
         self.letters = Remembered(self._letters)
         self.words = Remembered(self._word)
+        self.whole = Remembered(self._stays_whole)
 
     def _letters(self, run: str) -> bytes:
         if run.isascii():
             return np.array([t.id for t in self.tokenizer.model.tokenize(run)], "<u4").tobytes()
         return self._pieces(run)
 
+    def _stays_whole(self, run: str) -> bytes:
+        """``b"1"`` if the tokenizer splits a mark behind the run from it; lower-casing U+0130, for one, leaves a mark of its own."""
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(run + "."))
+        return b"1" if pieces[-1][0] == "." else b""
+
     def _pieces(self, text: str) -> bytes:
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
         return np.array([t.id for p, _ in pieces for t in self.tokenizer.model.tokenize(p)], "<u4").tobytes()
@@ -90,6 +94,11 @@ class WordEncoder:
         """Pieces, and the two pieces of each word: its letters and its marks, or the whole word and nothing."""
         run = pc.utf8_rtrim(words, characters=MARKS)
         plain = pc.utf8_is_alpha(run)
+        odd = np.flatnonzero(pc.and_(plain, pc.invert(pc.string_is_ascii(run))).to_numpy(zero_copy_only=False))
+        if len(odd):
+            is_plain = plain.to_numpy(zero_copy_only=False).copy()
+            is_plain[odd] = [bool(self.whole[w]) for w in strings(run.take(pa.array(odd)))]
+            plain = pa.array(is_plain)
         runs = pc.ascii_lower(run.filter(plain)).dictionary_encode()
         is_plain = plain.to_numpy(zero_copy_only=False)
         cut = np.where(is_plain, pc.utf8_length(run).to_numpy(), 0).tolist()

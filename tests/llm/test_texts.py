@@ -39,6 +39,18 @@ def test_word_encoding_equals_whole_text(edge_rows, encode, small):
     assert got == [encode(t) for t in texts]
 
 
+def test_word_encoding_of_odd_letters(encode):
+    """10000 texts over letters that change when normalised, marks that combine, apostrophes, digits and special tokens."""
+    from corpusloom.llm.token_pieces import encoder
+
+    rng = random.Random(8)
+    alphabet = [*"aBıİiI.,-'!19 sStT", "\u0307", "\u0301", "\u0345", "é", "É", "ß", "ẞ", "Σ", "σ", "ς", "Å", "ŉ", "ﬁ", "한", "漢", "א", "\u0660", "²", "Ⅷ", "ª", "ʰ", "😀", "\x1c", "\x85", "\u200d", "<|endoftext|>", "<|", "|>", "'ll", "'S", "ǅ", "\ua7cb", "\u1c89"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(10_000)]
+    batch = pa.record_batch([pa.array(texts, pa.string())], names=["t"])
+    got = [ids[a:b].tolist() for _, ids, bounds in encoder(PATH).batches(batch, 0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert [t for t, g in zip(texts, got, strict=True) if g != encode(t)] == []
+
+
 def test_histogram(edge_docs, edge_rows, encode, no_docs, clashing):
     lengths = [len(encode(r[1])) for r in edge_rows]
     out = length_histogram(edge_docs, PATH)
