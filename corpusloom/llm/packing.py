@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.token_pieces import encoder
 from corpusloom.plans.ranking import hash_bucket, with_prefix_sum
-from corpusloom.session import cut
+from corpusloom.session import cut, dealt
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Slots that one task unfolds at a time.
-SPAN = 1 << 16
+#: Sequences whose slots are unfolded together.
+SPAN = 1 << 12
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool = False) -> DataFrame:
@@ -119,7 +119,7 @@ def pack_documents(
     pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = [(length, rank + k * SPAN * each, min(SPAN * each, n - k * SPAN * each), first + k * SPAN, each, at) for length, rank, n, first, each, at in plan_best_fit(histogram, capacity) for k in range(-(-n // (SPAN * each)))]
-    plan = spark.createDataFrame(runs, "length long, lo long, n long, first long, each long, at long").repartition("length", "lo")
+    plan = dealt(spark.createDataFrame(runs, "length long, lo long, n long, first long, each long, at long"), len(runs), 128)
     slots = plan.select("length", "lo", "first", "each", "at", F.explode(F.expr("sequence(0L, n - 1)")).alias("j")).select(
         F.col("length").alias("slot_length"),
         (F.col("lo") + F.col("j")).alias("slot_rank"),
