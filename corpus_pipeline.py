@@ -1,4 +1,8 @@
-"""Corpus pipeline: language ID, exact dedup, near dedup, mixing, packing, each over all that came before."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, mixing, packing, each over all that came before.
+
+Every stage takes empty tables, texts of any length, repeated rows, and further columns of any name, which all but the last
+pass on.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +21,27 @@ from corpusloom.session import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go."""
+    """Documents without a letter (null texts too) go, and those that every learned language codes worse than plain bytes."""
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts the smallest doc_id stays; null counts as empty, a row without id goes where its text has one with an id."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at 0.8 or more, the smallest doc_id stays."""
+    """Of each group linked by five-word shingles at 0.8 or more, the smallest doc_id stays; texts without words are groups of their own."""
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one that it takes in part is cut at a word."""
+    """Documents as often as the mix takes them; one that it takes in part is cut at a word.  Null sources are a source."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens placed in sequences."""
+    """Pieces of the documents' tokens placed in sequences; null and empty texts are a piece of the end token."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,10 +92,14 @@ class HashTable:
 
 @dataclass
 class Level:
-    """Entries of one order: costs of (context, symbol) and, of the same code as a context, its escape costs, by language."""
+    """Entries of one order: costs of (context, symbol), and of the escape from each context, by language.
+
+    Contexts have a table of their own: those that reach over the start of a text are no (context, symbol) of a lower order.
+    """
 
     table: HashTable
     cost: np.ndarray
+    contexts: HashTable
     escape: np.ndarray
 
 
@@ -102,7 +107,6 @@ class Level:
 class Model:
     langs: list[str] = field(default_factory=list)
     levels: list[Level] = field(default_factory=list)
-    escape_root: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @classmethod
     def build(cls, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
@@ -120,16 +124,13 @@ class Model:
                 escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
                 own = -np.log2(matrix / (total + kinds)[within])
             if order:
+                # What was seen after a context was seen after each shorter one, so none of these is missing.
                 below = model.levels[-1]
-                shorter = keys & np.uint64((1 << (8 * order)) - 1)
-                lower = below.cost[below.table.find(shorter)]
-                below.escape[below.table.find(context)] = escape
+                lower = below.cost[below.table.find(keys & np.uint64((1 << (8 * order)) - 1))].astype(np.float64)
             else:
-                model.escape_root, lower = escape[0], np.full(n_langs, 8.0)
+                lower = np.full(n_langs, 8.0)
             cost = np.where(matrix > 0, own, escape[within] + lower)
-            model.levels.append(Level(HashTable(keys), cost, np.zeros((len(keys), n_langs))))
-        for level in model.levels:
-            level.cost, level.escape = level.cost.astype(np.float32), level.escape.astype(np.float32)
+            model.levels.append(Level(HashTable(keys), cost.astype(np.float32), HashTable(context), escape.astype(np.float32)))
         return model
 
     def costs(self, data: np.ndarray) -> np.ndarray:
@@ -145,14 +146,11 @@ class Model:
             rest, code = rest[~hit], code[~hit]
             if not len(rest):
                 return out
+            context = level.contexts.find(code >> np.uint64(8))
+            known = context >= 0
+            out[rest[known]] += level.escape[context[known]]
             if order:
-                below = self.levels[order - 1]
-                context = below.table.find(code >> np.uint64(8))
-                known = context >= 0
-                out[rest[known]] += below.escape[context[known]]
                 code &= np.uint64((1 << (8 * order)) - 1)
-            else:
-                out[rest] += self.escape_root.astype(np.float32)
         out[rest] += 8.0
         return out
 
@@ -222,31 +220,36 @@ def has_letter(text: str | None) -> bool:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to rows that have ``text_col``: see ``identify_language``."""
+    """``lang_pred, score, bits, bytes`` for ``text_col``: see ``identify_language``; ``bits`` is the code length in that language.
+
+    ``text_col`` itself is left out; for ``und``, ``bits`` is null.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     keep = [c for c in docs.columns if c != text_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], text_col)
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("bytes", T.LongType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            langs, scores, lengths = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+            sizes = pc.binary_length(batch.column(batch.num_columns - 1).cast(pa.binary())).cast(pa.int64())
             worth = [k for k, t in enumerate(texts) if has_letter(t)] if model.langs else []
             if worth:
                 bits = model.bits([texts[k].encode("utf-8", "replace") for k in worth])
                 best = bits.argmin(axis=1)
                 sure = 1 / np.exp2(-(bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
-                for k, b, s in zip(worth, best.tolist(), sure.tolist(), strict=True):
-                    langs[k], scores[k] = model.langs[b], s
-            yield pa.record_batch([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+                for k, b, s, n in zip(worth, best.tolist(), sure.tolist(), bits.min(axis=1).tolist(), strict=True):
+                    langs[k], scores[k], lengths[k] = model.langs[b], s, n
+            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64()), sizes]
+            yield pa.record_batch(columns, names=[*keep, "lang_pred", "score", "bits", "bytes"])
 
     return rows.mapInArrow(score, schema)
 
 
 def identify_language(docs: DataFrame, train_docs: int = 1000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Language of every whole text: ``doc_id, held_out, lang_pred, score``.
+    """Language of every whole text: ``doc_id, held_out, lang_pred, score, bits, bytes``.
 
     The model learns from text and ``lang_col`` of rows outside the held-out fold; ``score`` is the posterior of the best
     language under equal priors.  Null texts, and texts without a letter, are ``und`` with score 0, as is
@@ -258,11 +261,19 @@ def identify_language(docs: DataFrame, train_docs: int = 1000, folds: int = 5, i
     return predict(slim, model, "_body")
 
 
-def keep_identified(docs: DataFrame, train_docs: int = 1000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose language can be told: not null and with a letter.
+#: Bits that a text may take beyond its plain bytes before no language is taken to have it; one or two odd letters do no harm.
+SLACK_BITS = 64.0
+
+
+def keep_identified(
+    docs: DataFrame, train_docs: int = 1000, folds: int = 5, slack_bits: float = SLACK_BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that are in one of the learned languages.
 
-    What has letters is kept whatever its language, so clean documents stay.  If no row has a language to learn from, the
-    model knows none and everything is kept that has a letter.
+    A text without a letter (or null) goes.  So does one that no language's model codes in ``8 * bytes + slack_bits`` bits:
+    plain bytes would describe it better than any language does, as with a script that no labelled row has.  If no row has a language
+    to learn from, the model knows none and everything is kept that has a letter.  Repeated rows are judged alike; an empty
+    table gives an empty result; extra columns may have any name.
     """
     model = train(docs, train_docs, folds, id_col, text_col, lang_col)
     if not model.langs:
@@ -270,4 +281,4 @@ def keep_identified(docs: DataFrame, train_docs: int = 1000, folds: int = 5, id_
     # The row travels as one column, so its names cannot clash.
     columns = docs.columns
     tagged = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).alias("body")), model, "body")
-    return tagged.where("lang_pred <> 'und'").select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    return tagged.where((F.col("lang_pred") != "und") & (F.col("bits") <= 8.0 * F.col("bytes") + slack_bits)).select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

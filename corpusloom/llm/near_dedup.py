@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import setsketch
 from corpusloom.llm.shingles import WordHash, shingle_set
 from corpusloom.plans.components import connected_components
+from corpusloom.plans.groups import with_group_values, with_looked_up
 from corpusloom.session import stored
 
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, regs binary"
@@ -99,35 +100,46 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float, m: int) -> DataFram
         return pd.Series(setsketch.joint_jaccard(more, less, m - more - less, na.to_numpy(np.float64), nb.to_numpy(np.float64)))
 
     slack = 5 * (least * (1 - least) / m) ** 0.5
-    one = nodes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
-    two = nodes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
-    met = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb"))
-    return met.where(estimate("ra", "rb", "na", "nb") >= least - slack).select("a", "b").distinct()
+    met = met_facts(pairs, nodes, ["n_shingles", "regs"]).where(F.least("n_shingles_a", "n_shingles_b") >= F.lit(least - 1e-9) * F.greatest("n_shingles_a", "n_shingles_b"))
+    return met.where(estimate("regs_a", "regs_b", "n_shingles_a", "n_shingles_b") >= least - slack).select("a", "b").distinct()
+
+
+def met_facts(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs ``a, b`` with the ``columns`` of both nodes, as ``<column>_a`` and ``<column>_b``.
+
+    A leader may be in a third of all pairs: its facts are sent once for each salt of them.
+    """
+    for side, other in (("a", "b"), ("b", "a")):
+        own = facts.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = with_looked_up(pairs, side, F.xxhash64(other), own)
+    return pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on the full sets."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(one, "a").join(two, "b")
-    return met.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    met = met_facts(pairs, sets, ["shingles"])
+    return met.where(100 * both >= percent * (F.size("shingles_a") + F.size("shingles_b") - both)).select("a", "b")
 
 
 def settled_apart(labelled: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of buckets whose nodes are not all in one component, with their present component."""
     now = labelled.select("key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left")
     now = stored(now.select("key", "doc_id", F.coalesce("root", "doc_id").alias("comp")))
-    apart = now.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select(F.col("key").alias("_key"))
-    return stored(now.join(stored(apart), F.col("key") == F.col("_key")).drop("_key"))
+    parts = [F.min("comp").alias("_p"), F.max("comp").alias("_q")]
+    apart = with_group_values(now, ["key"], F.xxhash64("doc_id"), parts, [F.min("_p").alias("_a"), F.max("_q").alias("_b")], "_a <> _b")
+    return stored(apart.select("key", "doc_id", "comp"))
 
 
 def star_pairs(labelled: DataFrame, order: F.Column) -> DataFrame:
     """Each node with the first node of its bucket by ``order``, where that is of another component."""
-    leaders = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("_l"))
-    leaders = leaders.select(F.col("key").alias("_key"), F.col("_l.id").alias("lead"), F.col("_l.c").alias("lead_comp"))
-    met = labelled.join(leaders, F.col("key") == F.col("_key")).where("comp <> lead_comp")
-    return met.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+    first = F.min(F.struct(order.alias("o"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("_p")
+    met = with_group_values(labelled, ["key"], F.xxhash64("doc_id"), [first], [F.min("_p").alias("_l")]).where("comp <> _l.c")
+    return met.select(F.least("doc_id", "_l.id").alias("a"), F.greatest("doc_id", "_l.id").alias("b")).distinct()
+
+
+#: Nodes of a bucket in one strip; a task compares two strips at a time.
+STRIP = 256
 
 
 def cross_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,17 +148,26 @@ def cross_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     Each node has a parity sketch of its whole set: every shingle flips one of ``PARITY`` bits.  The bits in which two
     sketches differ are at most the shingles that only one of the sets has, so a pair with more of them than the
     similarity allows is left out for certain, and what is left is not much more than the links.
+
+    A bucket is cut into strips of about ``STRIP`` nodes by a hash, and each two strips are a group of their own, so no bucket
+    is one task's work whatever its size.
     """
     known = stored(parity_sketches(sets))
-    rows = stored(labelled.join(known, "doc_id"))
+    count = with_group_values(labelled, ["key"], F.xxhash64("doc_id"), [F.count(F.lit(1)).alias("_p")], [F.sum("_p").alias("_n")])
+    strips = F.ceil(F.col("_n") / STRIP).cast("int")
+    rows = count.select("key", "doc_id", "comp", strips.alias("_strips"), F.pmod(F.xxhash64("doc_id", F.lit("strip")), strips).cast("int").alias("strip"))
+    rows = stored(rows.join(known, "doc_id"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_strips") - 1))
+    one = rows.withColumn("other", every).drop("_strips")
     columns = {c: f"_{c}" for c in ("key", "doc_id", "comp", "n", *PARITY_COLUMNS)}
-    other = rows.select(*[F.col(c).alias(d) for c, d in columns.items()])
+    # Each two rows meet once: in (strip of the one of the smaller component, strip of the other).
+    two = rows.withColumn("_other", F.col("strip")).withColumn("_strip", every).select(*[F.col(c).alias(d) for c, d in columns.items()], "_strip", "_other")
     sizes = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
     apart = F.lit(0)
     for c in PARITY_COLUMNS:
         apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
     close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("_n"))
-    met = rows.join(other, (F.col("key") == F.col("_key")) & (F.col("comp") < F.col("_comp")) & sizes & close)
+    met = one.join(two, (F.col("key") == F.col("_key")) & (F.col("strip") == F.col("_strip")) & (F.col("other") == F.col("_other")) & (F.col("comp") < F.col("_comp")) & sizes & close)
     return met.select(F.least("doc_id", "_doc_id").alias("a"), F.greatest("doc_id", "_doc_id").alias("b")).distinct()
 
 
@@ -155,8 +176,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     Documents are linked when the Jaccard similarity of their ``width``-word shingle sets is ``percent``/100 or more;
     ``component_id`` is the smallest id reachable and its row is kept.  A text without words (null, empty) has an empty
-    set and is linked with nothing.  A link is missed only if its nodes share no band: for 32 bands of 4 registers a
-    chance of about 5e-8 at similarity 0.8.  A row without id joins the group of an equal set and is
+    set and is linked with nothing.  A link can be missed in two ways: its nodes share no band (for 32 bands of 4 registers a
+    chance of 5e-8 at similarity 0.8), or the estimate of its similarity, by which pairs are chosen for the exact test, lies five
+    deviations too low (below 1e-6 at similarity 0.8; nodes that other links connect lose nothing).  A row without id joins the group of an equal set and is
     kept only where no row of it has an id; an id repeated with other texts is one node with several sets.  An empty
     table gives an empty result; other columns are not read.
     """
@@ -166,9 +188,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     same = stored(sketch.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))).where("rep is not null")
     nodes = sketch.where("n_shingles > 0").join(same.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi")
     keyed = nodes.select("doc_id", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select(F.col("key").alias("_key"))
     # Rows of buckets with more than one node: the only rows that later rounds read, and the only sets they need.
-    labelled = stored(keyed.join(stored(crowded), F.col("key") == F.col("_key")).select("key", "doc_id").distinct()).withColumn("comp", F.col("doc_id"))
+    parts = [F.min("doc_id").alias("_p"), F.max("doc_id").alias("_q")]
+    crowded = with_group_values(keyed, ["key"], F.xxhash64("doc_id"), parts, [F.min("_p").alias("_a"), F.max("_q").alias("_b")], "_a <> _b")
+    labelled = stored(crowded.select("key", "doc_id").distinct()).withColumn("comp", F.col("doc_id"))
     met = stored(labelled.select(F.col("doc_id").alias("_id")).distinct())
     sets = stored(shingle_sets(slim.join(met, F.col("doc_id") == F.col("_id"), "left_semi"), width))
     nodes = stored(nodes.join(met, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "n_shingles", "regs"))
