@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import setsketch
 from corpusloom.llm.shingles import WordHash, shingle_set
 from corpusloom.plans.components import connected_components
-from corpusloom.plans.groups import with_group_values, with_looked_up
+from corpusloom.plans.groups import with_group_values
 from corpusloom.session import stored
 
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, regs binary"
@@ -107,11 +107,11 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float, m: int) -> DataFram
 def met_facts(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs ``a, b`` with the ``columns`` of both nodes, as ``<column>_a`` and ``<column>_b``.
 
-    A leader may be in a third of all pairs: its facts are sent once for each salt of them.
+    A leader may be in very many pairs.  These are two longs each, streamed past one row of facts, and both sides of the join are
+    dealt out for it alone, so that adaptive execution splits such a leader.
     """
-    for side, other in (("a", "b"), ("b", "a")):
-        own = facts.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-        pairs = with_looked_up(pairs, side, F.xxhash64(other), own)
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
     return pairs
 
 
