@@ -101,7 +101,17 @@ def glob_match(path: Column, pattern: str) -> Column:
 
 def safe_object_name(name: Column) -> Column:
     """Relative, no empty, ``.`` or ``..`` segment, no backslash or control character."""
-    return name.rlike(r"^[^/\\\x00-\x1f]+(/[^/\\\x00-\x1f]+)*$") & ~name.rlike(r"(^|/)\.{1,2}(/|$)")
+    return name.rlike(r"^[^/\\\x00-\x1f]+(/[^/\\\x00-\x1f]+)*\z") & ~name.rlike(r"(^|/)\.{1,2}(/|$)")
+
+
+def safe_chunk_name(name: Column) -> Column:
+    """A safe object name of one segment that ends in ``.bin``."""
+    return safe_object_name(name) & ~name.contains("/") & name.rlike(r"[^.]\.bin\z")
+
+
+def schema_hash(kinds: dict[str, str]) -> str:
+    """SHA-256 over field names and types in the order of names, so that equal schemas agree whatever their order."""
+    return canonical_digest(sorted(kinds.items()))
 
 
 def crawl_of(path: Column) -> Column:

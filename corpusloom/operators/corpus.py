@@ -6,7 +6,9 @@ A document table has ``crawl, doc_id, text`` (all non-null); a keyed one also ``
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,24 @@ def tokenize_bytes(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn("tokens", scalar.byte_tokenize(column))
 
 
+def tokenize_with(df: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """``tokens`` by a pinned tokenizer file that every executor can open; no special tokens are added, null texts have none."""
+
+    @F.arrow_udf("array<int>")
+    def ids(text: pa.Array) -> pa.Array:
+        encode = _tokenizer(path).encode_batch_fast
+        return pa.array([e.ids for e in encode(text.fill_null("").to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+
+    return df.withColumn("tokens", ids.asNondeterministic()(column))
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def drop_docs_with_eos(df: DataFrame, eos: int) -> DataFrame:
     return df.where(~F.array_contains("tokens", eos))
 
@@ -96,6 +116,29 @@ def frame_tokens(df: DataFrame, bos: int | None, eos: int) -> DataFrame:
     return df.withColumn("tokens", F.concat(*parts))
 
 
+def assign_units(units: DataFrame, workers: int, worker: int | None = None) -> DataFrame:
+    """Units dealt to ``workers`` by the number at the end of ``unit_id``; with ``worker``, those of one of them."""
+    out = units.withColumn("worker", F.pmod(F.regexp_extract("unit_id", "([0-9]+)$", 1).cast("long"), F.lit(workers)).cast("int"))
+    return out if worker is None else out.where(F.col("worker") == worker)
+
+
+def union_parts(parts: Sequence[DataFrame]) -> DataFrame:
+    """Parts as one table, by column name; columns that a part lacks are an error."""
+    if not parts:
+        raise ValueError("no parts")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def reconcile_output(written: DataFrame, expected: DataFrame) -> DataFrame:
+    """Roles whose written documents or tokens differ from what the parts add up to; both have ``role, docs, tokens``."""
+    a = written.select("role", F.col("docs").alias("written_docs"), F.col("tokens").alias("written_tokens"))
+    met = a.join(expected.groupBy("role").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "role", "full")
+    return met.where(~(F.col("docs").eqNullSafe(F.col("written_docs")) & F.col("tokens").eqNullSafe(F.col("written_tokens"))))
+
+
 def unit_stats(df: DataFrame, by: Sequence[str] = ("unit_id",)) -> DataFrame:
     """Per unit, of rows with ``has_eos, is_validation, n_tokens`` (framed): seen, selected, dropped, validation, tokens."""
     taken = ~F.col("has_eos")

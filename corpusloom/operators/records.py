@@ -94,17 +94,26 @@ def name_contains_lookup(df: DataFrame, reference: DataFrame, name: str, key: st
 
 
 def pair_leases_receipts(leases: DataFrame, receipts: DataFrame, ttl: str = "60 seconds", by: tuple[str, ...] = ("origin", "seq", "receiver")) -> DataFrame:
-    """Leases with their receipt: settled within ``ttl`` (interval in seconds, at least 1e-9), else expired.
+    """Leases with their first receipt: settled within ``ttl`` (interval in seconds, at least 1e-9), else expired.
 
-    As an interval join it also runs stream to stream when both sides have a watermark.
+    A lease is settled once, whatever receipts follow; leases that agree in all columns are one.
     """
+    met = leases_met(leases, receipts, ttl, by).groupBy(*leases.columns).agg(F.min("receipt_ts").alias("receipt_ts"))
+    return with_lease_state(met)
+
+
+def with_lease_state(met: DataFrame) -> DataFrame:
+    seconds = (F.unix_micros("receipt_ts") - F.unix_micros("ts")) / 1e6
+    return met.withColumns({"state": F.when(F.col("receipt_ts").isNull(), "expired").otherwise("settled"), "interval_s": F.when(F.col("receipt_ts").isNotNull(), F.greatest(seconds, F.lit(1e-9)))})
+
+
+def leases_met(leases: DataFrame, receipts: DataFrame, ttl: str, by: tuple[str, ...]) -> DataFrame:
+    """Outer interval join: each lease with each receipt in time; it also runs stream to stream under watermarks."""
     r = receipts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("ts").alias("receipt_ts"))
     on = (F.col("receipt_ts") >= F.col("ts")) & (F.col("receipt_ts") <= F.col("ts") + F.expr(f"interval {ttl}"))
     for c in by:
         on = on & (F.col(c) == F.col(f"_{c}"))
-    out = leases.join(r, on, "left").drop(*[f"_{c}" for c in by])
-    seconds = (F.unix_micros("receipt_ts") - F.unix_micros("ts")) / 1e6
-    return out.withColumns({"state": F.when(F.col("receipt_ts").isNull(), "expired").otherwise("settled"), "interval_s": F.when(F.col("receipt_ts").isNotNull(), F.greatest(seconds, F.lit(1e-9)))})
+    return leases.join(r, on, "left").drop(*[f"_{c}" for c in by])
 
 
 def exclude_banned(members: DataFrame, bans: DataFrame, now: Column) -> DataFrame:
@@ -114,7 +123,10 @@ def exclude_banned(members: DataFrame, bans: DataFrame, now: Column) -> DataFram
     return members.join(b, "uid", "left").where(~F.coalesce(banned, F.lit(False))).drop("ban_endpoint", "ban_expiration")
 
 
-def already_registered(peers: DataFrame, addresses: DataFrame, roster: DataFrame, key: str = "peer_id") -> DataFrame:
+def already_registered(peers: DataFrame, addresses: DataFrame, roster: DataFrame, key: str = "peer_id", now: Column | None = None) -> DataFrame:
+    """Peers that an address book or a roster knows already; with ``now``, by records that have not expired."""
+    if now is not None:
+        addresses, roster = addresses.where(F.col("expiration") > now), roster.where(F.col("expiration") > now)
     return peers.join(addresses.select(key).unionByName(roster.select(key)).distinct(), key, "left_semi")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar
 from corpusloom.operators import corpus, samples
-from corpusloom.session import table
+from corpusloom.session import stored, table
+from corpusloom.sources import documents as sources
 
 CHUNK, SEQ, EOS_MARK = 4096, 512, "@"
 EOS = scalar.BYTE_SHIFT + ord(EOS_MARK)
@@ -29,7 +30,8 @@ def keyed(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.doc_key(documents(spark, d))
     rows = rows.withColumns({"n_tokens": (F.octet_length("text") + 2).cast("long"), "has_eos": F.col("text").contains(EOS_MARK)})
     rows = corpus.route_roles(corpus.with_validation(rows, DOMAIN, FRACTION), ["train", "validation"])
-    return rows.select("unit_id", "crawl", "doc_id", "key", "n_tokens", "has_eos", "is_validation", "role")
+    # Narrow rows, stored: texts are read, normalised and hashed once, whatever is made of them.
+    return stored(rows.select("unit_id", "crawl", "doc_id", "key", "n_tokens", "has_eos", "is_validation", "role"))
 
 
 def train_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +104,7 @@ def q_role_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_eos_drop_rate(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.eos_drop_violations(corpus.unit_stats(keyed(spark, d)), 0.05).select("unit_id", "seen", "dropped_eos")
+    return corpus.eos_drop_violations(corpus.unit_stats(keyed(spark, d)), 0.005).select("unit_id", "seen", "dropped_eos")
 
 
 def q_tranche(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +207,7 @@ def q_pending_units(spark: SparkSession, d: str) -> DataFrame:
 
 def q_marker_mismatches(spark: SparkSession, d: str) -> DataFrame:
     u = units(spark, d)
-    other = u.select("unit_id", F.when(F.col("pin").rlike("^0"), F.lit("stale")).otherwise(F.col("pin")).alias("pin"))
+    other = u.select("unit_id", F.when(F.col("pin").rlike("^[0-7]"), F.lit("stale")).otherwise(F.col("pin")).alias("pin"))
     return corpus.marker_mismatches(u, other, ["pin"]).select("unit_id", "pin", "marker_pin")
 
 
@@ -257,7 +259,8 @@ def q_framed_tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.tokenize_bytes(documents(spark, d).select("doc_id", "text"))
     rows = corpus.frame_tokens(corpus.assert_token_range(corpus.drop_docs_with_eos(rows, EOS), scalar.BYTE_CAP), scalar.BYTE_BOS, scalar.BYTE_EOS)
     pair = scalar.shift_labels(F.col("tokens"))
-    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first"), F.element_at("tokens", -1).alias("last"), F.size(pair["inputs"]).cast("long").alias("n_inputs"), F.element_at(pair["labels"], -1).cast("long").alias("last_label"))
+    inner = F.transform(F.slice("tokens", F.lit(2), F.size("tokens") - 2), lambda t: F.lpad(F.hex(t - scalar.BYTE_SHIFT), 2, "0"))
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first"), F.element_at("tokens", -1).alias("last"), F.size(pair["inputs"]).cast("long").alias("n_inputs"), F.element_at(pair["labels"], -1).cast("long").alias("last_label"), F.sha2(F.array_join(inner, ""), 256).alias("tokens_sha256"))
 
 
 def q_global_order(spark: SparkSession, d: str) -> DataFrame:
@@ -267,6 +270,46 @@ def q_global_order(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("key", "position")
 
 
+def q_assign_units(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.assign_units(units(spark, d), 3).select("unit_id", "worker")
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of two roles as one table."""
+    rows = keyed(spark, d).where("not has_eos").select("unit_id", "doc_id", "key", "n_tokens", "role")
+    return corpus.union_parts([rows.where(F.col("role") == r) for r in ("train", "validation")])
+
+
+def q_union_parts(spark: SparkSession, d: str) -> DataFrame:
+    return parts(spark, d)
+
+
+def q_reconcile_output(spark: SparkSession, d: str) -> DataFrame:
+    """Output that lost its documents of even ids does not add up to the parts."""
+    whole = corpus.role_stats(parts(spark, d))
+    written = parts(spark, d).where("doc_id % 2 = 1").groupBy("role").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
+    return corpus.reconcile_output(written, whole).select("role", "written_docs", "written_tokens", "docs", "tokens")
+
+
+def q_order_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Within a unit, documents in the order of ids are out of key order where a key is not larger than the one before."""
+    rows = keyed(spark, d).withColumn("position", F.col("doc_id"))
+    return corpus.order_violations(rows, "key", ("unit_id",)).select("doc_id", "key", "previous_key")
+
+
+def q_unique_names(spark: SparkSession, d: str) -> DataFrame:
+    return sources.unique_names(documents(spark, d).select(F.col("crawl").alias("name")))
+
+
+def q_chunk_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Of the chunks, those divisible by 5 are too long, those by 7 have another digest, those by 11 are missing."""
+    c = chunks(spark, d).withColumn("name", F.concat(F.lit("chunk-"), "chunk_id"))
+    manifest = c.select("name", "tokens", F.sha2("name", 256).alias("sha256"))
+    digest = F.sha2(F.when(F.col("chunk_id") % 7 == 0, F.lit("x")).otherwise(F.col("name")), 256)
+    found = c.where("chunk_id % 11 > 0").select("name", (4 * F.col("tokens") + F.when(F.col("chunk_id") % 5 == 0, 4).otherwise(0)).alias("size"), digest.alias("sha256"))
+    return corpus.chunk_integrity(found, manifest).select("name", "found_size", "tokens")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d)
 
@@ -280,7 +323,7 @@ ORACLE_SQL = {
     "unit_stats": f"""WITH {KEYED_SQL} SELECT unit_id, count(*) AS seen, count(*) FILTER (NOT has_eos) AS selected, count(*) FILTER (has_eos) AS dropped_eos,
         count(*) FILTER (NOT has_eos AND is_validation) AS validation, coalesce(sum(n_tokens) FILTER (NOT has_eos), 0)::BIGINT AS tokens FROM keyed GROUP BY unit_id""",
     "role_stats": f"WITH {KEYED_SQL} SELECT unit_id, role, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM keyed WHERE NOT has_eos GROUP BY ROLLUP (unit_id, role)",
-    "eos_drop_rate": f"WITH {KEYED_SQL} SELECT unit_id, count(*) AS seen, count(*) FILTER (has_eos) AS dropped_eos FROM keyed GROUP BY unit_id HAVING count(*) FILTER (has_eos) > 0.05 * count(*)",
+    "eos_drop_rate": f"WITH {KEYED_SQL} SELECT unit_id, count(*) AS seen, count(*) FILTER (has_eos) AS dropped_eos FROM keyed GROUP BY unit_id HAVING count(*) FILTER (has_eos) > 0.005 * count(*)",
     "tranche": f"WITH {KEYED_SQL} SELECT doc_id, key, n_tokens FROM keyed WHERE key < '{scalar.share_threshold(0.25, 32)}'",
     "stream_offsets": f"WITH {STREAM_SQL} SELECT * FROM stream",
     "token_budget": f"WITH {STREAM_SQL} SELECT doc_id, start_pos, least(n_tokens, {BUDGET} - start_pos) AS n_tokens FROM stream WHERE start_pos < {BUDGET}",
@@ -309,7 +352,7 @@ ORACLE_SQL = {
     "with_crawl": """SELECT page_id, path, CASE WHEN page_id % 3 = 0 THEN 'CC-MAIN-' || page_id % 7 ELSE regexp_replace(path, '\\.[^.]*$', '') END AS crawl FROM (
         SELECT page_id, CASE WHEN page_id % 3 = 0 THEN split_part(url, '/', 3) || '/CC-MAIN-' || page_id % 7 || '/' || page_id || '.html' ELSE split_part(url, '/', 3) END AS path FROM pages)""",
     "pending_units": f"""WITH {KEYED_SQL}, u AS (SELECT unit_id, substr(sha256(min(key)), 1, 8) AS pin FROM keyed GROUP BY unit_id) SELECT unit_id, pin FROM u WHERE NOT regexp_matches(pin, '^[a-f]')""",
-    "marker_mismatches": f"""WITH {KEYED_SQL}, u AS (SELECT unit_id, substr(sha256(min(key)), 1, 8) AS pin FROM keyed GROUP BY unit_id) SELECT unit_id, pin, 'stale' AS marker_pin FROM u WHERE pin LIKE '0%'""",
+    "marker_mismatches": f"""WITH {KEYED_SQL}, u AS (SELECT unit_id, substr(sha256(min(key)), 1, 8) AS pin FROM keyed GROUP BY unit_id) SELECT unit_id, pin, 'stale' AS marker_pin FROM u WHERE pin < '8'""",
     "reconcile_units": f"""WITH {KEYED_SQL}, m AS (SELECT unit_id, count(*) AS seen, count(*) FILTER (NOT has_eos) AS selected, coalesce(sum(n_tokens) FILTER (NOT has_eos), 0)::BIGINT AS tokens,
         count(*) FILTER (NOT has_eos AND role = 'train') AS part_docs, coalesce(sum(n_tokens) FILTER (NOT has_eos AND role = 'train'), 0)::BIGINT AS part_tokens FROM keyed GROUP BY unit_id)
         SELECT unit_id, seen, selected, part_docs, part_tokens, tokens FROM m WHERE part_docs <> selected OR part_tokens <> tokens""",
@@ -323,6 +366,14 @@ ORACLE_SQL = {
     "membership_diff": """SELECT DISTINCT doc_id, 'evict' AS action FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'refresh' FROM labels""",
     "same_set": """(SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents))""",
     "disjoint": f"WITH {KEYED_SQL} SELECT crawl FROM keyed WHERE role = 'train' INTERSECT SELECT crawl FROM keyed WHERE role = 'validation'",
-    "framed_tokens": f"""WITH {DOCS_SQL} SELECT doc_id, (octet_length(encode(text)) + 2)::BIGINT AS n_tokens, 1 AS "first", 2 AS "last", (octet_length(encode(text)) + 1)::BIGINT AS n_inputs, 2::BIGINT AS last_label FROM docs WHERE NOT contains(text, '{EOS_MARK}')""",
+    "framed_tokens": f"""WITH {DOCS_SQL} SELECT doc_id, (octet_length(encode(text)) + 2)::BIGINT AS n_tokens, 1 AS "first", 2 AS "last", (octet_length(encode(text)) + 1)::BIGINT AS n_inputs, 2::BIGINT AS last_label, sha256(hex(encode(text))) AS tokens_sha256 FROM docs WHERE NOT contains(text, '{EOS_MARK}')""",
     "global_order": f"WITH {KEYED_SQL} SELECT key, row_number() OVER (ORDER BY key) - 1 AS position FROM keyed",
+    "assign_units": f"WITH {KEYED_SQL} SELECT DISTINCT unit_id, (regexp_extract(unit_id, '[0-9]+$')::BIGINT % 3)::INT AS worker FROM keyed",
+    "union_parts": f"WITH {KEYED_SQL} SELECT unit_id, doc_id, key, n_tokens, role FROM keyed WHERE NOT has_eos",
+    "reconcile_output": f"""WITH {KEYED_SQL} SELECT role, count(*) FILTER (doc_id % 2 = 1) AS written_docs, (sum(n_tokens) FILTER (doc_id % 2 = 1))::BIGINT AS written_tokens, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens
+        FROM keyed WHERE NOT has_eos GROUP BY role HAVING written_docs <> docs OR written_tokens <> tokens""",
+    "order_violations": f"WITH {KEYED_SQL} SELECT doc_id, key, lag(key) OVER (PARTITION BY unit_id ORDER BY doc_id) AS previous_key FROM keyed QUALIFY previous_key >= key",
+    "unique_names": f"WITH {DOCS_SQL} SELECT crawl AS name, count(*) AS times FROM docs GROUP BY crawl HAVING count(*) > 1",
+    "chunk_integrity": f"""WITH {PIECES_SQL} SELECT 'chunk-' || chunk_id AS name, CASE WHEN chunk_id % 11 > 0 THEN 4 * tokens + CASE WHEN chunk_id % 5 = 0 THEN 4 ELSE 0 END END AS found_size, tokens
+        FROM chunks WHERE chunk_id % 5 = 0 OR chunk_id % 7 = 0 OR chunk_id % 11 = 0""",
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import scalar
 from corpusloom.operators import records, telemetry
 from corpusloom.session import table
 
@@ -84,8 +85,7 @@ def q_pair_leases_receipts(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     leases = e.where("event_type = 'view'").select(F.col("host").alias("origin"), F.col("event_id").alias("lease"), "ts", F.expr("event_id % 3").alias("seq"))
     receipts = e.where("event_type = 'click'").select(F.col("host").alias("origin"), F.expr("event_id % 3").alias("seq"), "ts")
-    met = records.pair_leases_receipts(leases, receipts, "12 hours", ("origin", "seq"))
-    return met.groupBy("lease").agg(F.min("state").alias("state"), F.min("interval_s").alias("interval_s"), F.count("receipt_ts").alias("receipts"))
+    return records.pair_leases_receipts(leases, receipts, "12 hours", ("origin", "seq")).select("lease", "state", "interval_s")
 
 
 def q_exclude_banned(spark: SparkSession, d: str) -> DataFrame:
@@ -97,8 +97,9 @@ def q_exclude_banned(spark: SparkSession, d: str) -> DataFrame:
 
 def q_already_registered(spark: SparkSession, d: str) -> DataFrame:
     peers = table(spark, d, "customer").select(F.col("c_custkey").alias("peer_id"))
-    book = table(spark, d, "supplier").select(F.col("s_suppkey").alias("peer_id"))
-    return records.already_registered(peers, book, table(spark, d, "events").select(F.col("user_id").alias("peer_id")))
+    book = table(spark, d, "supplier").select(F.col("s_suppkey").alias("peer_id"), F.lit("2024-02-01").cast("timestamp_ltz").alias("expiration"))
+    roster = log(spark, d).select(F.col("key").alias("peer_id"), "expiration")
+    return records.already_registered(peers, book, roster, now=now())
 
 
 def q_verify_members(spark: SparkSession, d: str) -> DataFrame:
@@ -270,6 +271,101 @@ def q_error_capture(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.error_capture(lines(spark, d), 3).select("event_id")
 
 
+def q_visible_lines(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.visible_lines(lines(spark, d), order=ORDER).select("event_id", "tag")
+
+
+# A line of each family of the fleet's logs, and the metrics (kind, name, value) that it holds.
+FAMILY_LINES: tuple[tuple[str, str, tuple[tuple[str, str, float], ...]], ...] = (
+    ("T1", "INFO - Failed to load state from peers: TimeoutError", (("error", "error_loadtimeout", 1),)),
+    ("T1", "INFO - one of the variables needed for gradient computation has been modified by an inplace operation", (("error", "error_grad_version", 1),)),
+    ("T1", "INFO - Accumulate buffer full, no sentinel added", (("error", "error_ar_accumulate_buffer_full", 1),)),
+    ("T1", "WARNING - Dropping address-book record", (("error", "error_ms_verification_drop", 1),)),
+    ("T1", "INFO - [FAILURE SIM] Inducing failure case 2", (("error", "failure_sim_mm", 1),)),
+    ("T2", "INFO - Pre Max total_grad: 1.5", (("gauge", "pre_max_grad", 1.5),)),
+    ("T2", "INFO - Post step total_grad: 2.25", (("gauge", "post_step_grad", 2.25),)),
+    ("T3", "INFO - total_tokens_processed = 262144", (("gauge", "head_total_tokens", 262144),)),
+    ("T4", "INFO - Banned expert body1.0.7 reason=timeout duration=3600s", (("label", "ban_timeout_body1.0.7", 1),)),
+    ("T5", "INFO - [GhostPhase] phase: 2", (("gauge", "ghost_phase", 2),)),
+    ("T6", "INFO - GPU mem size is 80Gb", (("gauge", "gpu_total", 80),)),
+    ("T6", "INFO - CPU load is 0.5", (("gauge", "cpu_load", 0.5),)),
+    ("T7", "INFO - Latency: 12.5 ms", (("gauge", "latency_rtt", 12.5),)),
+    ("T8", "INFO - see 5 of body1.", (("gauge", "peer_vis_body1", 5),)),
+    ("T9", "INFO - Sent 1.5 Rcv 2.5", (("gauge", "send_comm", 1.5), ("gauge", "recv_comm", 2.5), ("gauge", "tot_comm", 4))),
+    ("T10", "INFO - Number open connections -1", (("gauge", "open_conns", -1),)),
+    ("T12", "INFO - TCP peers: n=3 rtt_p50_ms=10.00 rtt_p95_ms=- retrans_total=7 delivery_rate_p50_mbps=90.00 delivery_rate_min_mbps=-", (("gauge", "tcp_peer_count", 3), ("duration", "tcp_peer_rtt_p50", 10), ("gauge", "tcp_peer_retrans_total", 7), ("gauge", "tcp_peer_delivery_p50", 90))),
+    ("T13", "INFO - [Metadata Store Client Stats] Last 60s - requests: 5, mean_latency: 1.5ms, max_latency: 9.5ms, failures: 1, retries: 2", (("gauge", "ms_client_requests", 5), ("duration", "ms_client_mean_latency", 1.5), ("duration", "ms_client_max_latency", 9.5), ("gauge", "ms_client_failures", 1), ("gauge", "ms_client_retries", 2), ("gauge", "ms_client_rejects", 0), ("gauge", "ms_client_dropped_expired", 0))),
+    ("T14", "INFO - [ActCache] entries: 1, bytes: 2, puts: 3, hits: 4, misses: 5, evictions_fifo: 6, evictions_ttl: 7, overwrites: 8, drops: 9", tuple(("gauge", f"act_cache_{x}", k + 1) for k, x in enumerate(("entries", "bytes", "puts", "hits", "misses", "evictions_fifo", "evictions_ttl", "overwrites", "drops")))),
+    ("T15", "INFO - [W2WHop] next_hops_learned: 1, prev_hops_learned: 2, parse_errors: 3", (("gauge", "w2w_next_hops_learned", 1), ("gauge", "w2w_prev_hops_learned", 2), ("gauge", "w2w_next_hop_parse_error", 3))),
+    ("T16", "INFO - [W2WInject] window: 8, occupancy: 0.5", (("gauge", "w2w_inflight_window", 8), ("gauge", "w2w_queue_occupancy", 0.5))),
+    (
+        "T17",
+        "INFO - [W2WSend] entries: 1, accepted_forward: 2, accepted_backward: 3, busy: 4, forward_pushes: 5, backward_pushes: 6, busy_retries: 7, drops: 8, push_errors: 9, per_target: a.1=2 b.2=3",
+        (*(("gauge", f"w2w_send_{x}", k + 1) for k, x in enumerate(("entries", "accepted_forward", "accepted_backward", "busy", "forward_pushes", "backward_pushes", "busy_retries", "drops", "push_errors"))), ("label", "w2w_push_fail_a.1", 2), ("label", "w2w_push_fail_b.2", 3)),
+    ),
+    ("T18", "INFO - [HandlerLiveness] stale: 1, ages_s: 0.1/65.0/0.2", (("gauge", "handler_stale_count", 1), ("gauge", "handler_max_age_s", 65))),
+    ("T19", "INFO - accumulated 12 samples", (("gauge", "batch_step", 12),)),
+    ("T21", "INFO - body1.0.7_backward: 4 batches (0.47 s/batch), 56 examples (0.93 s/example), avg batch size 2.00, avg batch await time 12ms", (("gauge", "backward_batches", 4), ("gauge", "avg_batch_size", 2), ("duration", "batch_await_time", 12))),
+    ("T22", "INFO - Processed 5 batches in last 60 seconds:", (("flush", "flop", 5),)),
+    ("T23", "INFO - Formed group with 3 peers out of 4 in 1.5 secs", (("gauge", "formed_groupsize", 3), ("gauge", "max_groupsize", 4), ("gauge", "mm_time", 1.5))),
+    ("T24", "INFO - Averaging gradients failed with TimeoutError()", (("gauge", "grad_avg_timeout", 1), ("gauge", "grad_avg_groupsize", 0))),
+    ("T24", "INFO - Averaged gradients with 6 peers", (("gauge", "grad_avg_groupsize", 6), ("gauge", "grad_avg_timeout", 0))),
+    ("T25", "INFO - Averaging: received 97.5%", (("gauge", "average_pcnt", 97.5),)),
+    ("T26", "INFO - Failed to receive tensors from peer p1: 3 failures, reason=timeout", (("error", "ar_peer_failure_timeout", 1),)),
+    ("T27", "INFO - AR yield blocked 1.5s for sender 2 (inbound_qsize=3/8)", (("duration", "ar_yield_stall", 1.5), ("gauge", "ar_in_qsize", 3))),
+    ("T27", "INFO - AR chunk gap stats sender 1: max=2.5s mean=0.5s n=3", (("gauge", "ar_chunk_gap_max", 2.5), ("gauge", "ar_chunk_gap_mean", 0.5))),
+    ("T28", "INFO - Beginning optimizer step #41", (("gauge", "step", 41), ("event", "ar_begin", 41))),
+    ("T28", "INFO - Transitioning to epoch 42", (("event", "ar_transition", 42),)),
+)
+
+
+def q_family_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Every event logs a line of one of all families."""
+    e = events(spark, d)
+    text = F.element_at(F.array(*[F.lit(line) for _, line, _ in FAMILY_LINES]), (F.col("event_id") % len(FAMILY_LINES) + 1).cast("int"))
+    rows = telemetry.parse_lines(e.select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - "), text).alias("value")))
+    rows = telemetry.classify_lines(rows).withColumn("family", F.element_at(F.array(*[F.lit(r.family) for r in telemetry.RULES]), F.col("rule") + 1))
+    return telemetry.extract_metrics(rows.select("event_id", "family", "line")).select("event_id", "family", "kind", "name", "value")
+
+
+def q_own_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's record holds an address of its own, one of its neighbour and one without an owner."""
+    c = table(spark, d, "customer")
+    own = F.concat(F.lit("/ip4/10.0.0."), "c_nationkey", F.lit("/tcp/"), F.expr("c_custkey % 100"), F.lit("/p2p/p"), "c_custkey")
+    rows = c.select(F.concat(F.lit("p"), "c_custkey").alias("peer_id"), F.array(own, F.concat(F.lit("/ip4/10.1.0.1/tcp/1/p2p/p"), F.col("c_custkey") + 1), F.lit("/dns/x")).alias("addresses"))
+    return records.own_addresses(rows).select("peer_id", F.array_join("addresses", ",").alias("addresses"))
+
+
+def q_group_candidates(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("event_type") == "view", "true").when(F.col("event_type") == "click", "false").otherwise(F.col("event_type"))
+    return records.group_candidates(events(spark, d).select("event_id", value.alias("value")), only_active=False).select("event_id", "looking_for_group")
+
+
+def q_state_donors(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select(F.concat(F.lit("head.0."), "s_suppkey").alias("uid"), F.col("s_nationkey").alias("priority"))
+    return records.state_donors(s, "priority", "head.0.3", "head.0.5").select("uid", "priority")
+
+
+def q_rate_to_mbps(spark: SparkSession, d: str) -> DataFrame:
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("bps", "Kbps", "Mbps", "Gbps", "")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.round(scalar.rate_to_mbps(F.concat(F.col("p_size").cast("string"), F.lit(".5"), unit)), 9).alias("mbps"))
+
+
+def q_successor_stage(spark: SparkSession, d: str) -> DataFrame:
+    stage = F.element_at(F.array(*[F.lit(x) for x in ("head", "body1", "body2", "tail")]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.concat(stage, F.lit(".0."), "s_suppkey").alias("uid"))
+    return rows.select("s_suppkey", scalar.stage_of(F.col("uid")).alias("stage"), scalar.successor_stage(F.col("uid"), 4).alias("next_stage"))
+
+
+def q_flop_per_sample(spark: SparkSession, d: str) -> DataFrame:
+    params = F.col("p_size") * 1e6
+    return table(spark, d, "part").select("p_partkey", scalar.flop_per_sample(params, 32, 16, 128, 4096).alias("forward"), scalar.flop_per_sample(params, 32, 16, 128, 4096, True).alias("backward"))
+
+
+def q_ttl_seconds(spark: SparkSession, d: str) -> DataFrame:
+    return log(spark, d).groupBy("subkey").agg(F.sum(scalar.ttl_seconds(F.col("expiration"), now())).alias("ttl_s"), F.count(F.lit(1)).alias("n"))
+
+
 def q_epoch_cycle_times(spark: SparkSession, d: str) -> DataFrame:
     """Views begin rounds, purchases end them; stateful, so compared with a plain fold in the tests."""
     e = events(spark, d).where("event_type in ('view', 'purchase')")
@@ -307,14 +403,14 @@ ORACLE_SQL = {
     "validate_records": "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'quarantine' ELSE 'valid' END AS state FROM events",
     "tier_lookup": "SELECT c_custkey, CASE WHEN c_acctbal >= 7500 THEN 'large' WHEN c_acctbal >= 2500 THEN 'medium' WHEN c_acctbal >= 0 THEN 'small' ELSE 'none' END AS tier FROM customer",
     "name_contains_lookup": """WITH k AS (SELECT DISTINCT p_type AS ref_name FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part),
-        n AS (SELECT p_partkey, ' ' || trim(regexp_replace(lower(p_brand || ' - ' || p_type || ' - ' || p_name), '[^0-9a-z]+', ' ', 'g')) || ' ' AS name FROM part)
-        SELECT p_partkey, ref_name FROM n LEFT JOIN k ON contains(name, ' ' || trim(regexp_replace(lower(ref_name), '[^0-9a-z]+', ' ', 'g')) || ' ')
+        n AS (SELECT p_partkey, trim(regexp_replace(lower(p_brand || ' - ' || p_type || ' - ' || p_name), '[^0-9a-z]+', ' ', 'g')) AS name FROM part)
+        SELECT p_partkey, ref_name FROM n LEFT JOIN k ON contains(name, trim(regexp_replace(lower(ref_name), '[^0-9a-z]+', ' ', 'g')))
         QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(ref_name) DESC, ref_name DESC) = 1""",
     "pair_leases_receipts": """WITH l AS (SELECT event_id AS lease, user_id, event_id % 3 AS seq, ts FROM events WHERE event_type = 'view'), r AS (SELECT user_id, event_id % 3 AS seq, ts AS rts FROM events WHERE event_type = 'click')
-        SELECT lease, CASE WHEN count(rts) = 0 THEN 'expired' ELSE 'settled' END AS state, CASE WHEN count(rts) > 0 THEN greatest(min(epoch_us(rts) - epoch_us(ts)) / 1e6, 1e-9) END AS interval_s, count(rts) AS receipts
+        SELECT lease, CASE WHEN count(rts) = 0 THEN 'expired' ELSE 'settled' END AS state, CASE WHEN count(rts) > 0 THEN greatest(min(epoch_us(rts) - epoch_us(ts)) / 1e6, 1e-9) END AS interval_s
         FROM l LEFT JOIN r ON l.user_id = r.user_id AND l.seq = r.seq AND rts >= ts AND rts <= ts + INTERVAL 12 HOURS GROUP BY lease""",
     "exclude_banned": f"""SELECT event_id AS uid, user_id % 5 AS endpoint FROM events WHERE NOT (event_type = 'error' AND ts + to_days((event_id % 20)::INT) > {T0} AND event_id % 5 = user_id % 5 AND ts + to_days(10) <= ts + to_days((event_id % 20)::INT))""",
-    "already_registered": "SELECT c_custkey AS peer_id FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier) OR c_custkey IN (SELECT user_id FROM events)",
+    "already_registered": f"WITH {LOG_SQL} SELECT c_custkey AS peer_id FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier) OR c_custkey IN (SELECT key FROM log WHERE expiration > {T0})",
     "verify_members": "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 7",
     "swarm_progress": f"""WITH p AS (SELECT event_type, event_id % 13 AS epoch, floor(value)::BIGINT AS samples, round(value / 1000, 3) AS speed, ts AS time, user_id % 10 = 0 AS client_mode FROM events
           QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1),
@@ -369,4 +465,14 @@ ORACLE_SQL = {
     "latest_gauges": f"WITH {LINES_SQL} SELECT host AS role, name, value FROM metrics WHERE kind = 'gauge' QUALIFY row_number() OVER (PARTITION BY host, name ORDER BY date_trunc('millisecond', ts) DESC, value DESC) = 1",
     "error_counters": f"WITH {LINES_SQL} SELECT host AS role, name, count(*) AS total FROM metrics WHERE kind = 'error' GROUP BY 1, 2",
     "error_capture": f"WITH {EV} SELECT event_id FROM ev WHERE event_type = 'error' AND event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY host ORDER BY date_trunc('millisecond', ts), event_id) <= 3",
+    "visible_lines": "SELECT event_id, CASE event_type WHEN 'click' THEN 'WARNING' ELSE 'ERROR' END AS tag FROM events WHERE event_type IN ('click', 'error')",
+    "family_metrics": f"""WITH f(k, family, kind, name, value) AS (VALUES {", ".join(f"({k}, '{family}', '{kind}', '{name}', {value}::DOUBLE)" for k, (family, _, found) in enumerate(FAMILY_LINES) for kind, name, value in found)})
+        SELECT event_id, family, kind, name, f.value AS value FROM events JOIN f ON event_id % {len(FAMILY_LINES)} = k""",
+    "own_addresses": "SELECT 'p' || c_custkey AS peer_id, '/ip4/10.0.0.' || c_nationkey || '/tcp/' || c_custkey % 100 AS addresses FROM customer",
+    "group_candidates": "SELECT event_id, event_type = 'view' AS looking_for_group FROM events WHERE event_type IN ('view', 'click')",
+    "state_donors": "SELECT 'head.0.' || s_suppkey AS uid, s_nationkey AS priority FROM supplier WHERE s_suppkey <> 5",
+    "rate_to_mbps": "SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN NULL ELSE round((p_size + 0.5)::DOUBLE * [1.0, 1e3, 1e6, 1e9][p_partkey % 5 + 1] / 1e6, 9) END AS mbps FROM part",
+    "successor_stage": "SELECT s_suppkey, ['head', 'body1', 'body2', 'tail'][s_suppkey % 4 + 1] AS stage, ['body1', 'body2', 'tail', NULL][s_suppkey % 4 + 1] AS next_stage FROM supplier",
+    "flop_per_sample": "SELECT p_partkey, (2.0 * p_size * 1e6 + 4.0 * 32 * 16 * 128 * 4096)::DOUBLE * 4096 AS forward, (4.0 * p_size * 1e6 + 8.0 * 32 * 16 * 128 * 4096)::DOUBLE * 4096 AS backward FROM part",
+    "ttl_seconds": f"WITH {LOG_SQL} SELECT subkey, sum(greatest(0, (epoch_us(expiration) - epoch_us({T0})) / 1e6)) AS ttl_s, count(*) AS n FROM log GROUP BY subkey",
 }

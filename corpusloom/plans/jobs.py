@@ -28,6 +28,17 @@ class Recipe:
     budgets: tuple[tuple[str, int], ...] = ()
     max_eos_drop: float = 0.005
     flavour: str = "blake2b"
+    #: Tokenizer file, and the ids and vocabulary size that frame and bound its tokens; without a file, bytes.
+    tokenizer: str = ""
+    bos: int | None = scalar.BYTE_BOS
+    eos: int = scalar.BYTE_EOS
+    vocabulary: int = scalar.BYTE_CAP
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.eos < self.vocabulary or (self.bos is not None and not 0 <= self.bos < self.vocabulary):
+            raise ValueError("bos and eos must be ids of the vocabulary")
+        if self.chunk_tokens < 1 or any(role not in self.roles or budget < 1 for role, budget in self.budgets):
+            raise ValueError("chunks and budgets must be positive, budgets of roles that are built")
 
     @property
     def sha256(self) -> str:
@@ -44,10 +55,11 @@ def build_corpus(docs: DataFrame, recipe: Recipe, folder: str) -> dict[str, dict
 
     unit = F.col("unit_id") if "unit_id" in docs.columns else F.lit("unit-00000")
     rows = corpus.apply_transforms(docs.select("crawl", "doc_id", "text", unit.alias("unit_id")), recipe.transforms)
-    rows = corpus.tokenize_bytes(corpus.doc_key(rows, recipe.flavour, recipe.seed)).drop("text")
-    rows = rows.withColumn("has_eos", F.array_contains("tokens", scalar.BYTE_EOS))
+    rows = corpus.doc_key(rows, recipe.flavour, recipe.seed)
+    rows = (corpus.tokenize_with(rows, recipe.tokenizer) if recipe.tokenizer else corpus.tokenize_bytes(rows)).drop("text")
+    rows = rows.withColumn("has_eos", F.array_contains("tokens", recipe.eos))
     rows = corpus.route_roles(corpus.with_validation(rows, recipe.domain, recipe.validation, recipe.flavour), recipe.roles)
-    rows = corpus.frame_tokens(corpus.assert_token_range(rows, scalar.BYTE_CAP), scalar.BYTE_BOS, scalar.BYTE_EOS)
+    rows = corpus.frame_tokens(corpus.assert_token_range(rows, recipe.vocabulary), recipe.bos, recipe.eos)
     rows = stored(rows.withColumn("n_tokens", F.size("tokens").cast("long")))
     corpus.fail_if_any(corpus.duplicate_keys(rows), "documents with one key")
     corpus.fail_if_any(corpus.eos_drop_violations(corpus.unit_stats(rows), recipe.max_eos_drop), "units that lose too many documents")
@@ -61,7 +73,7 @@ def build_corpus(docs: DataFrame, recipe: Recipe, folder: str) -> dict[str, dict
         stream = stored(stream)
         written = stored(sources.write_chunks(corpus.cut_chunks(stream, recipe.chunk_tokens, tokens="tokens"), f"{folder}/{role}"))
         counts = stream.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-        manifest = corpus.manifest_of(written, scalar.BYTE_EOS, recipe.chunk_tokens, counts["docs"])
+        manifest = corpus.manifest_of(written, recipe.eos, recipe.chunk_tokens, counts["docs"])
         if manifest["total_tokens"] != counts["tokens"]:
             raise ValueError(f"{role}: chunks hold {manifest['total_tokens']} tokens, documents {counts['tokens']}")
         store, base = fs.FileSystem.from_uri(f"{folder}/{role}")
@@ -96,10 +108,10 @@ def rechunk_corpus(spark: SparkSession, inventory: DataFrame, old_chunk: int, ne
 
 
 def fleet_metrics(lines: DataFrame, role: str = "host") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Latest gauges, error counters and the three busiest labels of log lines (``value`` and the role column)."""
+    """Latest gauges and durations, error counters and the three busiest labels of log lines (``value`` and the role column)."""
     metrics = telemetry.extract_metrics(telemetry.parse_lines(lines)).withColumnRenamed(role, "role")
     labels = telemetry.top_labels(metrics.where("kind = 'label'"), ["role"], "name")
-    return telemetry.latest_gauges(metrics.where("kind = 'gauge'")), telemetry.error_counters(metrics.where("kind = 'error'")), labels
+    return telemetry.latest_gauges(metrics.where("kind in ('gauge', 'duration')")), telemetry.error_counters(metrics.where("kind = 'error'")), labels
 
 
 def average_vectors(sent: DataFrame, local: DataFrame, by: Sequence[str], weight: str = "weight", vec: str = "embedding") -> DataFrame:

@@ -35,8 +35,12 @@ def stream_client_stats(events: DataFrame, window: str = "60 seconds", delay: st
 
 
 def stream_leases(leases: DataFrame, receipts: DataFrame, ttl: str = "60 seconds", delay: str = DELAY) -> DataFrame:
-    """Outer interval join of two streams: an unanswered lease comes out when the watermark has passed its ttl."""
-    return records.pair_leases_receipts(leases.withWatermark("ts", delay), receipts.withWatermark("ts", delay), ttl)
+    """Outer interval join of two streams: an unanswered lease comes out when the watermark has passed its ttl.
+
+    A receipt that is sent again within the ttl gives a row of its own; the first of them settles the lease.
+    """
+    met = records.leases_met(leases.withWatermark("ts", delay), receipts.withWatermark("ts", delay), ttl, ("origin", "seq", "receiver"))
+    return records.with_lease_state(met)
 
 
 def stream_latest_records(log: DataFrame, delay: str = DELAY) -> DataFrame:

@@ -58,3 +58,45 @@ def test_fleet_and_vectors(spark):
     losses = spark.createDataFrame([("o", "train/loss", 3, 0.0, 1.5)], "origin string, mode string, step long, loss double, tps double").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     assert records.loss_records(losses, "60 seconds").first().value == '{"mode":"train/loss","step":3,"tps":1.5}'
     assert len(jobs.Recipe().sha256) == 64 and scalar.canonical_digest({"b": 1, "a": 2}) == scalar.canonical_digest({"a": 2, "b": 1})
+
+
+def test_build_with_a_tokenizer_file(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = [f"w{i}" for i in range(50)]
+    tokenizer = Tokenizer(models.WordLevel({"<unk>": 0, "<s>": 1, "</s>": 2, **{w: i + 3 for i, w in enumerate(words)}}, unk_token="<unk>"))
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "words.json")
+    tokenizer.save(path)
+    rows = [("c", f"d{i}", " ".join(words[(i * 7 + k) % 50] for k in range(i % 30)) + " zz") for i in range(40)]
+    docs = spark.createDataFrame(rows, "crawl string, doc_id string, text string")
+    recipe = jobs.Recipe(chunk_tokens=64, roles=("train",), flavour="sha2", tokenizer=path, bos=None, eos=2, vocabulary=53)
+    folder = f"file://{tmp_path}/corpus"
+    manifest = jobs.build_corpus(docs, recipe, folder)["train"]
+    import hashlib
+
+    key = lambda d: hashlib.sha256(f"c\0{d}".encode()).hexdigest()[:32]
+    stream = [t for _, d, text in sorted(rows, key=lambda r: key(r[1])) for t in [*tokenizer.encode(text).ids, 2]]
+    assert manifest["total_tokens"] == len(stream) and manifest["eos_id"] == 2 and manifest["total_docs"] == 40
+    for r in jobs.read_corpus(spark, f"{folder}/train", manifest, 16, seed=1).collect():
+        g = r.chunk_id * 4 + r.j
+        assert r.tokens == stream[g * 16 : g * 16 + 17]
+    with pytest.raises(ValueError, match="vocabulary"):
+        jobs.Recipe(tokenizer=path, eos=99, vocabulary=53)
+    with pytest.raises(ValueError, match="budgets"):
+        jobs.Recipe(budgets=(("other", 5),))
+
+
+def test_a_lease_is_settled_once(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    leases = spark.createDataFrame([("a", 1, "r", at(0)), ("a", 2, "r", at(0)), ("a", 3, "r", at(0))], "origin string, seq long, receiver string, at string").selectExpr("origin", "seq", "receiver", "timestamp(at) ts")
+    receipts = spark.createDataFrame([("a", 1, "r", at(5)), ("a", 1, "r", at(2)), ("a", 1, "r", at(9)), ("a", 2, "r", at(40))], "origin string, seq long, receiver string, at string").selectExpr("origin", "seq", "receiver", "timestamp(at) ts")
+    out = records.pair_leases_receipts(leases, receipts, "10 seconds").orderBy("seq").collect()
+    assert [(r.seq, r.state, r.interval_s) for r in out] == [(1, "settled", 2.0), (2, "expired", None), (3, "expired", None)]
+
+
+def test_names_and_schemas(spark):
+    names = ["chunk-00001.bin", ".bin", "a/b.bin", "..", "x.bin\n", "a.txt"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(scalar.safe_chunk_name(F.col("n"))).collect()
+    assert [r[0] for r in got] == [True, False, False, False, False, False]
+    assert scalar.schema_hash({"a": "int", "b": "string"}) == scalar.schema_hash({"b": "string", "a": "int"}) != scalar.schema_hash({"a": "int"})
