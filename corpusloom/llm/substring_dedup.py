@@ -279,7 +279,11 @@ class FingerprintIndex:
 
 
 def removed_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """All windows that also start earlier, as ``doc_id, start, n`` spans; verified by the words of the documents."""
+    """All windows that also start earlier, as ``doc_id, start, n`` spans.
+
+    Spans are equal by the hashes of their anchor and of their content, opened windows by two hashes of their words; words
+    themselves are not compared once more.
+    """
     opened = index.open_spans().select(F.col("doc_id").alias("_doc"), "spans")
     windows = span_windows(docs.join(opened, F.col("doc_id") == F.col("_doc")).select("text", "doc_id", "spans"))
     first = F.min(F.when(~F.col("dup"), F.struct("doc_id", "start"))).over(Window.partitionBy("w1", "w2").orderBy("dup", "doc_id", "start"))
