@@ -22,13 +22,3 @@ def with_group_values(rows: DataFrame, keys: Sequence[str], salt: Column, parts:
         whole = whole.where(keep)
     whole = whole.withColumn("_salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (_seen & shiftleft(1L, s)) <> 0)"))).drop("_seen")
     return salted.join(whole, [*keys, "_salt"]).drop("_salt")
-
-
-def with_looked_up(rows: DataFrame, key: str, salt: Column, facts: DataFrame, salts: int = 32) -> DataFrame:
-    """Inner join with ``facts`` (one row per ``key``), whose rows may be large and a key of which may be asked by very many rows.
-
-    A fact is sent once for each salt that asks for it, so a hot key is spread and its fact is not repeated for every row.
-    """
-    salted = rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
-    wanted = salted.select(key, "_salt").distinct().join(facts, key)
-    return salted.join(wanted, [key, "_salt"]).drop("_salt")
