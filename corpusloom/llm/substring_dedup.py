@@ -6,7 +6,10 @@ so one row per span (about an eighth of the windows) finds every repeated window
 
 * two spans of equal content repeat all their windows: the later span is removed as a whole;
 * spans of different content with one anchor may share some windows: these few spans are opened, and their
-  windows are compared one by one by a 128-bit hash of their words.
+  windows are compared one by one.
+
+A match is verified by a second hash of the content, built on other hashes of the words, so that what tells contents apart is
+128 bits of words that have 128 bits themselves.  Texts are shuffled as zstd frames.
 
 The index is a list of immutable runs, tables bucketed by anchor and sorted, which hold the first span of each
 content.  A batch's spans are merge-joined with the runs, the spans not seen before become a new run, and runs
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +34,31 @@ GRAM = 5
 CHUNK_WORDS = 1 << 18
 CACHE = 1 << 18
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-SPAN = "h long, r long, doc_id long, start int, n int, dup boolean"
+SPAN = "h long, r long, v long, doc_id long, start int, n int, dup boolean"
 WIN = "w1 long, w2 long, doc_id long, start int, dup boolean"
 
 
 class WordHash(dict):
-    """64-bit hash of a word."""
+    """Places of the words met, and at each place two 64-bit hashes of the word."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.digests = bytearray()
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
+        self[word] = place = len(self)
+        self.digests += xxhash.xxh3_128_digest(word, 7)
+        return place
+
+    def pairs(self, words: list[list[bytes]], total: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word, 7)
-        return value
+            self.digests.clear()
+        at = np.fromiter((self[x] for w in words for x in w), np.int64, total)
+        both = np.frombuffer(bytes(self.digests), np.uint64).reshape(-1, 2)
+        return both[at, 0], both[at, 1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -67,15 +82,15 @@ class Words:
     def __init__(self, words: list[list[bytes]], hashes: WordHash):
         sizes = np.array([len(w) for w in words], np.int64)
         self.first = np.cumsum(sizes) - sizes
-        self.ids = np.fromiter((hashes[x] for w in words for x in w), np.uint64, int(sizes.sum()))
+        self.ids, self.checks = hashes.pairs(words, int(sizes.sum()))
         self.doc = np.repeat(np.arange(len(words)), sizes)
         n = len(self.ids) - WINDOW + 1
         self.starts = np.flatnonzero(self.doc[: max(n, 0)] == self.doc[WINDOW - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
     def spans(self) -> tuple[np.ndarray, ...]:
-        """Anchor hash, content hash, document, first window and windows of each span."""
+        """Anchor hash, two content hashes, document, first window and windows of each span."""
         if not len(self.starts):
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
+            return tuple(np.zeros(0, np.int64) for _ in range(6))
         gram = rolled(self.ids, GRAM, ODD[1])
         n = len(self.ids) - WINDOW + 1
         least, at = gram[:n].copy(), np.zeros(n, np.int64)
@@ -90,13 +105,13 @@ class Words:
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(anchor)))
         place = (np.arange(len(anchor)) - np.repeat(begin, size)).astype(np.uint64)
-        windows = rolled(self.ids, WINDOW, ODD[2])[self.starts]
         # A span's content is the sequence of its windows, and where its anchor lies in them.
-        content = np.add.reduceat(windows * (np.uint64(2) * mixed(place + np.uint64(1)) + np.uint64(1)), begin)
-        content = mixed(content + size.astype(np.uint64))
+        factor = np.uint64(2) * mixed(place + np.uint64(1)) + np.uint64(1)
+        sums = (np.add.reduceat(rolled(ids, WINDOW, odd)[self.starts] * factor, begin) for ids, odd in ((self.ids, ODD[2]), (self.checks, ODD[0])))
+        content, check = (mixed(x + size.astype(np.uint64)) for x in sums)
         start = self.starts[begin]
         doc = self.doc[start]
-        return gram[anchor[begin]], content, doc, start - self.first[doc], size
+        return gram[anchor[begin]], content, check, doc, start - self.first[doc], size
 
 
 class Seen:
@@ -106,38 +121,39 @@ class Seen:
     """
 
     def __init__(self) -> None:
-        self.first: dict[tuple[int, int], tuple[int, int]] = {}
+        self.first: dict[tuple[int, ...], tuple[int, int]] = {}
 
-    def duplicates(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-        order = np.lexsort((start, doc, b, a))
-        same = np.zeros(len(a), bool)
-        same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        dup = np.zeros(len(a), bool)
+    def duplicates(self, keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        order = np.lexsort((start, doc, *keys[::-1]))
+        same = np.zeros(len(doc), bool)
+        same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in keys])
+        dup = np.zeros(len(doc), bool)
         # A repeated document id and start is the same place, not an earlier one.
-        heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
+        heads = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
         lead = order[heads]
         dup[order] = same & ((doc[order] != doc[lead]) | (start[order] != start[lead]))
-        often = np.zeros(len(a), bool)
+        often = np.zeros(len(doc), bool)
         often[lead[same]] = True
         known = self.first
         if known:
-            for i in np.flatnonzero(~dup).tolist():
-                got = known.get((int(a[i]), int(b[i])))
+            at = np.flatnonzero(~dup)
+            for i, *key in zip(at.tolist(), *(x[at].tolist() for x in keys), strict=True):
+                got = known.get(tuple(key))
                 if got and got < (int(doc[i]), int(start[i])):
                     dup[i] = True
         if len(known) > CACHE:
             known.clear()
         for i in np.flatnonzero(often & ~dup).tolist():
-            known[int(a[i]), int(b[i])] = int(doc[i]), int(start[i])
+            known[tuple(int(x[i]) for x in keys)] = int(doc[i]), int(start[i])
         return dup
 
 
 def chunks(rows: Iterator[tuple]) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """Rows of (text, ...) with their words, some ``CHUNK_WORDS`` words at a time."""
+    """Rows of (UTF-8 text, ...) with their words, some ``CHUNK_WORDS`` words at a time."""
     held, words, count = [], [], 0
     for row in rows:
         held.append(row)
-        words.append((row[0] or "").encode("utf-8", "replace").split())
+        words.append((row[0] or b"").split())
         count += len(words[-1])
         if count >= CHUNK_WORDS:
             yield held, words
@@ -151,29 +167,49 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, packed``: each text as a zstd frame, to be shuffled; null stays null."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            frames = [None if text is None else zstd.compress(text) for text in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(frames, pa.binary())], names=["doc_id", "packed"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(pack, "doc_id long, packed binary")
+
+
+def unpacked(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows of (frame, ...) with the text in its place."""
+    zstd = zstandard.ZstdDecompressor()
+    for frame, *rest in rows:
+        yield b"" if frame is None else zstd.decompress(frame), *rest
+
+
 def document_spans(docs: DataFrame) -> DataFrame:
-    """Spans of ``text, doc_id`` rows.  Rows known to be duplicates get a spread-out anchor, as they meet nobody."""
+    """Spans of ``text, doc_id`` rows.  Rows known to be duplicates have no hashes, and an anchor that spreads them out, as they meet nobody."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHash(), Seen()
         for rows, words in chunks(rows_of(batches)):
             ids = np.array([r[1] for r in rows], np.int64)
-            h, r, doc, start, n = Words(words, hashes).spans()
+            h, r, v, doc, start, n = Words(words, hashes).spans()
             doc = ids[doc]
-            dup = seen.duplicates(h, r, doc, start)
-            h = np.where(dup, mixed(r.astype(np.uint64) ^ mixed(doc.astype(np.uint64) + start.astype(np.uint64))), h)
-            columns = [h.astype(np.uint64).view(np.int64), r.astype(np.uint64).view(np.int64), doc, start.astype(np.int32), n.astype(np.int32), dup]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["h", "r", "doc_id", "start", "n", "dup"])
+            dup = seen.duplicates((h, r, v), doc, start)
+            h = np.where(dup, mixed(mixed(doc.astype(np.uint64)) + (start >> 8).astype(np.uint64)), h)
+            r, v = np.where(dup, 0, r), np.where(dup, 0, v)
+            columns = [*(x.astype(np.uint64).view(np.int64) for x in (h, r, v)), doc, start.astype(np.int32), n.astype(np.int32), dup]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["h", "r", "v", "doc_id", "start", "n", "dup"])
 
-    return docs.select("text", "doc_id").mapInArrow(spans, SPAN)
+    return docs.select(F.col("text").cast("binary"), "doc_id").mapInArrow(spans, SPAN)
 
 
 def span_windows(docs: DataFrame) -> DataFrame:
-    """Windows of the spans listed in ``text, doc_id, spans`` rows, with a 128-bit hash of their words."""
+    """Windows of the spans listed in ``packed, doc_id, spans`` rows, with two hashes of their words."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHash(), Seen()
-        for rows, words in chunks(rows_of(batches)):
+        for rows, words in chunks(unpacked(rows_of(batches))):
             state = Words(words, hashes)
             if not len(state.starts):
                 continue
@@ -184,15 +220,15 @@ def span_windows(docs: DataFrame) -> DataFrame:
                         wanted[state.first[k] + s["start"]] += 1
                         wanted[state.first[k] + s["start"] + s["n"]] -= 1
             at = state.starts[np.cumsum(wanted)[state.starts] > 0]
-            w1, w2 = rolled(state.ids, WINDOW, ODD[0])[at], rolled(state.ids, WINDOW, ODD[1])[at]
+            w1, w2 = rolled(state.ids, WINDOW, ODD[0])[at], rolled(state.checks, WINDOW, ODD[1])[at]
             k = state.doc[at]
             doc, start = np.array([r[1] for r in rows], np.int64)[k], at - state.first[k]
-            dup = seen.duplicates(w1, w2, doc, start)
+            dup = seen.duplicates((w1, w2), doc, start)
             w1 = np.where(dup, mixed(w2 ^ mixed(doc.astype(np.uint64) + start.astype(np.uint64))), w1)
             columns = [w1.view(np.int64), w2.view(np.int64), doc, start.astype(np.int32), dup]
             yield pa.record_batch([pa.array(c) for c in columns], names=["w1", "w2", "doc_id", "start", "dup"])
 
-    return docs.select("text", "doc_id", "spans").mapInArrow(windows, WIN)
+    return docs.select("packed", "doc_id", "spans").mapInArrow(windows, WIN)
 
 
 class FingerprintIndex:
@@ -218,7 +254,7 @@ class FingerprintIndex:
 
     def contents(self) -> DataFrame | None:
         """First spans of all contents so far."""
-        runs = [self.spark.table(t).where("first").select("h", "r", "doc_id", "start", "n") for t in self.runs]
+        runs = [self.spark.table(t).where("first").select("h", "r", "v", "doc_id", "start", "n") for t in self.runs]
         out = runs[0] if runs else None
         for run in runs[1:]:
             out = out.unionByName(run)
@@ -226,20 +262,20 @@ class FingerprintIndex:
 
     def add_batch(self, docs: DataFrame) -> None:
         """Take in documents (``doc_id, text``) whose ids are larger than all before."""
-        order = Window.partitionBy("h", "r").orderBy("dup", "doc_id", "start")
+        order = Window.partitionBy("h", "r", "v").orderBy("dup", "doc_id", "start")
         spans = document_spans(docs).repartition(self.buckets, "h")
         first = F.min(F.when(~F.col("dup"), F.struct("doc_id", "start"))).over(order)
         spans = spans.withColumn("first", ~F.col("dup") & (first["doc_id"] == F.col("doc_id")) & (first["start"] == F.col("start")))
-        # The keys below are (anchor, content) while runs are bucketed by anchor alone: co-located all the same.
+        # The keys below are (anchor, contents) while runs are bucketed by anchor alone: co-located all the same.
         key = "spark.sql.requireAllClusterKeysForCoPartition"
         before = self.spark.conf.get(key)
         self.spark.conf.set(key, "false")
         try:
             for run in self.runs:
-                old = self.spark.table(run).where("first").select(F.col("h").alias("oh"), F.col("r").alias("orr"), F.lit(True).alias("old")).distinct()
-                spans = spans.join(old, (F.col("h") == F.col("oh")) & (F.col("r") == F.col("orr")), "left")
-                spans = spans.withColumn("first", F.col("first") & F.col("old").isNull()).drop("oh", "orr", "old")
-            name = self._write(spans, "run")
+                old = self.spark.table(run).where("first").select(F.col("h").alias("oh"), F.col("r").alias("orr"), F.col("v").alias("ov"), F.lit(True).alias("old")).distinct()
+                spans = spans.join(old, (F.col("h") == F.col("oh")) & (F.col("r") == F.col("orr")) & (F.col("v") == F.col("ov")), "left")
+                spans = spans.withColumn("first", F.col("first") & F.col("old").isNull()).drop("oh", "orr", "ov", "old")
+            name = self._write(spans.drop("dup"), "run")
         finally:
             self.spark.conf.set(key, before)
         self.runs.append(name)
@@ -249,7 +285,7 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one; the old tables stay for the batches they describe."""
-        merged = self.contents().withColumn("first", F.lit(True)).withColumn("dup", F.lit(False))
+        merged = self.contents().withColumn("first", F.lit(True))
         self.runs = [self._write(merged.repartition(self.buckets, "h"), "merged")]
 
     def removed_spans(self) -> DataFrame:
@@ -268,8 +304,9 @@ class FingerprintIndex:
         """
         parts = []
         for name in self.runs:
-            run = self.spark.table(name).where("first").select("h", "r", "doc_id", "start", "n")
-            own = self.spark.table(name).where("first").groupBy("h").agg(F.min("r").alias("_a"), F.max("r").alias("_b")).where("_a <> _b").select(F.col("h").alias("_h"))
+            run = self.spark.table(name).where("first").select("h", "doc_id", "start", "n")
+            ends = [f(c).alias(f"_{c}{k}") for c in "rv" for k, f in enumerate((F.min, F.max))]
+            own = self.spark.table(name).where("first").groupBy("h").agg(*ends).where("_r0 <> _r1 or _v0 <> _v1").select(F.col("h").alias("_h"))
             others = [own] + [self.spark.table(t).where("first").select(F.col("h").alias("_h")) for t in self.runs if t != name]
             parts += [run.join(other, F.col("h") == F.col("_h"), "left_semi").select("doc_id", "start", "n") for other in others]
         found = parts[0]
@@ -281,11 +318,10 @@ class FingerprintIndex:
 def removed_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
     """All windows that also start earlier, as ``doc_id, start, n`` spans.
 
-    Spans are equal by the hashes of their anchor and of their content, opened windows by two hashes of their words; words
-    themselves are not compared once more.
+    Spans are equal by the hash of their anchor and two of their content, opened windows by two hashes of their words.
     """
     opened = index.open_spans().select(F.col("doc_id").alias("_doc"), "spans")
-    windows = span_windows(docs.join(opened, F.col("doc_id") == F.col("_doc")).select("text", "doc_id", "spans"))
+    windows = span_windows(packed(docs).join(opened, F.col("doc_id") == F.col("_doc")).select("packed", "doc_id", "spans"))
     first = F.min(F.when(~F.col("dup"), F.struct("doc_id", "start"))).over(Window.partitionBy("w1", "w2").orderBy("dup", "doc_id", "start"))
     later = F.col("dup") | (first["doc_id"] != F.col("doc_id")) | (first["start"] != F.col("start"))
     again = windows.withColumn("later", later).where("later").select("doc_id", "start", F.lit(1).alias("n"))
@@ -300,8 +336,8 @@ def without_removed(docs: DataFrame, removed: DataFrame, with_text: bool = False
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, doc, spans in rows_of([batch]):
-                words = (text or "").encode("utf-8", "replace").split()
+            for text, doc, spans in unpacked(rows_of([batch])):
+                words = text.split()
                 kept = words
                 if spans:
                     cover = np.zeros(len(words) + 1, np.int32)
@@ -314,7 +350,7 @@ def without_removed(docs: DataFrame, removed: DataFrame, with_text: bool = False
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(names), types, strict=True)], names=names)
 
     spans = removed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).select(F.col("doc_id").alias("_doc"), "spans")
-    joined = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").select("text", "doc_id", "spans")
+    joined = packed(docs).join(spans, F.col("doc_id") == F.col("_doc"), "left").select("packed", "doc_id", "spans")
     return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
