@@ -220,8 +220,11 @@ def expire_batches(df: DataFrame, now: Column, ttl_s: float, most_rows: int, mos
     return rows.where((F.col("_rows") <= most_rows) & (F.col("_bytes") <= most_bytes)).drop("_rows", "_bytes")
 
 
-def batch_ledger(opens: DataFrame, reports: DataFrame, timeout_s: float, stall_s: float, stall_timeout_s: float) -> DataFrame:
-    """Outcome per (origin, seq): dropped, done, dropped for stalling, or timeout; late reports are counted."""
+def batch_ledger(opens: DataFrame, reports: DataFrame, timeout_s: float, stall_timeout_s: float) -> DataFrame:
+    """Outcome per (origin, seq): dropped, done, dropped for stalling, or timeout; late reports are counted.
+
+    A batch stalls when its last report in time (or its open) lies more than ``stall_timeout_s`` before its deadline.
+    """
     r = reports.select("origin", "seq", "kind", "loss", F.col("ts").alias("report_ts"))
     met = opens.join(r, ["origin", "seq"], "left")
     age = (F.unix_micros("report_ts") - F.unix_micros("ts")) / 1e6
@@ -231,8 +234,9 @@ def batch_ledger(opens: DataFrame, reports: DataFrame, timeout_s: float, stall_s
         F.min_by("loss", F.when(in_time & (F.col("kind") == "done"), F.struct("report_ts", "loss"))).alias("_loss"),
         F.count_if(in_time & (F.col("kind") == "done")).alias("_done"),
         F.count_if(age > timeout_s).alias("late_reports"),
+        F.coalesce(F.max(F.when(in_time, age)), F.lit(0.0)).alias("_progress"),
     )
-    outcome = F.when(F.col("_dropped") > 0, "dropped").when(F.col("_done") > 0, "done").when(F.lit(stall_s > stall_timeout_s), "dropped").otherwise("timeout")
+    outcome = F.when(F.col("_dropped") > 0, "dropped").when(F.col("_done") > 0, "done").when(timeout_s - F.col("_progress") > stall_timeout_s, "dropped").otherwise("timeout")
     return out.select("origin", "seq", outcome.alias("outcome"), F.when((F.col("_dropped") == 0) & (F.col("_done") > 0), F.col("_loss")).alias("loss"), "late_reports")
 
 

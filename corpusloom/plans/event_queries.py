@@ -149,7 +149,7 @@ def q_batch_ledger(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "dropped").otherwise("loss")
     reports = e.where("event_type <> 'view'").select(F.col("host").alias("origin"), F.expr("event_id % 4").alias("seq"), kinds.alias("kind"), F.col("value").alias("loss"), "ts")
     late = reports.join(opens.select("origin", "seq", F.col("ts").alias("open_ts")), ["origin", "seq"]).where("ts >= open_ts").drop("open_ts")
-    return records.batch_ledger(opens, late, 86400.0 * 3, 60, 300)
+    return records.batch_ledger(opens, late, 86400.0 * 3, 86400.0)
 
 
 def q_pool_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -432,8 +432,8 @@ ORACLE_SQL = {
     "batch_ledger": """WITH o AS (SELECT 'h' || user_id AS origin, event_id % 4 AS seq, min(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1, 2),
         r AS (SELECT o.*, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'dropped' ELSE 'loss' END AS kind, e.value, e.ts AS rts FROM o LEFT JOIN events e ON origin = 'h' || user_id AND seq = event_id % 4 AND event_type <> 'view' AND e.ts >= o.ts),
         a AS (SELECT origin, seq, count(*) FILTER (rts <= ts + INTERVAL 3 DAYS AND kind = 'dropped') AS d, count(*) FILTER (rts <= ts + INTERVAL 3 DAYS AND kind = 'done') AS n,
-          arg_min(value, rts) FILTER (rts <= ts + INTERVAL 3 DAYS AND kind = 'done') AS l, count(*) FILTER (rts > ts + INTERVAL 3 DAYS) AS late_reports FROM r GROUP BY origin, seq)
-        SELECT origin, seq, CASE WHEN d > 0 THEN 'dropped' WHEN n > 0 THEN 'done' ELSE 'timeout' END AS outcome, CASE WHEN d = 0 AND n > 0 THEN l END AS loss, late_reports FROM a""",
+          arg_min(value, rts) FILTER (rts <= ts + INTERVAL 3 DAYS AND kind = 'done') AS l, max(rts) FILTER (rts <= ts + INTERVAL 3 DAYS) AS p, any_value(ts) AS o, count(*) FILTER (rts > ts + INTERVAL 3 DAYS) AS late_reports FROM r GROUP BY origin, seq)
+        SELECT origin, seq, CASE WHEN d > 0 THEN 'dropped' WHEN n > 0 THEN 'done' WHEN coalesce(p, o) < o + INTERVAL 2 DAYS THEN 'dropped' ELSE 'timeout' END AS outcome, CASE WHEN d = 0 AND n > 0 THEN l END AS loss, late_reports FROM a""",
     "pool_stats": """SELECT date_trunc('hour', ts) AS window_start, event_type AS pool, count(*) AS batches, sum(event_id % 8 + 1)::BIGINT AS examples, round(avg(event_id % 8 + 1), 6) AS avg_batch_size, round(avg(value), 6) AS avg_await_ms,
         round(count(*) / 3600.0, 6)::DOUBLE AS batches_per_s, round(sum(event_id % 8 + 1) / 3600.0, 6)::DOUBLE AS examples_per_s FROM events GROUP BY 1, 2""",
     "client_stats": """SELECT date_trunc('hour', ts) AS window_start, count(*) AS requests, round(avg(value), 6) AS mean_latency, max(value) AS max_latency, count(*) FILTER (event_type = 'error') AS failures,

@@ -301,3 +301,62 @@ def publish(chunks: DataFrame, present: DataFrame, manifest_present: bool) -> Da
     dangling = F.lit(manifest_present) & F.col("present_sha256").isNull()
     action = F.when(wrong, F.raise_error(F.concat(F.lit("other content at "), "name")).cast("string")).when(dangling, F.raise_error(F.concat(F.lit("dangling publication: no "), "name")).cast("string"))
     return met.withColumn("action", action.when(F.col("present_sha256").isNotNull(), "skip").otherwise("copy"))
+
+
+def write_parts(rows: DataFrame, folder: str) -> DataFrame:
+    """Parts per ``unit_id`` and ``role``, each file in order of ``key``: ``name, bytes, sha256`` of the files written.
+
+    A unit and role that is written again replaces its own parts and no others; large ones have several files.
+    """
+    near = rows.hint("rebalance", "unit_id", "role").sortWithinPartitions("unit_id", "role", "key")
+    near.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit_id", "role").parquet(folder)
+    files = list_inventory(rows.sparkSession, folder, (".parquet",))
+    return hash_objects(dealt(files, files.count()))
+
+
+def publish_chunks(spark: SparkSession, source: str, target: str, manifest: dict) -> dict:
+    """Copy a manifest's chunks from one folder to another, and write ``manifest.json`` there last: the commit of it all.
+
+    What lies at the target is hashed: equal chunks are skipped, others are an error, and so are another manifest, or the same with a
+    chunk missing.  A copy is hashed as it is read and takes its name when complete and as the manifest says, so a lost task
+    leaves no broken chunk.  The receipt tells what is there now and is the same for a repeated publication.
+    """
+    import json
+
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(target)
+    store.create_dir(base, recursive=True)
+    body = json.dumps(manifest, sort_keys=True).encode()
+    committed = store.get_file_info(f"{base}/manifest.json").type != fs.FileType.NotFound
+    if committed:
+        with store.open_input_stream(f"{base}/manifest.json") as old:
+            if old.read() != body:
+                raise ValueError("another manifest is published there")
+    chunks = spark.createDataFrame([(c["name"], c["sha256"]) for c in manifest["chunks"]], "name string, sha256 string")
+    there = list_inventory(spark, target, (".bin",)).join(chunks, "name", "left_semi")
+    todo = publish(chunks, hash_objects(dealt(there, len(manifest["chunks"]), 1)), committed).where("action = 'copy'")
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        for batch in batches:
+            for name, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                to, inner = fs.FileSystem.from_uri(target)
+                temp, digest = f"{inner}/.{name}-{TaskContext.get().taskAttemptId()}", hashlib.sha256()
+                with _open(os.path.join(source, name)) as chunk, to.open_output_stream(temp) as out:
+                    while data := chunk.read(READ):
+                        digest.update(data)
+                        out.write(data)
+                if digest.hexdigest() != sha:
+                    to.delete_file(temp)
+                    raise ValueError(f"{name} does not match the manifest")
+                to.move(temp, f"{inner}/{name}")
+                yield pa.record_batch([pa.array([name])], names=["name"])
+
+    dealt(todo.select("name", "sha256"), len(manifest["chunks"]), 1).mapInArrow(copy, "name string").agg(F.count(F.lit(1))).first()
+    if not committed:
+        with store.open_output_stream(f"{base}/.manifest.json") as out:
+            out.write(body)
+        store.move(f"{base}/.manifest.json", f"{base}/manifest.json")
+    return {"uri": target, "manifest_sha256": manifest["manifest_sha256"], "chunks": len(manifest["chunks"]), "tokens": manifest["total_tokens"]}

@@ -86,6 +86,16 @@ def stream_ema(events: DataFrame, alpha: float, eps: float = 1e-20) -> DataFrame
     return events.select("key", "interval", "size", "ts").groupBy("key").applyInPandasWithState(update, "key string, updates long, samples_per_second double", "mean double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def idle_alerts(rules: list[dict], state: dict, ts: float) -> list[tuple[str, float]]:
+    """Started hosts that have been silent for longer than a rule's timeout; the silence then counts anew."""
+    out = []
+    for rule in rules:
+        if rule["action"] == "track_activity" and state.get("started") and state.get("active") is not None and ts - state["active"] > rule["timeout"]:
+            out.append((rule["name"], ts - state["active"]))
+            state["active"] = ts
+    return out
+
+
 def alert_fold(rules: list[dict], state: dict, line: str, ts: float) -> list[tuple[str, float]]:
     """One line through the alert rules; ``state`` holds counters, windows and activity of a host.
 
@@ -95,11 +105,7 @@ def alert_fold(rules: list[dict], state: dict, line: str, ts: float) -> list[tup
     """
     import re
 
-    out = []
-    for rule in rules:
-        if rule["action"] == "track_activity" and state.get("started") and state.get("active") is not None and ts - state["active"] > rule["timeout"]:
-            out.append((rule["name"], ts - state["active"]))
-            state["active"] = ts
+    out = idle_alerts(rules, state, ts)
     for rule in rules:
         match = re.search(rule["pattern"], line)
         if not match:
@@ -135,62 +141,125 @@ def alert_fold(rules: list[dict], state: dict, line: str, ts: float) -> list[tup
     return out
 
 
-def stream_alerts(lines: DataFrame, rules: list[dict]) -> DataFrame:
-    """Alert rows ``host, ts, rule, value`` of parsed lines (``host, ts, line``), in order of time within a trigger."""
+def stream_alerts(lines: DataFrame, rules: list[dict], delay: str = DELAY) -> DataFrame:
+    """Alert rows ``host, ts, rule, value`` of parsed lines (``host, ts, line``), in order of time within a trigger.
+
+    A host that falls silent is noticed by a timer: it alerts as soon as the watermark, which other hosts' lines move on, has
+    passed its activity by the timeout.
+    """
     import json
 
+    idle = [r for r in rules if r["action"] == "track_activity"]
+
     def update(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = json.loads(state.get[0]) if state.exists else {}
         out = []
+        if state.hasTimedOut:
+            now = state.getCurrentWatermarkMs() * 1000
+            out += [(key[0], now, name, value) for name, value in idle_alerts(rules, kept, now / 1e6)]
         for part in rows:
-            for ts, line in part.sort_values(["ts", "line"], kind="stable")[["ts", "line"]].itertuples(index=False):
-                out += [(key[0], ts, name, value) for name, value in alert_fold(rules, kept, line, ts.timestamp())]
+            for us, line in part.sort_values(["us", "line"], kind="stable")[["us", "line"]].itertuples(index=False):
+                out += [(key[0], us, name, value) for name, value in alert_fold(rules, kept, line, us / 1e6)]
         state.update((json.dumps(kept),))
-        yield pd.DataFrame(out, columns=["host", "ts", "rule", "value"])
+        if idle and kept.get("started") and kept.get("active") is not None:
+            due = int((kept["active"] + min(r["timeout"] for r in idle)) * 1000) + 1
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["host", "us", "rule", "value"])
 
-    return lines.select("host", "ts", "line").groupBy("host").applyInPandasWithState(update, "host string, ts timestamp, rule string, value double", "kept string", "append", GroupStateTimeout.NoTimeout)
+    rows = lines.withWatermark("ts", delay).select("host", "ts", F.unix_micros("ts").alias("us"), "line")
+    out = rows.groupBy("host").applyInPandasWithState(update, "host string, us long, rule string, value double", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("host", F.timestamp_micros("us").alias("ts"), "rule", "value")
 
 
-def stream_batch_ledger(events: DataFrame, timeout_s: float, delay: str = DELAY) -> DataFrame:
+def stream_batch_ledger(events: DataFrame, timeout_s: float, stall_timeout_s: float = float("inf"), delay: str = DELAY) -> DataFrame:
     """Outcome of each batch of a union of opens and reports: ``batch, kind, loss, ts``, kind ``open`` for the open.
 
-    ``dropped`` beats ``done``; a batch without either by its deadline is ``timeout``; reports after an outcome are counted and
-    come out as ``late``.
+    Any report is progress.  ``dropped`` beats ``done`` within a trigger; a batch without progress for ``stall_timeout_s`` is
+    ``dropped``, one without either by its deadline is ``timeout``.  Reports of unknown batches and after an outcome are
+    counted and come out as ``late``.
     """
     columns = ["batch", "outcome", "loss", "late_reports"]
 
+    def due(deadline: int, progress: int) -> tuple[int, str]:
+        stall = progress + stall_timeout_s * 1000
+        return (int(stall), "dropped") if stall < deadline else (deadline, "timeout")
+
     def update(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            _, closed, late = state.get
-            if closed:
+            deadline, progress, loss, closed, late = state.get
+            if closed or not deadline:
                 state.remove()
                 yield pd.DataFrame([], columns=columns)
             else:
-                state.update((0, True, late))
-                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(timeout_s * 1000))
-                yield pd.DataFrame([(key[0], "timeout", None, late)], columns=columns)
+                state.update((0, 0, None, True, late))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + max(1, int(timeout_s * 1000)))
+                yield pd.DataFrame([(key[0], due(deadline, progress)[1], None, late)], columns=columns)
             return
-        deadline, closed, late = state.get if state.exists else (0, False, 0)
-        out, kinds = [], []
+        deadline, progress, loss, closed, late = state.get if state.exists else (0, 0, None, False, 0)
+        kinds, out, ends, known = [], [], [], late
         for part in rows:
-            kinds += part.sort_values("ts", kind="stable")[["ts", "kind", "loss"]].itertuples(index=False)
-        for ts, kind, _ in kinds:
+            kinds += part.sort_values("ms", kind="stable")[["ms", "kind", "loss"]].itertuples(index=False)
+        # An open comes before reports of its own millisecond.
+        for ms, kind, value in sorted(kinds, key=lambda k: (k[0], k[1] != "open")):
             if kind == "open":
-                deadline = int(ts.timestamp() * 1000 + timeout_s * 1000)
-        reports = [k for k in kinds if k[1] in ("done", "dropped")]
-        if closed or not deadline:
-            late += len(reports)
-            out += [(key[0], "late", None, late)] * bool(reports)
-        elif reports:
-            dropped = any(k[1] == "dropped" for k in reports)
-            out.append((key[0], "dropped" if dropped else "done", None if dropped else float(reports[0][2]), late))
+                if not closed and not deadline:
+                    deadline, progress = int(ms + timeout_s * 1000), int(ms)
+                continue
+            if deadline and not closed and not ends and ms > due(deadline, progress)[0]:
+                out.append((key[0], due(deadline, progress)[1], None, late))
+                closed = True
+            if closed or not deadline:
+                late += 1
+                continue
+            progress = int(ms)
+            if kind in ("done", "dropped"):
+                ends.append(kind)
+            if kind in ("done", "loss") and value is not None and value == value:
+                loss = float(value)
+        if ends:
+            outcome = "dropped" if "dropped" in ends else "done"
+            out.append((key[0], outcome, loss if outcome == "done" else None, late))
             closed = True
-        state.update((deadline, closed, late))
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
+        if late > known:
+            out.append((key[0], "late", None, late))
+        state.update((deadline, progress, loss, closed, late))
+        at = due(deadline, progress)[0] if deadline and not closed else state.getCurrentWatermarkMs() + int(timeout_s * 1000)
+        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=columns)
 
-    rows = events.withWatermark("ts", delay).select("batch", "kind", "loss", "ts")
-    return rows.groupBy("batch").applyInPandasWithState(update, "batch string, outcome string, loss double, late_reports long", "deadline long, closed boolean, late long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.withWatermark("ts", delay).select("batch", "kind", "loss", "ts", F.unix_millis("ts").alias("ms"))
+    kept = "deadline long, progress long, loss double, closed boolean, late long"
+    return rows.groupBy("batch").applyInPandasWithState(update, "batch string, outcome string, loss double, late_reports long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_cache(puts: DataFrame, ttl: str, delay: str = DELAY) -> DataFrame:
+    """Changes of a cache of ``key, value, ts`` puts: an entry lives for ``ttl`` after its last put (``live`` false: expired)."""
+    log = puts.select("key", "value", (F.col("ts") + F.expr(f"interval {ttl}")).alias("expiration"), F.col("ts").alias("arrival"))
+    return stream_latest_records(log, delay)
+
+
+def stream_pair_intervals(marks: DataFrame) -> DataFrame:
+    """Time from the last start before each end of ``host, ts, mark`` rows (``start``, ``end``); a start is used once.
+
+    State is the last start of a host; rows are taken in order of time within a trigger.
+    """
+
+    def update(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (begun,) = state.get if state.exists else (None,)
+        out = []
+        for part in rows:
+            for us, mark in part.sort_values(["us", "mark"], ascending=[True, False], kind="stable")[["us", "mark"]].itertuples(index=False):
+                if mark == "start":
+                    begun = int(us)
+                elif mark == "end" and begun is not None:
+                    out.append((key[0], us, (us - begun) / 1000))
+                    begun = None
+        state.update((begun,))
+        yield pd.DataFrame(out, columns=["host", "us", "ms"])
+
+    rows = marks.select("host", F.unix_micros("ts").alias("us"), "mark")
+    out = rows.groupBy("host").applyInPandasWithState(update, "host string, us long, ms double", "begun long", "append", GroupStateTimeout.NoTimeout)
+    return out.select("host", F.timestamp_micros("us").alias("ts"), "ms")
 
 
 def stream_epoch_cycles(events: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from corpusloom.functions import scalar
 from corpusloom.operators import records, telemetry
 from corpusloom.plans import jobs
 from corpusloom.plans.corpus_queries import documents
+from corpusloom.sources import documents as documents_source
 
 
 @pytest.mark.parametrize("parts", [1, 5])
@@ -38,6 +39,41 @@ def test_build_and_read(spark, data_dir, tmp_path, parts):
     assert not (tmp_path / "other" / "train" / "manifest.json").exists()
 
 
+def test_publication(spark, tmp_path):
+    docs = spark.createDataFrame([("c", f"d{i}", "text " * i) for i in range(30)], "crawl string, doc_id string, text string")
+    source, target = f"file://{tmp_path}/corpus/train", tmp_path / "public"
+    manifest = jobs.build_corpus(docs, jobs.Recipe(chunk_tokens=256, roles=("train",)), f"file://{tmp_path}/corpus")["train"]
+    receipt = documents_source.publish_chunks(spark, source, f"file://{target}", manifest)
+    assert receipt["chunks"] == len(manifest["chunks"]) > 3 and sorted(p.name for p in target.glob("*.bin")) == [c["name"] for c in manifest["chunks"]]
+    total = documents_source.read_chunks(spark, f"file://{target}", manifest).agg(F.sum(F.size("tokens"))).first()[0]
+    assert total == sum(c["tokens"] for c in manifest["chunks"])
+    assert documents_source.publish_chunks(spark, source, f"file://{target}", manifest) == receipt
+    first = target / manifest["chunks"][0]["name"]
+    whole = first.read_bytes()
+    first.unlink()
+    with pytest.raises(Exception, match="dangling"):
+        documents_source.publish_chunks(spark, source, f"file://{target}", manifest)
+    (target / "manifest.json").unlink()
+    assert documents_source.publish_chunks(spark, source, f"file://{target}", manifest) == receipt and first.read_bytes() == whole
+    with pytest.raises(ValueError, match="another manifest"):
+        documents_source.publish_chunks(spark, source, f"file://{target}", {**manifest, "total_docs": 0})
+    first.write_bytes(whole[:-4] + b"....")
+    with pytest.raises(Exception, match="other content"):
+        documents_source.publish_chunks(spark, source, f"file://{target}", manifest)
+
+
+def test_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(f"u{i % 3}", "train" if i % 2 else "validation", f"{i * 7919 % 97:02d}", i) for i in range(60)], "unit_id string, role string, key string, n long")
+    folder = f"file://{tmp_path}/parts"
+    files = documents_source.write_parts(rows, folder).collect()
+    assert len(files) >= 6 and all(len(r.sha256) == 64 for r in files)
+    documents_source.write_parts(rows.where("unit_id = 'u1' and n < 14"), folder)
+    left = spark.read.parquet(folder).groupBy("unit_id").count().collect()
+    assert {(r.unit_id, r["count"]) for r in left} == {("u0", 20), ("u1", 5), ("u2", 20)}
+    keys = [r.key for r in spark.read.parquet(f"{folder}/unit_id=u0/role=train").coalesce(1).collect()]
+    assert keys == sorted(keys)
+
+
 def test_console_view(spark):
     at = "2026-01-01 00:00:{:02d},000 - {}"
     texts = ["INFO - Exiting ghost mode at 3 local epoch", "INFO - Ghost phase 1 will last 5 steps, ending at local epoch 9", "INFO - Processed 0 batches in last 60 seconds:", "INFO - Processed 4 batches in last 60 seconds:", "INFO - chatter", "WARNING - odd", "INFO - Exiting ghost mode at 9 local epoch", "INFO - Processed 0 batches in last 60 seconds:"]

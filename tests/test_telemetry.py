@@ -299,6 +299,27 @@ def test_stream_ledger_and_rounds(spark, tmp_path):
     assert [r.name for r in sorted(got, key=lambda r: r.ts)] == ["ar_time", "grad_accum_time", "error_missed_ar_step"]
 
 
+def test_silent_hosts_and_stalled_batches(spark, tmp_path):
+    rules = [{"name": "start", "pattern": "begin", "action": "set_started"}, {"name": "idle", "pattern": "work", "action": "track_activity", "timeout": 60}]
+    rows = [("h", ts(0), "begin"), ("g", ts(1), "begin"), ("g", ts(100), "work"), ("g", ts(101), "work"), ("g", ts(102), "work"), ("g", ts(110), "x")]
+    got = run_stream(spark, lambda s: jobs.stream_alerts(s, rules), rows, "host string, ts timestamp, line string", tmp_path / "a", "append", batches=3)
+    assert {(r.host, r.rule) for r in got} == {("h", "idle"), ("g", "idle")}
+    assert [round(r.value) for r in got if r.host == "h"] and all(r.value > 60 for r in got)
+    rows = [("a", "open", None, ts(0)), ("a", "loss", 2.0, ts(5)), ("b", "open", None, ts(0)), ("b", "loss", 1.0, ts(20)), ("b", "loss", 3.0, ts(40)), ("c", "loss", 1.0, ts(41)), ("b", "done", None, ts(45)), ("a", "done", 2.0, ts(46)), ("d", "open", None, ts(300)), ("d", "dropped", None, ts(301))]
+    got = run_stream(spark, lambda s: jobs.stream_batch_ledger(s, 60, 30), rows, "batch string, kind string, loss double, ts timestamp", tmp_path / "s", "append")
+    assert {(r.batch, r.outcome, r.loss, r.late_reports) for r in got} == {("a", "dropped", None, 0), ("a", "late", None, 1), ("b", "done", 3.0, 0), ("c", "late", None, 1), ("d", "dropped", None, 0)}
+
+
+def test_stream_cache_and_pairs(spark, tmp_path):
+    rows = [("k", "1", ts(0)), ("k", "2", ts(8)), ("x", "3", ts(1)), ("y", "4", ts(60)), ("y", "4", ts(61)), ("y", "4", ts(62))]
+    got = run_stream(spark, lambda s: jobs.stream_cache(s, "10 seconds"), rows, "key string, value string, ts timestamp", tmp_path / "c", "update", batches=2)
+    assert {(r.key, r.value) for r in got if not r.live} == {("k", "2"), ("x", "3")}
+    marks = [("h", ts(0), "start"), ("h", ts(2), "start"), ("h", ts(5), "end"), ("h", ts(6), "end"), ("g", ts(1), "start"), ("g", ts(9), "end")]
+    got = run_stream(spark, jobs.stream_pair_intervals, marks, "host string, ts timestamp, mark string", tmp_path / "p", "append", batches=2)
+    want = telemetry.pair_intervals(spark.createDataFrame(marks, "host string, ts timestamp, mark string"), ["host"], F.col("mark") == "start", F.col("mark") == "end")
+    assert {(r.host, r.ts, r.ms) for r in got} == {(r.host, r.ts, r.ms) for r in want.collect()} and len(got) == 2
+
+
 def test_validation_of_json_records(spark):
     rows = spark.createDataFrame([(json.dumps(x),) for x in ({"a": 1, "b": "x"}, {"a": "1", "b": "x"}, {"a": 1}, {"a": 1.5, "b": "x"})] + [("{",), (None,)], "value string")
     good, bad = records.validate_records(rows, {"a": "BIGINT", "b": "STRING"})
