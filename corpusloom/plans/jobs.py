@@ -45,22 +45,66 @@ class Recipe:
         return scalar.canonical_digest({k: v.hex() if isinstance(v, bytes) else v for k, v in self.__dict__.items()})
 
 
-def build_corpus(docs: DataFrame, recipe: Recipe, folder: str) -> dict[str, dict]:
-    """Build ``crawl, doc_id, text[, unit_id]`` documents into ``folder/<role>``: chunk files and a manifest for each role.
+PINS = ("recipe_sha256", "input_docs", "input_hash")
+PART = "key string, crawl string, doc_id string, tokens array<int>, n_tokens long, has_eos boolean, is_validation boolean, unit_id string, role string"
+MARKER = "unit_id string, recipe_sha256 string, input_docs long, input_hash string, seen long, selected long, tokens long"
 
-    Documents are keyed, tokenized once, checked (no repeated key, few that hold EOS), put into key order, cut into chunks and
-    written.  Violations stop the job before any manifest exists; a manifest is the commit of its role.
-    """
-    from pyarrow import fs
 
-    unit = F.col("unit_id") if "unit_id" in docs.columns else F.lit("unit-00000")
-    rows = corpus.apply_transforms(docs.select("crawl", "doc_id", "text", unit.alias("unit_id")), recipe.transforms)
+def encode_documents(docs: DataFrame, recipe: Recipe) -> DataFrame:
+    """Keyed, tokenized, framed and routed documents of a recipe."""
+    rows = corpus.apply_transforms(docs.select("crawl", "doc_id", "text", "unit_id"), recipe.transforms)
     rows = corpus.doc_key(rows, recipe.flavour, recipe.seed)
     rows = (corpus.tokenize_with(rows, recipe.tokenizer) if recipe.tokenizer else corpus.tokenize_bytes(rows)).drop("text")
     rows = rows.withColumn("has_eos", F.array_contains("tokens", recipe.eos))
     rows = corpus.route_roles(corpus.with_validation(rows, recipe.domain, recipe.validation, recipe.flavour), recipe.roles)
     rows = corpus.frame_tokens(corpus.assert_token_range(rows, recipe.vocabulary), recipe.bos, recipe.eos)
-    rows = stored(rows.withColumn("n_tokens", F.size("tokens").cast("long")))
+    return rows.withColumns({"n_tokens": F.size("tokens").cast("long"), "tokens": F.col("tokens").cast("array<int>")})
+
+
+def build_units(docs: DataFrame, recipe: Recipe, folder: str, steps: int = 1) -> DataFrame:
+    """Parts of all units (``PART`` columns), of which only those without a marker are built, in ``steps`` groups.
+
+    A unit's marker pins the recipe and what the unit holds; it is written after the unit's parts, so a build that was lost goes on with
+    the units that have none.  A marker of another recipe or other documents is an error, and so are parts that do not
+    add up to their marker.
+    """
+    spark = docs.sparkSession
+    parts, markers = f"{folder}/parts", f"{folder}/markers"
+    spark.createDataFrame([], MARKER).write.mode("append").parquet(markers)
+    content = F.sum(F.xxhash64("crawl", "doc_id", "text").cast("decimal(38,0)")).cast("string")
+    units = docs.groupBy("unit_id").agg(F.count(F.lit(1)).alias("input_docs"), content.alias("input_hash"))
+    units = stored(units.withColumn("recipe_sha256", F.lit(recipe.sha256)))
+    done = stored(spark.read.schema(MARKER).parquet(markers))
+    corpus.fail_if_any(corpus.marker_mismatches(units, done, PINS), "units that were built from something else")
+    pending = stored(corpus.pending_units(units, done, PINS).withColumn("_step", F.pmod(F.xxhash64("unit_id"), F.lit(steps))))
+    for (step,) in sorted(pending.select("_step").distinct().collect()):
+        own = pending.where(F.col("_step") == step)
+        rows = encode_documents(docs.join(own.select("unit_id"), "unit_id", "left_semi"), recipe)
+        sources.write_parts(rows.select(*[c.split()[0] for c in PART.split(", ")]), parts)
+        built = spark.read.schema(PART).parquet(parts).join(own.select("unit_id"), "unit_id", "left_semi")
+        stats = corpus.unit_stats(built).select("unit_id", "seen", "selected", "tokens")
+        own.join(stats, "unit_id").select(*[c.split()[0] for c in MARKER.split(", ")]).write.mode("append").parquet(markers)
+    if units.isEmpty():
+        return spark.createDataFrame([], PART)
+    rows = spark.read.schema(PART).parquet(parts).join(units.select("unit_id"), "unit_id", "left_semi")
+    now = spark.read.schema(MARKER).parquet(markers).join(units.select("unit_id"), "unit_id", "left_semi").dropDuplicates()
+    pieces = rows.groupBy("unit_id").agg(F.count_if(~F.col("has_eos")).alias("part_docs"), F.coalesce(F.sum(F.when(~F.col("has_eos"), F.col("n_tokens"))), F.lit(0)).alias("part_tokens"))
+    wrong = now.join(pieces, "unit_id", "left").where("not (part_docs <=> selected) or not (part_tokens <=> tokens)")
+    corpus.fail_if_any(wrong, "units whose parts and marker differ")
+    return rows
+
+
+def build_corpus(docs: DataFrame, recipe: Recipe, folder: str, steps: int = 1) -> dict[str, dict]:
+    """Build ``role/chunk-*.bin`` and manifests below ``folder`` from ``crawl, doc_id, text`` (and perhaps ``unit_id``).
+
+    Documents are keyed, tokenized once, checked (no repeated key, few that hold EOS), put into key order, cut into chunks and
+    written.  Violations stop the job before any manifest exists; a manifest is the commit of its role.  Units that an earlier run
+    has finished are taken from ``folder`` (see ``build_units``).
+    """
+    from pyarrow import fs
+
+    unit = F.coalesce("unit_id", F.raise_error(F.lit("null unit_id")).cast("string")) if "unit_id" in docs.columns else F.lit("unit-00000")
+    rows = build_units(docs.select("crawl", "doc_id", "text", unit.alias("unit_id")), recipe, folder, steps)
     corpus.fail_if_any(corpus.duplicate_keys(rows), "documents with one key")
     corpus.fail_if_any(corpus.eos_drop_violations(corpus.unit_stats(rows), recipe.max_eos_drop), "units that lose too many documents")
     manifests = {}

@@ -310,7 +310,8 @@ def write_parts(rows: DataFrame, folder: str) -> DataFrame:
     """
     near = rows.hint("rebalance", "unit_id", "role").sortWithinPartitions("unit_id", "role", "key")
     near.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit_id", "role").parquet(folder)
-    files = list_inventory(rows.sparkSession, folder, (".parquet",))
+    # Values of partition columns are escaped in the names of folders, and such names once more in a URI.
+    files = list_inventory(rows.sparkSession, folder, (".parquet",)).withColumn("path", F.expr("replace(replace(path, '%', '%25'), ' ', '%20')"))
     return hash_objects(dealt(files, files.count()))
 
 

@@ -62,6 +62,25 @@ def test_publication(spark, tmp_path):
         documents_source.publish_chunks(spark, source, f"file://{target}", manifest)
 
 
+def test_a_build_goes_on(spark, tmp_path):
+    docs = spark.createDataFrame([("c", f"d{i}", "text " * i, f"data/u {i % 4}") for i in range(40)], "crawl string, doc_id string, text string, unit_id string")
+    recipe = jobs.Recipe(chunk_tokens=256, validation=0.3)
+    want = jobs.build_corpus(docs, recipe, f"file://{tmp_path}/whole")
+    folder = f"file://{tmp_path}/lost"
+    jobs.build_units(docs.where("unit_id <> 'data/u 2'"), recipe, folder, steps=2)
+    built = {p: p.stat().st_mtime_ns for p in (tmp_path / "lost/parts").rglob("*.parquet")}
+    assert jobs.build_corpus(docs, recipe, folder) == want
+    now = {p: p.stat().st_mtime_ns for p in (tmp_path / "lost/parts").rglob("*.parquet")}
+    assert built.items() < now.items() and all("u 2" in str(p) for p in now.keys() - built.keys())
+    with pytest.raises(ValueError, match="something else"):
+        jobs.build_units(docs.where("doc_id <> 'd3'"), recipe, folder)
+    with pytest.raises(ValueError, match="something else"):
+        jobs.build_units(docs, jobs.Recipe(chunk_tokens=512), folder)
+    next(iter((tmp_path / "lost/parts").rglob("*.parquet"))).unlink()
+    with pytest.raises(ValueError, match="parts and marker"):
+        jobs.build_units(docs, recipe, folder)
+
+
 def test_parts(spark, tmp_path):
     rows = spark.createDataFrame([(f"u{i % 3}", "train" if i % 2 else "validation", f"{i * 7919 % 97:02d}", i) for i in range(60)], "unit_id string, role string, key string, n long")
     folder = f"file://{tmp_path}/parts"
