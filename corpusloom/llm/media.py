@@ -15,8 +15,6 @@ from corpusloom.llm import webp
 
 #: Pixels in a row of an image, as long as it is not taller than the format allows.
 ROW = 16
-#: Payloads of more bytes get prefix codes of their own.
-OWN_CODES = 1 << 15
 #: Images that leave a task together.
 ROWS = 64
 STORED = "doc_id long, n_bytes long, media binary"
@@ -39,8 +37,7 @@ def to_image(payload: bytes) -> bytes:
     full = -(-len(flat) // width) * width
     if full > len(flat):  # only texts above a megabyte: the rows of wide images are filled up
         flat = np.concatenate([flat, np.zeros(full - len(flat), np.uint32)])
-    argb = flat.reshape(-1, width)
-    return webp.encode(argb, fixed=len(payload) <= OWN_CODES, copies=webp.runs(argb))
+    return webp.smallest(flat.reshape(-1, width))
 
 
 def from_image(media: bytes, payload_bytes: int) -> tuple[np.ndarray, bytes]:
@@ -64,7 +61,8 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, media``: each text (null: empty) in UTF-8, padded, as a lossless WebP file.
 
-    Extra columns are not read, repeated rows are stored again, an empty table gives an empty result.
+    Extra columns are not read, repeated rows and ids are stored again, each with its own text, a null id stays null, an empty table
+    gives an empty result.  Equal texts give equal files, as the form of a file depends on its pixels alone.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,4 +97,6 @@ def read_media(stored: DataFrame, with_pixels: bool = True) -> DataFrame:
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """What a media column holds after a round trip through its stored form, one row per document."""
-    return read_media(store_media(docs), with_pixels=False).drop("pixels", "width", "height")
+    found = read_media(store_media(docs), with_pixels=False)
+    sides = ["width", "height"]
+    return found.select(*[c for c in found.columns if c not in ("pixels", *sides)], *sides)

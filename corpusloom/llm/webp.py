@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -88,10 +88,15 @@ class PrefixCode:
             self.symbol[flip], self.length[flip] = np.repeat(order, span), np.repeat(lengths[order], span)
         self.mask = (1 << self.bits) - 1
 
+    @cached_property
+    def plain(self) -> tuple[list[int], list[int]]:
+        return self.symbol.tolist(), self.length.tolist()
+
     def read(self, bits: Bits) -> int:
+        symbol, length = self.plain
         k = bits.peek(self.bits)
-        bits.at += int(self.length[k])
-        return int(self.symbol[k])
+        bits.at += length[k]
+        return symbol[k]
 
 
 @lru_cache(maxsize=16)
@@ -191,6 +196,21 @@ def pixels_at(ahead: np.ndarray, starts: np.ndarray, group: list[PrefixCode]) ->
     return (alpha << 24) | (red << 16) | (green << 8) | blue
 
 
+#: Up to so many pixels are faster read one by one.
+FEW = 12
+
+
+def pixel_at(ahead: np.ndarray, start: int, group: list[PrefixCode]) -> int:
+    found = []
+    for code in group[:4]:
+        symbol, length = code.plain
+        k = int(ahead[start]) & code.mask
+        found.append(symbol[k])
+        start += length[k]
+    green, red, blue, alpha = found
+    return (alpha << 24) | (red << 16) | (green << 8) | blue
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image, flat."""
     cache_bits = bits.take(4) if bits.take(1) else 0
@@ -230,9 +250,12 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 if len(path) > room:  # behind the last pixel
                     at, special = path[room], False
                     del path[room:]
-                if path:
+                if len(path) > FEW:
                     out[done : done + len(path)] = pixels_at(ahead, np.array(path), group)
-                    done += len(path)
+                else:
+                    for k, start in enumerate(path, done):
+                        out[k] = pixel_at(ahead, start, group)
+                done += len(path)
                 bits.at = base + at
                 if special and done < n:
                     done, cached = read_special(bits, group, out, done, cached, cache, cache_bits, width)
@@ -272,7 +295,11 @@ def read_special(bits: Bits, group: list[PrefixCode], out: np.ndarray, done: int
             out[done : done + length] = np.resize(out[done - distance : done], length)
         return done + length, cached
     fresh = out[cached:done]
-    cache[colour_slot(fresh, cache_bits)] = fresh  # of several colours in a slot the last stays
+    if len(fresh) > FEW:
+        cache[colour_slot(fresh, cache_bits)] = fresh  # of several colours in a slot the last stays
+    else:
+        for colour in fresh.tolist():
+            cache[(colour * HASH & 0xFFFFFFFF) >> (32 - cache_bits)] = colour
     out[done] = cache[symbol - 256 - LENGTHS]
     return done + 1, done
 
@@ -427,6 +454,8 @@ def decode(data: bytes) -> np.ndarray:
     return argb
 
 
+#: Bits of the side of the largest block that has one predictor mode.
+LARGEST_BLOCK = 9
 #: The format allows 15 bits; shorter codes make small tables, which readers look up faster.
 MOST_BITS = 12
 
@@ -663,16 +692,59 @@ def container(out: Writer) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
-def encode(argb: np.ndarray, fixed: bool = False, cache_bits: int = 0, copies: list[tuple[int, int, int]] | None = None, groups: tuple[int, np.ndarray] | None = None) -> bytes:
-    """A lossless WebP file of these pixels, without transforms."""
+def palette_image(argb: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The colours of an image and the image of their numbers, several to a pixel where they are few; None above 256 colours."""
+    table, number = np.unique(argb, return_inverse=True)
+    if len(table) > 256:
+        return None
+    bits = palette_bits(len(table))
+    number = number.reshape(argb.shape).astype(np.uint32)
+    if bits:
+        wide = np.zeros((len(argb), blocks(argb.shape[1], bits) << bits), np.uint32)
+        wide[:, : argb.shape[1]] = number
+        number = (wide.reshape(len(argb), -1, 1 << bits) << ((8 >> bits) * np.arange(1 << bits, dtype=np.uint32))).sum(-1, dtype=np.uint32)
+    return table, number << np.uint32(8)
+
+
+def predictor_image(argb: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of an image if each pixel is predicted by its left (mode 1) or its top neighbour (mode 2)."""
+    parts = channels(argb)
+    out = parts.copy()
+    if mode == 1:
+        out[:, 1:] -= parts[:, :-1]
+        out[1:, 0] -= parts[:-1, 0]
+    else:
+        out[1:] -= parts[:-1]
+        out[0, 1:] -= parts[0, :-1]
+    out[:1, 0, 3] -= np.uint8(255)
+    return packed(out)
+
+
+def encode(argb: np.ndarray, fixed: bool = False, cache_bits: int = 0, copies: list[tuple[int, int, int]] | None = None, groups: tuple[int, np.ndarray] | None = None, transform: int | None = None, mode: int = 2) -> bytes:
+    """A lossless WebP file of these pixels, as they are or by a ``transform``: the predictor (with ``mode``) or the palette.
+
+    ``copies`` are those of the image that is stored.
+    """
     height, width = argb.shape
     out = Writer()
     out.put(width - 1, 14)
     out.put(height - 1, 14)
     out.put(1, 1)
     out.put(0, 3)
+    if transform is not None:
+        out.put(1, 1)
+        out.put(transform, 2)
+    if transform == PREDICTOR:
+        out.put(LARGEST_BLOCK - 2, 3)
+        side = blocks(width, LARGEST_BLOCK)
+        write_image(out, np.full(side * blocks(height, LARGEST_BLOCK), 0xFF000000 | mode << 8, np.uint32), side, False)
+        argb = predictor_image(argb, mode)
+    elif transform == PALETTE:
+        table, argb = palette_image(argb)
+        out.put(len(table) - 1, 8)
+        write_image(out, packed(np.diff(channels(table), axis=0, prepend=np.uint8(0))), len(table), False)
     out.put(0, 1)
-    write_image(out, argb.ravel(), width, True, cache_bits, copies, groups, fixed and not cache_bits)
+    write_image(out, argb.ravel(), argb.shape[1], True, cache_bits, copies, groups, fixed and not cache_bits)
     return container(out)
 
 
@@ -689,3 +761,64 @@ def runs(argb: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
             out.append((at, min(4096, end - at), 1))
             at += out[-1][1]
     return out
+
+
+#: Bytes that a form with codes of its own must save over the codes for texts; it takes readers and writers that much longer.
+PRICE = 3000
+#: The largest cache of the format.
+CACHE_BITS = 11
+
+
+def coded_bits(counts: np.ndarray) -> float:
+    """About the bits of symbols with these counts (one row a code), with the codes themselves."""
+    total = counts.sum(-1)
+    used = np.count_nonzero(counts, axis=-1)
+    return float((total * np.log2(np.maximum(total, 1))).sum() - (counts * np.log2(np.maximum(counts, 1))).sum() + (60 + 5 * used).sum())
+
+
+def channel_counts(flat: np.ndarray) -> np.ndarray:
+    """How often each blue, green, red, alpha value comes."""
+    return np.bincount((channels(flat) + 256 * np.arange(4)).ravel(), minlength=1024).reshape(4, 256)
+
+
+def literals(flat: np.ndarray) -> np.ndarray:
+    """Pixels that do not repeat the one before."""
+    return flat[np.concatenate([[True], flat[1:] != flat[:-1]])]
+
+
+def cached_bits(flat: np.ndarray, cache_bits: int) -> float:
+    kind, at, slot = tokens_of(flat, 1, cache_bits, [])
+    counts = channel_counts(flat[at[kind == 0]])
+    hits = np.bincount(slot[kind == 2], minlength=1 << cache_bits)
+    return coded_bits(counts[[0, 2, 3]]) + coded_bits(np.concatenate([counts[1], hits])[None])
+
+
+def smallest(argb: np.ndarray) -> bytes:
+    """The image as a file in the form that is estimated to be the smallest, by its pixels alone.
+
+    Forms are: one fixed set of codes for texts; own codes; own codes and a colour cache; a palette; each pixel predicted by the one
+    above.  All but the first are charged ``PRICE``.  Runs are copies in each.
+    """
+    flat = literals(argb.ravel())
+    counts = channel_counts(flat)
+    plain = fixed_header()[1] + float((counts * fixed_table()).sum())
+    best, form = plain - 8 * PRICE, {"fixed": True}
+    if best > 0:  # else no form can save as much
+        forms = [(coded_bits(counts), {}), (cached_bits(flat, CACHE_BITS), {"cache_bits": CACHE_BITS})]
+        forms.append((coded_bits(channel_counts(literals(predictor_image(argb, 2).ravel()))), {"transform": PREDICTOR}))
+        found = palette_image(argb)
+        if found:
+            table, index = found
+            forms.append((coded_bits(channel_counts(table)) + coded_bits(channel_counts(literals(index.ravel()))), {"transform": PALETTE}))
+        size, own = min(forms, key=lambda f: f[0])
+        if size < best:
+            form = own
+    kept = {PREDICTOR: lambda: predictor_image(argb, 2), PALETTE: lambda: palette_image(argb)[1]}.get(form.get("transform"), lambda: argb)()
+    return encode(argb, copies=runs(kept), **form)
+
+
+@lru_cache(maxsize=1)
+def fixed_table() -> np.ndarray:
+    """Lengths of the codes for texts by blue, green, red, alpha value."""
+    green, red, blue, alpha = (code[:256] for code in FIXED[:4])
+    return np.stack([blue, green, red, alpha])

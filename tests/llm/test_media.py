@@ -223,6 +223,35 @@ def test_media_column(edge_docs, edge_rows, small, no_docs, clashing, spark):
     assert odd[0].pixels.rstrip(b"\0") in (b"", b"a")
 
 
+def test_smallest_form_by_content():
+    """Each form is chosen where it pays, is read back, and is not much above the least of all forms."""
+    words = RNG.integers(0, 1 << 32, 16, np.uint32)
+    steps = RNG.integers(0, 1 << 32, 16, np.uint32)
+    many = RNG.integers(0, 1 << 32, 900, np.uint32)
+    images = {
+        "fixed": np.frombuffer(b"some words of plain text, not many. " * 16, "<u4").reshape(-1, 16),
+        "own": RNG.integers(0, 9, (400, 64)).astype(np.uint8).view("<u4"),
+        "cache": many[np.cumsum(RNG.integers(0, 3, 12000)) % 900].reshape(-1, 16),
+        "palette": words[RNG.integers(0, 2, (5, 8))[RNG.integers(0, 5, 800)].reshape(-1, 16)],
+        "predictor": webp.packed(np.cumsum(np.broadcast_to(webp.channels(steps), (500, 16, 4)).astype(np.int64), axis=0) & 255),
+    }
+    for name, image in images.items():
+        keeps = {"predictor": webp.predictor_image(image, 2), "palette": (webp.palette_image(image) or (None, image))[1]}
+        how = {"fixed": {"fixed": True}, "own": {}, "cache": {"cache_bits": webp.CACHE_BITS}, "palette": {"transform": webp.PALETTE}, "predictor": {"transform": webp.PREDICTOR}}
+        files = {k: webp.encode(image, copies=webp.runs(keeps.get(k, image)), **v) for k, v in how.items() if k != "palette" or webp.palette_image(image)}
+        for file in files.values():
+            assert np.array_equal(webp.decode(file), image)
+        assert webp.smallest(image) == files[name]
+        assert len(files[name]) <= min(map(len, files.values())) + webp.PRICE
+    side = np.frombuffer(bytes(RNG.integers(0, 256, 64 * 40, np.uint8)), "<u4").reshape(-1, 16)
+    assert np.array_equal(webp.decode(webp.encode(side, transform=webp.PREDICTOR, mode=1)), side)
+
+
+def test_form_has_no_switch_by_size():
+    sizes = [len(media.to_image(b"a" * n)) for n in range(32_640, 33_000, 64)]
+    assert max(sizes) - min(sizes) < 16
+
+
 def test_tall_and_wide_payloads():
     for n in (64 * webp.MAX_SIDE, 64 * webp.MAX_SIDE + 64):
         payload = bytes(RNG.integers(97, 110, n, np.uint8))
