@@ -241,6 +241,12 @@ def q_overlap_breaks(spark: SparkSession, d: str) -> DataFrame:
     return corpus.overlap_breaks(ends.withColumnRenamed("chunk_id", "ordinal"))
 
 
+def q_overlap_breaks_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as objects in the order of their ids, their ends as tokens; unlike chunks they do not overlap."""
+    texts = table(spark, d, "documents").where("length(text) > 0")
+    return corpus.overlap_breaks(texts.select(F.col("doc_id").alias("ordinal"), F.left("text", F.lit(1)).alias("first_token"), F.right("text", F.lit(1)).alias("last_token")))
+
+
 def q_membership_diff(spark: SparkSession, d: str) -> DataFrame:
     return corpus.membership_diff(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
@@ -363,6 +369,8 @@ ORACLE_SQL = {
         FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE octet_length(encode(text)) IS DISTINCT FROM l.doc_id""",
     "overlap_breaks": f"""WITH {PIECES_SQL}, e AS (SELECT chunk_id AS ordinal, arg_min(doc_id, pos) AS first_token, arg_max(doc_id, pos) AS last_token FROM pieces GROUP BY chunk_id)
         SELECT a.ordinal, a.first_token, a.last_token, b.first_token AS next_first FROM e a JOIN e b ON b.ordinal = a.ordinal + 1 WHERE a.last_token <> b.first_token""",
+    "overlap_breaks_texts": """WITH e AS (SELECT doc_id AS ordinal, left(text, 1) AS first_token, right(text, 1) AS last_token FROM documents WHERE length(text) > 0)
+        SELECT a.ordinal, a.first_token, a.last_token, b.first_token AS next_first FROM e a JOIN e b ON b.ordinal = a.ordinal + 1 WHERE a.last_token <> b.first_token""",
     "membership_diff": """SELECT DISTINCT doc_id, 'evict' AS action FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'refresh' FROM labels""",
     "same_set": """(SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)) UNION ALL (SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents))""",
     "disjoint": f"WITH {KEYED_SQL} SELECT crawl FROM keyed WHERE role = 'train' INTERSECT SELECT crawl FROM keyed WHERE role = 'validation'",
