@@ -16,11 +16,15 @@ from corpusloom.llm.sharding import shard_rows
 from corpusloom.llm.token_counts import length_histogram
 from corpusloom.llm.token_pieces import tokenizer_path
 from corpusloom.llm.substring_dedup import remove_repeated_substrings
+from corpusloom.llm.url_filters import judge_urls, rules_table
 from corpusloom.llm.warc import archive_pages
 from corpusloom.session import table
 
 WORD_BPE = "word_bpe_49k.json"
 
+#: The rules of the query (host, path, action).
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
@@ -62,6 +66,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
+    "op11_url_filters": op11_url_filters,
 }
 
 OP1_SQL = r"""
@@ -114,4 +123,22 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL}
+OP11_SQL = r"""
+WITH r(h, p, verdict) AS (VALUES %s
+), u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+         row_number() OVER () AS n
+  FROM pages
+), s AS (
+  SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), f AS (
+  SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN f USING (n)
+""" % ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op11_url_filters": OP11_SQL}

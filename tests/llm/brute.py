@@ -75,3 +75,21 @@ def near(docs, width=4, percent=80):
 
 def crc(data):
     return zlib.crc32(data)
+
+
+def judged(pages, rules, default="allow"):
+    """Of (id, url) and (host, path, action): (id, host, path, rule, verdict)."""
+    lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+    out = []
+    for page, url in pages:
+        rest = url.partition("://")[2] if url else ""
+        host = lower(re.match("[^/?#]*", rest)[0])
+        path = re.match("[^/?#]*([^?#]*)", rest)[1]
+        fits = []
+        for h, p, action in rules:
+            h, p = lower(h or ""), p or ""
+            if (h == "" or host == h or host.endswith("." + h)) and path.startswith(p):
+                fits.append((len(h + p), len(h), h + p, action))
+        best = max(fits, default=(0, 0, None, default))
+        out.append((page, host, path, *best[2:]))
+    return out
