@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.alignment import align_tokenizers
 from corpusloom.llm.exact_dedup import exact_duplicates
 from corpusloom.llm.language_id import identify_language
 from corpusloom.llm.media import media_digests
@@ -22,6 +23,8 @@ from corpusloom.llm.warc import archive_pages
 from corpusloom.session import table
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 #: The rules of the query (host, path, action).
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -71,6 +74,10 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_manifest(table(spark, sf_dir, "documents"))
 
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
     "op11_url_filters": op11_url_filters,
+    "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
 

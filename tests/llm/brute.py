@@ -136,3 +136,49 @@ def merkle(docs, every=7):
             digest, more = climb(top, k, digest)
             out.append((row[0], leaf(row), trees[g][-1][0], top[-1][0], sha("".join(siblings + more)), digest, digest == top[-1][0]))
     return out
+
+
+def token_groups(text, a, b):
+    """Groups of one text: lists of (ids of A, ids of B); ``a`` and ``b`` give a text's tokens as (id, bytes)."""
+    if not text:
+        return []
+    left, right, whole = a(" " + text), b(text), (" " + text).encode()
+    if any(b"".join(x for _, x in side) != whole for side in (left, right)):
+        return []
+    ends = []
+    for side in (left, right):
+        at, upto = 0, []
+        for _, x in side:
+            at += len(x)
+            upto.append(at)
+        ends.append(upto)
+    out, i, j = [], 0, 0
+    for cut in sorted(set(ends[0]) & set(ends[1])):
+        p, q = i, j
+        while ends[0][i] < cut:
+            i += 1
+        while ends[1][j] < cut:
+            j += 1
+        i, j = i + 1, j + 1
+        out.append(([t for t, _ in left[p:i]], [t for t, _ in right[q:j]]))
+    return out
+
+
+def alignments(docs, a, b):
+    """Of (id, text): the rows of an alignment."""
+    grouped = [(d, token_groups(t, a, b)) for d, t in docs]
+    linked = [[(x, y) for left, right in g for x in left for y in right] for _, g in grouped]
+    count = defaultdict(int)
+    for pairs in linked:
+        for p in set(pairs):
+            count[p] += 1
+    most = defaultdict(int)
+    for (x, _), n in count.items():
+        most[x] = max(most[x], n)
+    out = []
+    for (d, g), pairs in zip(grouped, linked, strict=True):
+        shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in g)
+        best = sum(count[p] == most[p[0]] for p in pairs)
+        digest = hashlib.sha256(shown.encode()).hexdigest() if g else ""
+        out.append((d, sum(len(x) for x, _ in g), sum(len(y) for _, y in g), len(g), len(pairs), best, sum(count[p] for p in pairs), digest))
+    return out
