@@ -237,17 +237,26 @@ def inventory_drift(live: DataFrame, locked: DataFrame) -> DataFrame:
 
 
 def reconcile_units(markers: DataFrame, parts: DataFrame) -> DataFrame:
-    """Units whose counts do not add up; ``parts`` has docs and tokens per unit and role."""
-    sums = parts.groupBy("unit_id").agg(F.sum("docs").alias("part_docs"), F.sum("tokens").alias("part_tokens"))
-    joined = markers.join(sums, "unit_id", "left").na.fill(0, ["part_docs", "part_tokens"])
+    """Units whose counts do not add up; ``parts`` has docs and tokens per unit and role.
+
+    With a ``validation`` column in the markers, it is at most what was selected, and what the validation role holds, if there
+    is such a role.
+    """
+    held = F.col("role") == "validation"
+    sums = parts.groupBy("unit_id").agg(
+        F.sum("docs").alias("part_docs"), F.sum("tokens").alias("part_tokens"), F.sum(F.when(held, F.col("docs"))).alias("part_validation"), F.count_if(F.col("tokens") < 2 * F.col("docs")).alias("_short")
+    )
+    joined = markers.join(sums, "unit_id", "left").na.fill(0, ["part_docs", "part_tokens", "_short"])
     good = (
         (F.col("seen") == F.col("selected") + F.col("dropped_eos"))
         & (F.col("part_docs") == F.col("selected"))
         & (F.col("part_tokens") == F.col("tokens"))
-        & (F.col("tokens") >= 2 * F.col("selected"))
+        & (F.col("_short") == 0)
         & (F.col("rows").isNull() | (F.col("seen") == F.col("rows")))
     )
-    return joined.where(~good)
+    if "validation" in markers.columns:
+        good = good & (F.col("validation") <= F.col("selected")) & (F.col("part_validation").isNull() | (F.col("part_validation") == F.col("validation")))
+    return joined.where(~F.coalesce(good, F.lit(False))).drop("_short")
 
 
 def reconcile_crawls(units: DataFrame, markers: DataFrame) -> DataFrame:
@@ -256,9 +265,9 @@ def reconcile_crawls(units: DataFrame, markers: DataFrame) -> DataFrame:
     return sums.where("seen <> declared")
 
 
-def split_leak(parts: DataFrame, domain: str, fraction: float) -> DataFrame:
+def split_leak(parts: DataFrame, domain: str, fraction: float, flavour: str = "sha2") -> DataFrame:
     """Rows whose role disagrees with their recomputed reservation."""
-    again = with_validation(parts.drop("is_validation"), domain, fraction)
+    again = with_validation(parts.drop("is_validation"), domain, fraction, flavour)
     return again.where((F.col("role") == "validation") != F.col("is_validation"))
 
 

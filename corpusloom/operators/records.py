@@ -25,6 +25,36 @@ def latest_subrecords(log: DataFrame, now: Column) -> DataFrame:
     return rows.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("subkey", "value")))).alias("value"), F.max("expiration").alias("expiration"))
 
 
+def latest_entries(log: DataFrame, now: Column) -> DataFrame:
+    """Per key what it holds: ``key, plain, value, expiration``, a plain value (rows without subkey) or a map of subrecords.
+
+    The two kinds compete: a plain value needs a greater expiration than all before it to replace a map (which expires with the last
+    of its subrecords), and so does a subrecord to replace a plain value; the map then begins anew.  Into a map, subrecords go as
+    in ``latest_subrecords``.  Rows that are expired on arrival are refused.
+
+    What a key expires at is the greatest expiration so far, whatever was refused, so which plain value came last and which
+    subrecords came after it are running maxima.  Only keys that have rows of both kinds are put in order.
+    """
+    rows = log.where(F.col("expiration") >= F.col("arrival"))
+    kinds = rows.groupBy("key").agg(F.bool_and(F.col("subkey").isNull()).alias("_plain"), F.bool_and(F.col("subkey").isNotNull()).alias("_map"))
+    mixed = rows.join(kinds.where("not _plain and not _map").select("key"), "key")
+    before = Window.partitionBy("key").orderBy("arrival", F.col("subkey").asc_nulls_first(), "value")
+    so_far = before.rowsBetween(Window.unboundedPreceding, -1)
+    ordered = mixed.withColumns({"_most": F.max("expiration").over(so_far), "_upto": F.max("expiration").over(before.rowsBetween(Window.unboundedPreceding, 0))})
+    replaces = F.col("subkey").isNull() & F.coalesce(F.col("expiration") > F.col("_most"), F.lit(True))
+    ordered = ordered.withColumns({"_replaces": replaces, "_last": F.max(F.when(replaces, F.col("expiration"))).over(Window.partitionBy("key"))})
+    # The last plain value's expiration is the greatest of the plain values that replaced anything.
+    still_plain = ordered.where(F.col("_replaces") & (F.col("expiration") == F.col("_last")))
+    after = ordered.where(F.col("subkey").isNotNull() & F.coalesce(F.col("_upto") > F.col("_last"), F.lit(True)))
+    plain = rows.join(kinds.where("_plain").select("key"), "key").select("key", "value", "expiration", "arrival")
+    plain = plain.unionByName(still_plain.join(after.select("key").distinct(), "key", "left_anti").select("key", "value", "expiration", "arrival"))
+    maps = rows.join(kinds.where("_map").select("key"), "key").select("key", "subkey", "value", "expiration", "arrival")
+    maps = maps.unionByName(after.select("key", "subkey", "value", "expiration", "arrival"))
+    held = latest_subrecords(maps, now)
+    kept = latest_records(plain, now).select("key", F.col("value").alias("plain"), F.lit(None).cast(dict(held.dtypes)["value"]).alias("value"), "expiration")
+    return kept.unionByName(held.select("key", F.lit(None).cast(dict(kept.dtypes)["plain"]).alias("plain"), "value", "expiration"))
+
+
 def live_members(rows: DataFrame, now: Column, value: str = "value") -> DataFrame:
     """Members parsed from their values: phase 1 and malformed ones go, phase 2 stays, expired ones go."""
     parsed = rows.withColumn("_m", scalar.member_value(F.col(value)))
@@ -138,15 +168,21 @@ def verify_members(members: DataFrame, expected: dict[str, str], info: str = "in
     return members.where(good)
 
 
-def swarm_progress(records: DataFrame, now: Column, target: float, stale_allow: int, by: tuple[str, ...] = ()) -> DataFrame:
+def swarm_progress(records: DataFrame, now: Column, target: float, stale_allow: int, by: tuple[str, ...] = (), local: DataFrame | None = None, eps: float = 0.0, refresh_s: float = 3.0) -> DataFrame:
     """Progress of a swarm from ``epoch, samples, speed, time, client_mode`` rows, one per peer.
 
     The epoch is the largest of non-client peers; samples count for peers at most ``stale_allow`` behind; speed counts
-    for all; estimates add what peers did since they reported.  ETA and next refresh follow.
+    for all, and ``eps`` once; estimates add what peers did since they reported.  ETA and next refresh follow.
+
+    ``local`` (``by, local_epoch, local_samples, local_speed``) is the asker's own progress: no epoch is less than its, and a swarm
+    without peers or without samples has its epoch, samples and ETA, to be looked at again after ``refresh_s``.
     """
     if not by:
-        return swarm_progress(records.withColumn("_swarm", F.lit(0)), now, target, stale_allow, ("_swarm",)).drop("_swarm")
+        one = local.withColumn("_swarm", F.lit(0)) if local is not None else None
+        return swarm_progress(records.withColumn("_swarm", F.lit(0)), now, target, stale_allow, ("_swarm",), one, eps, refresh_s).drop("_swarm")
     top = records.groupBy(*by).agg(F.max(F.when(~F.col("client_mode"), F.col("epoch"))).alias("global_epoch"))
+    if local is not None:
+        top = top.join(local.select(*by, "local_epoch"), list(by), "full").withColumn("global_epoch", F.greatest("global_epoch", "local_epoch")).drop("local_epoch")
     met = records.join(top, list(by))
     fresh = F.col("epoch") >= F.col("global_epoch") - stale_allow
     since = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros("time")) / 1e6)
@@ -154,13 +190,22 @@ def swarm_progress(records: DataFrame, now: Column, target: float, stale_allow:
         F.count(F.lit(1)).alias("peers"),
         F.count_if("client_mode").alias("clients"),
         F.coalesce(F.sum(F.when(fresh, F.col("samples"))), F.lit(0)).alias("total_samples"),
-        F.sum("speed").alias("total_speed"),
+        (F.sum("speed") + F.lit(eps)).alias("total_speed"),
         F.coalesce(F.sum(F.when(fresh, F.col("samples") + since * F.col("speed"))), F.lit(0.0)).alias("estimated_samples"),
     )
     eta = F.greatest(F.lit(0.0), F.lit(float(target)) - F.col("estimated_samples")) / F.col("total_speed")
     out = out.withColumn("eta_s", F.when(F.col("total_speed") > 0, eta))
     factor = F.col("peers") / F.greatest(F.col("peers") + 3, F.col("peers") * 1.2)
-    return out.withColumn("next_refresh_s", F.least(F.lit(10.0), F.greatest(F.lit(0.5), F.col("eta_s") * factor)))
+    out = out.withColumn("next_refresh_s", F.least(F.lit(10.0), F.greatest(F.lit(0.5), F.col("eta_s") * factor)))
+    if local is None:
+        return out
+    idle = F.coalesce(F.col("total_samples"), F.lit(0)) == 0
+    own = F.greatest(F.lit(0.0), F.lit(float(target)) - F.col("local_samples")) / F.when(F.col("local_speed") > 0, F.col("local_speed"))
+    out = out.join(local.select(*by, "local_epoch", "local_samples", "local_speed"), list(by), "full").na.fill(0, ["peers", "clients"])
+    mine = idle & F.col("local_epoch").isNotNull()
+    told = {"global_epoch": F.col("local_epoch"), "total_samples": F.col("local_samples"), "estimated_samples": F.col("local_samples").cast("double"), "eta_s": own, "next_refresh_s": F.lit(refresh_s)}
+    out = out.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in told.items()}).withColumn("total_speed", F.coalesce("total_speed", F.lit(eps)))
+    return out.drop("local_epoch", "local_samples", "local_speed")
 
 
 def leaderboard(compute: DataFrame, presence: DataFrame, peers: DataFrame, most_active: int = 5) -> DataFrame:

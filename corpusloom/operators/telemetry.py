@@ -5,14 +5,16 @@ A parsed line has ``ts, level, msg`` and the whole ``line``; a metric is ``kind`
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar
+from corpusloom.plans.folds import ordered_fold, phases, window_sums
 from corpusloom.plans.ranking import at_ranks
 
 
@@ -128,14 +130,25 @@ RULES: tuple[Rule, ...] = (
     Rule("T28", "Transitioning", r"INFO - Transitioning to epoch (\d+)", (("event", "ar_transition", 1),)),
 )
 PER_TARGET = r"\[W2WSend\] .*, per_target: ((?:[\w.]+=\d+)(?: [\w.]+=\d+)*)"
+# How records begin, on the console and in files (where a block tells who wrote a warning or worse).
+HEAD = r"^(?:\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3} - \w+ - |[A-Z][a-z]{2} \d\d \d\d:\d\d:\d\d\.\d{3} \[\w+\] )"
 LINE = r"(?s)^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) - (\w+) - (.*)$"
+FILE_LINE = r"(?s)^([A-Z][a-z]{2} \d\d \d\d:\d\d:\d\d\.\d{3}) \[(\w+)\] (?:(?<=(?:WARNING|ERROR|CRITICAL)\] )\[([^\]]*)\] )?(.*)$"
 
 
-def parse_lines(df: DataFrame, line: str = "value") -> DataFrame:
-    """Split ``timestamp - LEVEL - message``; a line that does not fit keeps its text as message."""
+def parse_lines(df: DataFrame, line: str = "value", year: int | None = None) -> DataFrame:
+    """Split ``timestamp - LEVEL - message`` or ``timestamp [LEVEL] [caller] message`` into ``ts, level, caller, msg``.
+
+    The second form has no year: without ``year`` it has no ``ts``.  A line that fits neither keeps its text as message.
+    """
     part = [F.regexp_extract(line, LINE, k) for k in (1, 2, 3)]
-    fits = F.col(line).rlike(LINE)
-    return df.withColumns({"ts": F.when(fits, scalar.parse_log_ts(part[0])), "level": F.when(fits, part[1]), "msg": F.when(fits, part[2]).otherwise(F.col(line)), "line": F.col(line)})
+    own = [F.regexp_extract(line, FILE_LINE, k) for k in (1, 2, 3, 4)]
+    fits, filed = F.col(line).rlike(LINE), F.col(line).rlike(FILE_LINE)
+    at = scalar.parse_log_ts(F.date_format(F.try_to_timestamp(F.concat(F.lit(f"{year} "), own[0]), F.lit("yyyy MMM dd HH:mm:ss.SSS")), "yyyy-MM-dd HH:mm:ss,SSS")) if year else F.lit(None)
+    pick = lambda a, b: F.when(fits, a).when(filed, b)
+    return df.withColumns(
+        {"ts": pick(scalar.parse_log_ts(part[0]), at), "level": pick(part[1], own[1]), "caller": F.when(filed & ~fits, F.nullif(own[2], F.lit(""))), "msg": F.coalesce(pick(part[2], own[3]), F.col(line)), "line": F.col(line)}
+    )
 
 
 def _matches(rule: Rule, line: Column) -> Column:
@@ -318,13 +331,56 @@ def windowed_count(df: DataFrame, by: Sequence[str], match: Column, reset: Colum
     return rows.withColumn("count", F.sum("_flag").over(last)).withColumn("alert", F.col("count") >= threshold).drop("_flag")
 
 
-def top_labels(df: DataFrame, by: Sequence[str], label: str, most: int = 3) -> DataFrame:
-    """Per metric the ``most`` labels with the highest counts, ties to the last updated (a top-k report)."""
-    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
+def top_labels(df: DataFrame, by: Sequence[str], label: str, most: int = 3, count: Column | None = None) -> DataFrame:
+    """Per metric the ``most`` labels with the highest counts, ties to the last updated (a top-k report).
+
+    A row counts 1; ``count`` is another aggregate, such as the last value of labels that carry a cumulative count.
+    """
+    counts = df.groupBy(*by, label).agg((F.count(F.lit(1)) if count is None else count).alias("n"), F.max("ts").alias("last_seen"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col("last_seen").desc(), label))
     return counts.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+#: Metrics whose labels name peers: bans add up, failed pushes tell their total each time.
+LABEL_METRICS = {"ban": F.sum, "w2w_push_fail": lambda value: F.max_by(value, F.struct("ts", value))}
+
+
+def bounded_labels(metrics: DataFrame, by: Sequence[str] = ("role",), most: int = 3) -> DataFrame:
+    """Of ``label`` metrics, per metric of its own the ``most`` labels with the highest count: ``by, metric, name, n, last_seen, rank``."""
+    out = None
+    for metric, count in LABEL_METRICS.items():
+        own = metrics.where((F.col("kind") == "label") & F.startswith("name", F.lit(f"{metric}_"))).withColumn("metric", F.lit(metric))
+        found = top_labels(own, [*by, "metric"], "name", most, count(F.col("value")))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# The batches that a worker has done, with their direction and examples.
+WORK = r"_(forward|backward):.*?(\d+)\s+examples.*?avg batch size [\d.]+.*?avg batch await time \d+"
+
+
+def worked_examples(parsed: DataFrame) -> DataFrame:
+    """``direction, examples`` beside the columns of lines that report finished batches."""
+    rows = classify_lines(parsed)
+    numbers = [i for i, r in enumerate(RULES) if r.family == "T21"]
+    return rows.where(F.col("rule").isin(numbers)).withColumns({"direction": F.regexp_extract("line", WORK, 1), "examples": F.regexp_extract("line", WORK, 2).try_cast("double")}).drop("rule")
+
+
+def flop_flushes(parsed: DataFrame, by: Sequence[str], flop: dict[str, float]) -> DataFrame:
+    """``ts, value`` per "Processed N batches" line: PFLOP of the batches since the line before, where there were any.
+
+    ``flop`` is what one example costs by direction.  Work after the last such line is not told yet.
+    """
+    work = worked_examples(parsed).select(*by, "ts", "line", F.lit(False).alias("_flush"), F.col("examples") * F.when(F.col("direction") == "forward", flop["forward"]).otherwise(flop["backward"]))
+    work = work.toDF(*by, "ts", "line", "_flush", "_flop")
+    number = next(i for i, r in enumerate(RULES) if r.family == "T22")
+    flush = classify_lines(parsed).where(F.col("rule") == number).select(*by, "ts", "line", F.lit(True).alias("_flush"), F.lit(None).cast("double").alias("_flop"))
+    before = Window.partitionBy(*by).orderBy("ts", "_flush", "line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = work.unionByName(flush).withColumn("_era", F.coalesce(F.sum(F.col("_flush").cast("int")).over(before), F.lit(0)))
+    sums = rows.groupBy(*by, "_era").agg(F.max(F.when(F.col("_flush"), F.col("ts"))).alias("ts"), F.sum("_flop").alias("_flop"))
+    return sums.where("ts is not null and _flop is not null").select(*by, "ts", (F.col("_flop") / 1e15).alias("value"))
+
+
 def counter_deltas(df: DataFrame, by: Sequence[str], counter: str, order: Sequence[str] = ("ts",)) -> DataFrame:
     """Deltas of a byte counter as Mbps; a counter that went back was reset and gives no row."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -387,45 +443,33 @@ def epoch_cycle_times(events: DataFrame, by: str = "host") -> DataFrame:
 def utilisation_windows(df: DataFrame, by: str = "host", span_ms: float = 5000) -> DataFrame:
     """Sums of ``value`` from an anchor line on; a line more than ``span_ms`` later closes the sum and is the next anchor.
 
-    An ordered fold: sorted rows pass batch by batch, and only the host, its anchor and its sum are carried on.
+    An ordered fold that carries the anchor and its sum, and searches the next anchor in a batch by bisection.  Lines without
+    time are not placed and left out.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, anchor, total, first = None, None, 0.0, True
-        for rows in batches:
-            out = []
-            for at, ts, value in rows.itertuples(index=False):
-                if first or at != host:
-                    host, anchor, total, first = at, None, 0.0, False
-                if anchor is not None and (ts - anchor).total_seconds() * 1000 > span_ms:
-                    out.append((host, anchor, ts, total))
-                    anchor, total = ts, 0.0
-                anchor = ts if anchor is None else anchor
-                total += value
-            yield pd.DataFrame(out, columns=[by, "anchor", "closed", "total"])
-
-    rows = df.select(F.col(by).cast("string").alias(by), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
-    ordered = rows.repartition(by).sortWithinPartitions(*[F.asc_nulls_last(c) for c in (by, "ts", "value")])
-    return ordered.mapInPandas(fold, f"{by} string, anchor timestamp, closed timestamp, total double")
+    def step(state: tuple[int, float] | None, rows: pa.RecordBatch) -> tuple[tuple[int, float] | None, list]:
+        state, closed = window_sums(state, rows.column("us").to_numpy(), rows.column("value").to_numpy(zero_copy_only=False), span_ms * 1000)
+        return state, [pa.array([c[i] for c in closed], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+
+    rows = df.select(by, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").cast("double").alias("value")).where("us is not null")
+    out = ordered_fold(rows, by, ["us", F.asc_nulls_last("value")], step, "anchor long, closed long, total double")
+    return out.select(by, F.timestamp_micros("anchor").alias("anchor"), F.timestamp_micros("closed").alias("closed"), "total")
 
 
 def phase_timeline(df: DataFrame, phase1: int, phase2: int, max_stale: int, by: str = "peer") -> DataFrame:
-    """Phase per step of ``step, local, remote`` epochs: 1 when too far behind, 2 after ``phase1`` steps, then off."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, phase, left = [], 0, 0
-        for step, local, remote in rows.sort_values("step")[["step", "local", "remote"]].itertuples(index=False):
-            if phase == 0 and remote - local > max_stale:
-                phase, left = 1, phase1
-            elif phase and left == 0:
-                phase, left = (2, phase2) if phase == 1 and phase2 > 0 else (0, 0)
-            left = max(0, left - 1) if phase else 0
-            out.append((step, phase))
-        frame = pd.DataFrame(out, columns=["step", "phase"])
-        frame.insert(0, by, rows[by].iloc[0])
-        return frame
-
-    return df.groupBy(by).applyInPandas(fold, f"{by} string, step long, phase int")
+    """Phase per step of ``step, local, remote`` epochs: 1 when too far behind, 2 after ``phase1`` steps, then off.
+
+    An ordered fold that carries the phase and its steps left; stretches of one phase are filled at once.  An unknown epoch is
+    not behind.  Steps that are repeated count each.
+    """
+
+    def step(state: tuple[int, int] | None, rows: pa.RecordBatch) -> tuple[tuple[int, int], list]:
+        state, found = phases(state, rows.column("stale").to_numpy(zero_copy_only=False), phase1, phase2)
+        return state, [rows.column("step"), pa.array(found)]
+
+    stale = F.coalesce(F.col("remote") - F.col("local") > max_stale, F.lit(False)).alias("stale")
+    rows = df.select(by, F.col("step").cast("long").alias("step"), stale)
+    return ordered_fold(rows, by, ["step", "stale"], step, "step long, phase int")
 
 
 # What the console view shows, in the order in which it is tried, and the lines of the synchronisation phases.

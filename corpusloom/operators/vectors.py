@@ -130,14 +130,51 @@ def quantize_quantile8(df: DataFrame, by: list[str], vec: str = "embedding", bor
     """As above with interpolated quantiles as borders: a code is the number of borders strictly below the value."""
     long = df.select(*by, F.col("vec_id"), F.posexplode(vec).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
     cuts = quantile_borders(long, by, borders)
-    # Binary search: a step is taken when the border that it would count last is below the value.
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(borders.bit_length()))])
-    below = lambda x: F.aggregate(steps, F.lit(0), lambda n, s: n + F.when(F.get("_b", n + s - 1) < x, s).otherwise(0))
-    codes = long.join(cuts, by).withColumn("code", below(F.col("x")))
+    codes = long.join(cuts, by).withColumn("code", _borders_below(F.col("x"), borders))
     book = codes.groupBy(*by, "code").agg(F.avg("x").alias("centre"), F.count(F.lit(1)).alias("n"))
     return codes.select(*by, "vec_id", "pos", "x", "code"), book
 
 
+def even_quantiles(long: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Per group the ``n`` interpolated quantiles from the least to the greatest ``x``, as ``_q``, exact, by ranks over buckets of values."""
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    place = lambda rows, k: (rows - 1) * (k / F.lit(n - 1))
+    ranks = lambda rows: F.flatten(F.transform(numbers, lambda k: F.array(F.floor(place(rows, k)), F.ceil(place(rows, k)))))
+
+    def quantile(k: Column) -> Column:
+        low, high, h = F.get("at", 2 * k), F.get("at", 2 * k + 1), place(F.col("n"), k)
+        return F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+
+    return at_ranks(long, by, "x", ranks).select(*by, F.transform(numbers, quantile).alias("_q"))
+
+
+def quantize_vectors8(df: DataFrame, key: str = "vec_id", vec: str = "embedding", borders: int = 255, longest: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Codes per element and codebook of each vector by itself, with interpolated quantiles as borders.
+
+    A vector of more than ``longest`` elements is cut into near-equal stretches; its borders are the quantiles of the stretches'
+    quantiles.  No task holds a vector's elements together.
+    """
+    n = F.size(vec).cast("long")
+    count = F.expr(f"size({vec}) div {longest}").cast("long")
+    width = F.when(n <= longest, n).otherwise(longest + F.floor((F.pmod(n, F.lit(longest)) - 1) / count) + 1)
+    long = df.select(key, width.alias("_width"), F.posexplode(vec).alias("pos", "x")).withColumns({"x": F.col("x").cast("double"), "_stretch": F.expr("pos div _width")})
+    inner = even_quantiles(long, [key, "_stretch"], borders + 2)
+    whole = even_quantiles(inner.select(key, F.explode("_q").alias("x")), [key], borders + 2)
+    cuts = whole.select(key, F.slice("_q", 2, borders).alias("_b"))
+    codes = long.drop("_width", "_stretch").join(cuts, key).withColumn("code", _borders_below(F.col("x"), borders))
+    book = codes.groupBy(key, "code").agg(F.avg("x").alias("centre"), F.count(F.lit(1)).alias("n"))
+    return codes.select(key, "pos", "x", "code"), book
+
+
+def _borders_below(x: Column, borders: int) -> Column:
+    """How many of the ascending borders ``_b`` are below ``x``.
+
+    Binary search: a step is taken when the border that it would count last is below the value.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(borders.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, s: n + F.when(F.get("_b", n + s - 1) < x, s).otherwise(0))
+
+
 def dequantize(codes: DataFrame, book: DataFrame, by: list[str]) -> DataFrame:
     return codes.join(book.select(*by, "code", F.col("centre").alias("restored")), [*by, "code"])
 

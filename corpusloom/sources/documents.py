@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar
+from corpusloom.plans.ranking import with_prefix_sum
 from corpusloom.session import dealt
 
 READ = 1 << 20
@@ -164,98 +165,31 @@ def rechunk(slices: DataFrame, old_chunk: int) -> DataFrame:
     return slices.select(start.alias("start_pos"), F.size("tokens").cast("long").alias("n_tokens"), "tokens")
 
 
-def write_chunks(pieces: DataFrame, folder: str) -> DataFrame:
-    """Write ``chunk_id, pos, tokens`` pieces as ``chunk-%05d.bin`` (little-endian int32), once each.
-
-    Rows of the result: ``chunk_id, name, tokens, sha256``.  A task streams its chunks in order of position, so
-    no chunk is held whole; files get their name when they are complete, and an existing file with other bytes is an error.
-    """
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        done: list[tuple] = []
-        now: list = []
-
-        def close() -> None:
-            if not now:
-                return
-            chunk, out, temp, digest, n = now
-            out.close()
-            name = f"chunk-{chunk:05d}.bin"
-            target = f"{base}/{name}"
-            if store.get_file_info(target).type != fs.FileType.NotFound:
-                old = hashlib.sha256()
-                with store.open_input_file(target) as source:
-                    while data := source.read(READ):
-                        old.update(data)
-                store.delete_file(temp)
-                if old.hexdigest() != digest.hexdigest():
-                    raise ValueError(f"{name} exists with other content")
-            else:
-                store.move(temp, target)
-            done.append((chunk, name, n, digest.hexdigest()))
-            now.clear()
+def scan_log_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Log records as ``value``; ``operators.telemetry.parse_lines`` splits them.
 
-        for batch in batches:
-            for chunk, pos, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if not now or now[0] != chunk:
-                    close()
-                    temp = f"{base}/.{chunk:05d}-{TaskContext.get().taskAttemptId()}"
-                    now[:] = [chunk, store.open_output_stream(temp), temp, hashlib.sha256(), 0]
-                if pos != now[4]:
-                    raise ValueError(f"chunk {chunk} has a gap at {now[4]}")
-                data = tokens.values.to_numpy().astype("<i4").tobytes()
-                now[1].write(data)
-                now[3].update(data)
-                now[4] += len(data) // 4
-        close()
-        columns = list(zip(*done, strict=True)) or [[], [], [], []]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["chunk_id", "name", "tokens", "sha256"])
-
-    parts = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = pieces.select("chunk_id", "pos", "tokens").repartition(parts, "chunk_id").sortWithinPartitions("chunk_id", "pos")
-    return ordered.mapInArrow(write, "chunk_id long, name string, tokens long, sha256 string")
-
-
-def read_chunks(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
-    """Slices ``chunk_id, pos, tokens`` of a manifest's chunks; size and digest are verified before a chunk's rows count.
-
-    The manifest's own digest is checked first.
+    A line that does not begin like a record (a traceback, say) belongs to the record before it in its file, also where the file is
+    read in splits; lines before a file's first record stand alone, blank ones between records are left out.  A stream reads each
+    file whole, so its files must fit a task's memory.
     """
-    body = {k: v for k, v in manifest.items() if k != "manifest_sha256"}
-    if scalar.canonical_digest(body, compact=False) != manifest["manifest_sha256"]:
-        raise ValueError("the manifest does not match its digest")
-    chunks = [(int(c["name"][6:-4]), c["name"], c["tokens"], c["sha256"]) for c in manifest["chunks"]]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, name, tokens, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with _open(os.path.join(folder, name)) as source:
-                    digest, n = hashlib.sha256(), 0
-                    while data := source.read(READ):
-                        digest.update(data)
-                        n += len(data)
-                    if n != 4 * tokens or digest.hexdigest() != sha:
-                        raise ValueError(f"{name} does not match the manifest")
-                    source.seek(0)
-                    pos = 0
-                    while data := source.read(4 * 65536):
-                        part = pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])
-                        yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([pos], pa.int64()), pa.array([part.to_pylist()], pa.list_(pa.int32()))], names=["chunk_id", "pos", "tokens"])
-                        pos += len(part)
-
-    listed = spark.createDataFrame(chunks, "chunk_id long, name string, tokens long, sha256 string")
-    return dealt(listed, len(chunks), 1).mapInArrow(read, "chunk_id long, pos long, tokens array<int>")
-
-
-def scan_log_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Log lines as ``value``; ``operators.telemetry.parse_lines`` splits them."""
-    return (spark.readStream.schema("value string").text(path) if streaming else spark.read.text(path)).where(F.trim("value") != "")
+    from corpusloom.operators.telemetry import HEAD
+
+    if streaming:
+        files = spark.readStream.schema("value string").option("wholetext", True).text(path)
+        cuts = F.split("value", r"\r?\n(?=" + HEAD[1:] + ")")
+        # What comes before the first record is cut at each line.
+        first = F.when(F.get(cuts, F.lit(0)).rlike(HEAD), F.slice(cuts, 1, 1)).otherwise(F.split(F.get(cuts, F.lit(0)), r"\r?\n"))
+        lines = files.select(F.explode(F.concat(first, F.slice(cuts, F.lit(2), F.size(cuts)))).alias("value"))
+        return lines.select(F.regexp_replace("value", r"[\r\n]+$", "").alias("value")).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    lines = lines.withColumn("_head", F.col("value").rlike(HEAD))
+    # Records are numbered by the heads before them: within a split, and split by split.
+    numbered = with_prefix_sum(lines, F.col("_head").cast("int"), ["_file"], "_split", ["_at"], "_record")
+    record = F.when(F.col("_head"), F.col("_record") + 1).otherwise(F.col("_record"))
+    alone = F.when(record == 0, F.struct("_split", "_at"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_split", "_at", "value"))), lambda p: p["value"])
+    rows = numbered.withColumns({"_record": record, "_alone": alone}).groupBy("_file", "_record", "_alone").agg(F.regexp_replace(F.array_join(parts, "\n"), r"\n+$", "").alias("value"))
+    return rows.select("value").where(F.trim("value") != "")
 
 
 def scan_socket_stats(spark: SparkSession, path: str) -> DataFrame:

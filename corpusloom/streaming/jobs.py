@@ -1,21 +1,26 @@
 """Streaming twins of the batch operators.
 
-Each takes and returns streaming DataFrames (``stream_progress`` and ``write_metrics`` are ``foreachBatch`` sinks).  Late rows
+Each takes and returns streaming DataFrames (``upsert``, ``write_metrics`` and ``stream_progress`` are ``foreachBatch`` sinks).  Late rows
 are dropped behind a watermark of at least ``CLOCK_SLACK_S`` seconds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.functions.scalar import CLOCK_SLACK_S
 from corpusloom.operators import records, telemetry
+from corpusloom.plans.folds import window_sums
+from corpusloom.sources.token_chunks import resolve
 
 DELAY = f"{CLOCK_SLACK_S} seconds"
 
@@ -100,7 +105,7 @@ def alert_fold(rules: list[dict], state: dict, line: str, ts: float) -> list[tup
     """One line through the alert rules; ``state`` holds counters, windows and activity of a host.
 
     Rules are dicts with ``name, pattern, action`` and what the action needs: ``terminate``; ``count`` (threshold);
-    ``windowed_count`` (threshold, window); ``threshold`` (above or below the captured value); ``track_activity``
+    ``windowed_count`` (threshold, window); ``threshold`` (the captured value is at least ``above`` or at most ``below``); ``track_activity``
     (timeout); ``reset_counters``; ``set_started``.  The first rule that matches decides.
     """
     import re
@@ -124,7 +129,7 @@ def alert_fold(rules: list[dict], state: dict, line: str, ts: float) -> list[tup
                 out.append((name, float(sum(windows[name]))))
         elif action == "threshold":
             value = float(match.group(1))
-            if ("above" in rule and value > rule["above"]) or ("below" in rule and value < rule["below"]):
+            if ("above" in rule and value >= rule["above"]) or ("below" in rule and value <= rule["below"]):
                 out.append((name, value))
         elif action == "track_activity":
             state["active"] = ts
@@ -141,14 +146,18 @@ def alert_fold(rules: list[dict], state: dict, line: str, ts: float) -> list[tup
     return out
 
 
-def stream_alerts(lines: DataFrame, rules: list[dict], delay: str = DELAY) -> DataFrame:
+def stream_alerts(lines: DataFrame, rules: list[dict] | None = None, delay: str = DELAY) -> DataFrame:
     """Alert rows ``host, ts, rule, value`` of parsed lines (``host, ts, line``), in order of time within a trigger.
 
+    Without ``rules``, those of ``plans.jobs.ALERT_RULES``.
+
     A host that falls silent is noticed by a timer: it alerts as soon as the watermark, which other hosts' lines move on, has
     passed its activity by the timeout.
     """
-    import json
+    if rules is None:
+        from corpusloom.plans.jobs import ALERT_RULES
 
+        rules = list(ALERT_RULES)
     idle = [r for r in rules if r["action"] == "track_activity"]
 
     def update(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -287,19 +296,154 @@ def stream_epoch_cycles(events: DataFrame) -> DataFrame:
     return events.select("host", "event", "epoch", "ts").groupBy("host").applyInPandasWithState(update, "host string, ts timestamp, kind string, name string, value double", "b_epoch long, b_ts long, t_epoch long, t_ts long", "append", GroupStateTimeout.NoTimeout)
 
 
-def write_metrics(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: the latest gauges per role and name of each trigger, one folder a trigger, so a repeated trigger replaces its own."""
+def stream_utilisation(lines: DataFrame, span_ms: float = 5000, delay: str = DELAY) -> DataFrame:
+    """Windows of ``host, ts, value`` lines as ``operators.telemetry.utilisation_windows`` sums them: ``host, anchor, closed, total``.
+
+    State is a host's anchor, its sum, and the lines that the watermark has not passed yet; a timer at the first of these takes
+    them in order of time once no earlier line can come.  So triggers may cut the lines anywhere, and come in any order within
+    the delay; lines later than that are dropped.
+    """
+
+    def update(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"window": None, "waiting": []}
+        now = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for part in rows:
+                kept["waiting"] += [[int(us), float(value)] for us, value in part[["us", "value"]].itertuples(index=False) if us > now or now <= 0]
+        ready = sorted(r for r in kept["waiting"] if r[0] <= now)
+        closed = []
+        if ready:
+            window, closed = window_sums(tuple(kept["window"]) if kept["window"] else None, np.array([r[0] for r in ready]), np.array([r[1] for r in ready]), span_ms * 1000)
+            kept["window"], kept["waiting"] = window, [r for r in kept["waiting"] if r[0] > now]
+        state.update((json.dumps(kept),))
+        if kept["waiting"]:
+            state.setTimeoutTimestamp(max(min(r[0] for r in kept["waiting"]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *c) for c in closed], columns=["host", "anchor", "closed", "total"])
+
+    rows = lines.withWatermark("ts", delay).select("host", "ts", F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
+    out = rows.groupBy("host").applyInPandasWithState(update, "host string, anchor long, closed long, total double", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("host", F.timestamp_micros("anchor").alias("anchor"), F.timestamp_micros("closed").alias("closed"), "total")
+
+
+def stream_bounded_cache(puts: DataFrame, ttl_s: float, most_rows: int, most_bytes: int, delay: str = DELAY) -> DataFrame:
+    """Changes of each ``cache`` of ``key, ts, nbytes`` puts: ``cache, key, ts, nbytes, action`` (put, expired, evicted).
+
+    A put replaces its key's entry and is the newest; entries of ``ttl_s`` age go, then the oldest until both limits hold, which may
+    be the put itself.  State is the entries in order, at most ``most_rows`` of them; a timer expires the oldest.  Puts are taken
+    in order of time within a trigger.  What stays is what ``operators.records.expire_batches`` keeps, as long as no key's later put is smaller.
+    """
+
+    def update(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        entries: dict[str, list[int]] = dict(json.loads(state.get[0])) if state.exists else {}
+        out: list[tuple] = []
+
+        def expire(now: int) -> None:
+            for k in [k for k, (us, _) in entries.items() if now - us >= ttl_s * 1e6]:
+                out.append((key[0], k, *entries.pop(k), "expired"))
+
+        watermark = state.getCurrentWatermarkMs() * 1000
+        if state.hasTimedOut:
+            expire(watermark)
+        else:
+            taken = sorted(r for part in rows for r in part[["us", "key", "nbytes"]].itertuples(index=False, name=None))
+            total = sum(n for _, n in entries.values())
+            for us, k, n in taken:
+                expire(int(us))
+                entries.pop(k, None)
+                entries[k] = [int(us), int(n)]
+                out.append((key[0], k, int(us), int(n), "put"))
+                total = sum(b for _, b in entries.values()) if len(entries) > most_rows or total + n > most_bytes else total + int(n)
+                while len(entries) > most_rows or total > most_bytes:
+                    oldest = next(iter(entries))
+                    at, size = entries.pop(oldest)
+                    out.append((key[0], oldest, at, size, "evicted"))
+                    total -= size
+        state.update((json.dumps(list(entries.items())),))
+        if entries:
+            state.setTimeoutTimestamp(max(int((min(us for us, _ in entries.values()) + ttl_s * 1e6) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["cache", "key", "us", "nbytes", "action"])
+
+    rows = puts.withWatermark("ts", delay).select(F.col("cache").cast("string").alias("cache"), "ts", F.unix_micros("ts").alias("us"), F.col("key").cast("string").alias("key"), F.col("nbytes").cast("long").alias("nbytes"))
+    out = rows.groupBy("cache").applyInPandasWithState(update, "cache string, key string, us long, nbytes long, action string", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("cache", "key", F.timestamp_micros("us").alias("ts"), "nbytes", "action")
+
+
+def upsert(path: str, keys: Sequence[str], order: str | None = None, merge_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink of a keyed table: each trigger writes the changed keys only, under its own number.
+
+    A row replaces its key's if its ``order`` column is greater, or equal (or there is none) and its trigger later.  A trigger that is
+    repeated replaces its own rows, so the table does not change; one that was lost half-way has no ``_SUCCESS`` and does not count.
+    Every ``merge_every`` triggers all keys are written together, so that a read never takes more than so many folders.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        telemetry.latest_gauges(batch).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*([F.desc(order)] if order else []), *[F.desc(c) for c in sorted(set(batch.columns) - {*keys, order})]))
+        own = batch.withColumn("_rank", rank).where("_rank = 1").drop("_rank").withColumn("_trigger", F.lit(number).cast("long"))
+        own.write.mode("overwrite").parquet(f"{path}/changes/{number:012d}")
+        if number % merge_every == merge_every - 1:
+            merged = _merged(batch.sparkSession, path, keys, order, number)
+            merged.write.mode("overwrite").parquet(f"{path}/merged/{number:012d}")
 
     return write
 
 
-def stream_progress(log: Callable[[], DataFrame], path: str, now: Column, target: float, stale_allow: int) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: progress over the whole record table (``log()``), recomputed each trigger."""
+def _complete(folder: str) -> list[tuple[int, str]]:
+    """Numbered folders below ``folder`` whose write was finished."""
+    store, base = resolve(folder)
+    names = [f.base_name for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.type == fs.FileType.Directory]
+    return sorted((int(n), f"{folder}/{n}") for n in names if n.isdigit() and store.get_file_info(f"{base}/{n}/_SUCCESS").type != fs.FileType.NotFound)
+
+
+def _merged(spark: SparkSession, path: str, keys: Sequence[str], order: str | None, upto: int) -> DataFrame | None:
+    whole = [x for x in _complete(f"{path}/merged") if x[0] < upto][-1:]
+    since = whole[0][0] if whole else -1
+    folders = [f for n, f in [*whole, *((n, f) for n, f in _complete(f"{path}/changes") if since < n <= upto)]]
+    if not folders:
+        return None
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*([F.desc_nulls_last(order)] if order else []), F.desc("_trigger")))
+    return spark.read.parquet(*folders).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], order: str | None = None) -> DataFrame | None:
+    """The keyed table as of the last finished trigger, or None before the first."""
+    out = _merged(spark, path, keys, order, 1 << 62)
+    return out.drop("_trigger") if out is not None else None
+
+
+def write_metrics(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: the latest value per role and name, upserted by its time; ``read_metrics`` gives the table."""
+    put = upsert(path, ("role", "name"), "ts")
+    return lambda batch, number: put(telemetry.latest_gauges(batch), number)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_upserted(spark, path, ("role", "name"), "ts")
+
+
+PEER = "epoch long, samples long, speed double, time timestamp, client_mode boolean"
+
+
+def stream_progress(path: str, now: Callable[[], Column], target: float, stale_allow: int, local: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink over ``stream_latest_records``: progress per swarm, from peers that are live.
+
+    Keys are ``swarm|peer``, values JSON (``PEER``).  A trigger upserts the peers that changed and computes only their swarms anew, from
+    the table of peers and not from the log; ``read_progress`` gives the table.  A swarm whose peers are all gone has no peers left (with
+    ``local``, as in ``operators.records.swarm_progress``, its own progress).
+    """
+    peers, told = upsert(f"{path}/peers", ("key",)), upsert(f"{path}/progress", ("swarm",))
+    swarm = F.split_part("key", F.lit("|"), F.lit(1)).alias("swarm")
 
     def write(batch: DataFrame, number: int) -> None:
-        records.swarm_progress(log(), now, target, stale_allow).withColumn("trigger", F.lit(number)).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+        peers(batch.select("key", "value", "live"), number)
+        touched = batch.select(swarm).distinct()
+        known = _merged(batch.sparkSession, f"{path}/peers", ("key",), None, number)
+        live = known.where("live").select(swarm, F.from_json("value", PEER).alias("p")).join(touched, "swarm", "left_semi").select("swarm", "p.*")
+        mine = local.join(touched, "swarm", "left_semi") if local is not None else None
+        progress = records.swarm_progress(live, now(), target, stale_allow, ("swarm",), mine)
+        told(touched.join(progress, "swarm", "left").na.fill(0, ["peers", "clients"]), number)
 
     return write
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_upserted(spark, f"{path}/progress", ("swarm",))

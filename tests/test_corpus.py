@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import scalar
 from corpusloom.operators import corpus, samples
 from corpusloom.sources import documents as src
+from corpusloom.sources import token_chunks
 
 
 def stream_of(spark, lengths):
@@ -123,18 +124,18 @@ def test_chunk_files_round_trip(spark, tmp_path):
     stream, n = stream_of(spark, [700, 9, 1300, 91])
     pieces = corpus.cut_chunks(stream, 512, tokens="tokens")
     folder = f"file://{tmp_path}/out"
-    written = src.write_chunks(pieces, folder).cache()
+    written = token_chunks.write_chunks(pieces, folder).cache()
     manifest = corpus.manifest_of(written, 2, 512, 4)
     assert manifest["total_tokens"] == n and len(manifest["chunks"]) == -(-n // 512)
     flat = {}
-    for r in src.read_chunks(spark, folder, manifest).orderBy("chunk_id", "pos").collect():
+    for r in token_chunks.read_chunks(spark, folder, manifest).orderBy("chunk_id", "pos").collect():
         flat.setdefault(r.chunk_id, []).extend(r.tokens)
     assert flat == {k: list(range(n))[k * 512 : (k + 1) * 512 + 1] for k in range(-(-n // 512))}
-    assert src.write_chunks(pieces, folder).count() == len(flat)
+    assert token_chunks.write_chunks(pieces, folder).count() == len(flat)
     with pytest.raises(Exception, match="other content"):
-        src.write_chunks(corpus.cut_chunks(stream.withColumn("tokens", F.transform("tokens", lambda x: x + 1)), 512, tokens="tokens"), folder).collect()
+        token_chunks.write_chunks(corpus.cut_chunks(stream.withColumn("tokens", F.transform("tokens", lambda x: x + 1)), 512, tokens="tokens"), folder).collect()
     with pytest.raises(ValueError, match="digest"):
-        src.read_chunks(spark, folder, manifest | {"total_docs": 5})
+        token_chunks.read_chunks(spark, folder, manifest | {"total_docs": 5})
     files = [(k, f"{folder}/chunk-{k:05d}.bin", (tmp_path / "out" / f"chunk-{k:05d}.bin").stat().st_size) for k in flat]
     objects = spark.createDataFrame(files, "ordinal long, path string, size long")
     again = corpus.cut_chunks(src.rechunk(src.scan_token_objects(spark, objects, 512), 512), 300, tokens="tokens")
@@ -144,7 +145,7 @@ def test_chunk_files_round_trip(spark, tmp_path):
     assert cut == {k: list(range(n))[k * 300 : (k + 1) * 300 + 1] for k in range(-(-n // 300))}
     (tmp_path / "out" / "chunk-00001.bin").write_bytes(b"\0" * 4 * 513)
     with pytest.raises(Exception, match="does not match"):
-        src.read_chunks(spark, folder, manifest).collect()
+        token_chunks.read_chunks(spark, folder, manifest).collect()
 
 
 def test_failures(spark):

@@ -1,19 +1,24 @@
 """Whole jobs end to end."""
 
+import json
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalar
-from corpusloom.operators import records, telemetry
+from corpusloom.operators import corpus, records, samples, telemetry
 from corpusloom.plans import jobs
 from corpusloom.plans.corpus_queries import documents
 from corpusloom.sources import documents as documents_source
+from corpusloom.sources import parts, token_chunks
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_build_and_read(spark, data_dir, tmp_path, parts):
-    docs = documents(spark, data_dir).repartition(parts)
+@pytest.mark.parametrize("pieces", [1, 5])
+def test_build_and_read(spark, data_dir, tmp_path, pieces):
+    docs = documents(spark, data_dir).repartition(pieces)
     recipe = jobs.Recipe(seed=b"s" * 16, chunk_tokens=4096, validation=0.2, budgets=(("train", 150_000),))
     folder = f"file://{tmp_path}/corpus"
     manifests = jobs.build_corpus(docs, recipe, folder)
@@ -45,7 +50,7 @@ def test_publication(spark, tmp_path):
     manifest = jobs.build_corpus(docs, jobs.Recipe(chunk_tokens=256, roles=("train",)), f"file://{tmp_path}/corpus")["train"]
     receipt = documents_source.publish_chunks(spark, source, f"file://{target}", manifest)
     assert receipt["chunks"] == len(manifest["chunks"]) > 3 and sorted(p.name for p in target.glob("*.bin")) == [c["name"] for c in manifest["chunks"]]
-    total = documents_source.read_chunks(spark, f"file://{target}", manifest).agg(F.sum(F.size("tokens"))).first()[0]
+    total = token_chunks.read_chunks(spark, f"file://{target}", manifest).agg(F.sum(F.size("tokens"))).first()[0]
     assert total == sum(c["tokens"] for c in manifest["chunks"])
     assert documents_source.publish_chunks(spark, source, f"file://{target}", manifest) == receipt
     first = target / manifest["chunks"][0]["name"]
@@ -67,7 +72,7 @@ def test_a_build_goes_on(spark, tmp_path):
     recipe = jobs.Recipe(chunk_tokens=256, validation=0.3)
     want = jobs.build_corpus(docs, recipe, f"file://{tmp_path}/whole")
     folder = f"file://{tmp_path}/lost"
-    jobs.build_units(docs.where("unit_id <> 'data/u 2'"), recipe, folder, steps=2)
+    jobs.build_units(docs.where("unit_id <> 'data/u 2'"), recipe, folder)
     built = {p: p.stat().st_mtime_ns for p in (tmp_path / "lost/parts").rglob("*.parquet")}
     assert jobs.build_corpus(docs, recipe, folder) == want
     now = {p: p.stat().st_mtime_ns for p in (tmp_path / "lost/parts").rglob("*.parquet")}
@@ -81,16 +86,100 @@ def test_a_build_goes_on(spark, tmp_path):
         jobs.build_units(docs, recipe, folder)
 
 
+def test_a_build_lost_within_a_unit_goes_on_slice_by_slice(spark, tmp_path):
+    """With default settings: slices that were finished before the loss are not built again."""
+    docs = spark.createDataFrame([("c", f"d{i}", "text " * i, "one") for i in range(60)], "crawl string, doc_id string, text string, unit_id string")
+    recipe = jobs.Recipe(chunk_tokens=256, validation=0.3)
+    folder, place = f"file://{tmp_path}/c", tmp_path / "c"
+    want = jobs.build_corpus(docs, recipe, folder)
+    markers = sorted((place / "markers").rglob("*.json"))
+    assert len(markers) > 8
+    for m in markers[3:]:
+        m.unlink()
+    (place / "parts/u-one" / markers[4].name.replace("json", "parquet")).unlink()
+    before = {p: p.stat().st_mtime_ns for p in (place / "parts").rglob("*.parquet")}
+    assert jobs.build_corpus(docs, recipe, folder) == want
+    kept = {m.name.replace("json", "parquet") for m in markers[:3]}
+    assert all((p.stat().st_mtime_ns == t) == (p.name in kept) for p, t in before.items())
+
+
+def test_a_part_changed_with_equal_counts_is_found(spark, tmp_path):
+    docs = spark.createDataFrame([("c", f"d{i}", f"word{i}", "one") for i in range(30)], "crawl string, doc_id string, text string, unit_id string")
+    recipe, folder = jobs.Recipe(chunk_tokens=256), f"file://{tmp_path}/c"
+    jobs.build_units(docs, recipe, folder)
+    path = next(iter((tmp_path / "c/parts").rglob("*.parquet")))
+    table = pq.read_table(path)
+    i = table.column_names.index("tokens")
+    tokens = [[x + 1 if x > 2 else x for x in t] for t in table["tokens"].to_pylist()]
+    pq.write_table(table.set_column(i, table.schema.field(i), pa.array(tokens, table.schema.field(i).type)), path)
+    with pytest.raises(ValueError, match="parts and marker"):
+        jobs.build_corpus(docs, recipe, folder)
+
+
+def test_audits_and_publication_of_a_build(spark, tmp_path):
+    docs = spark.createDataFrame([(f"c{i % 2}", f"d{i}", "text " * i) for i in range(40)], "crawl string, doc_id string, text string")
+    recipe = jobs.Recipe(chunk_tokens=256, validation=0.3)
+    crawls = spark.createDataFrame([("c0", 20), ("c1", 20)], "crawl string, rows long")
+    manifests = jobs.build_corpus(docs, recipe, f"file://{tmp_path}/c", crawls=crawls, publish_to=f"file://{tmp_path}/public")
+    for role, manifest in manifests.items():
+        assert json.loads((tmp_path / "public" / role / "manifest.json").read_text()) == manifest
+        assert jobs.broken_chunks(spark, f"file://{tmp_path}/public/{role}", manifest).isEmpty()
+    with pytest.raises(ValueError, match="declared rows"):
+        jobs.build_corpus(docs, recipe, f"file://{tmp_path}/c", crawls=crawls.withColumn("rows", F.col("rows") + 1))
+    chunk = tmp_path / "c/train/chunk-00000.bin"
+    chunk.write_bytes(b"\0" * len(chunk.read_bytes()))
+    assert [r["name"] for r in jobs.broken_chunks(spark, f"file://{tmp_path}/c/train", manifests["train"]).collect()] == ["chunk-00000.bin"]
+    evidence = jobs.unit_evidence(docs.withColumn("unit_id", F.lit("unit-00000")))
+    assert evidence.first()["input_docs"] == 40 and jobs.build_corpus(docs, recipe, f"file://{tmp_path}/other", evidence=evidence) == manifests
+
+
 def test_parts(spark, tmp_path):
-    rows = spark.createDataFrame([(f"u{i % 3}", "train" if i % 2 else "validation", f"{i * 7919 % 97:02d}", i) for i in range(60)], "unit_id string, role string, key string, n long")
-    folder = f"file://{tmp_path}/parts"
-    files = documents_source.write_parts(rows, folder).collect()
-    assert len(files) >= 6 and all(len(r.sha256) == 64 for r in files)
-    documents_source.write_parts(rows.where("unit_id = 'u1' and n < 14"), folder)
-    left = spark.read.parquet(folder).groupBy("unit_id").count().collect()
-    assert {(r.unit_id, r["count"]) for r in left} == {("u0", 20), ("u1", 5), ("u2", 20)}
-    keys = [r.key for r in spark.read.parquet(f"{folder}/unit_id=u0/role=train").coalesce(1).collect()]
-    assert keys == sorted(keys)
+    one = lambda i: (f"{i * 7919 % 97:02x}", "c", f"d{i}", [1, i, 2], 3, i % 5 == 0, i % 2 == 0, f"u{i % 3}", "train" if i % 2 else "validation")
+    rows = spark.createDataFrame([one(i) for i in range(60)], parts.PART)
+    units = rows.groupBy("unit_id").agg(F.count("*").alias("input_docs")).withColumns({"recipe_sha256": F.lit("r"), "input_hash": F.lit("h")}).cache()
+    folder = f"file://{tmp_path}/c"
+    written = parts.write_parts(rows, units, folder).collect()
+    assert all(len(r.part_sha256) == 64 for r in written) and {tuple(r) for r in parts.read_markers(spark, folder).drop("roles", "crawls").collect()} == {tuple(r.asDict()[c] for c in r.asDict() if c not in ("roles", "crawls")) for r in written}
+    sums = {r.unit_id: r for r in parts.unit_markers(parts.read_markers(spark, folder)).collect()}
+    assert {u: (r.seen, r.dropped_eos, r.tokens) for u, r in sums.items()} == {u: (20, 4, 48) for u in ("u0", "u1", "u2")}
+    assert parts.unfinished(units, parts.read_markers(spark, folder)).isEmpty() and parts.changed_parts(parts.read_markers(spark, folder), folder).isEmpty()
+    assert corpus.reconcile_units(parts.unit_markers(parts.read_markers(spark, folder)), parts.role_sums(parts.read_markers(spark, folder))).isEmpty()
+    assert sorted(r.doc_id for r in parts.read_parts(spark, folder).collect()) == sorted(f"d{i}" for i in range(60))
+    for path in (tmp_path / "c/parts").rglob("*.parquet"):
+        keys = pq.read_table(path)["key"].to_pylist()
+        assert keys == sorted(keys)
+
+
+def test_units_that_do_not_add_up(spark):
+    good = ("u", 10, 8, 2, 3, 40, 10)
+    schema = "unit_id string, seen long, selected long, dropped_eos long, validation long, tokens long, rows long"
+    held = spark.createDataFrame([("u", "train", 5, 25), ("u", "validation", 3, 15)], "unit_id string, role string, docs long, tokens long")
+    assert corpus.reconcile_units(spark.createDataFrame([good], schema), held).isEmpty()
+    for i, value in ((1, 11), (2, 9), (4, 9), (4, 2), (5, 41), (6, 12)):
+        bad = tuple(value if k == i else v for k, v in enumerate(good))
+        assert corpus.reconcile_units(spark.createDataFrame([bad], schema), held).count() == 1
+    short = spark.createDataFrame([("u", "train", 5, 38), ("u", "validation", 3, 2)], "unit_id string, role string, docs long, tokens long")
+    assert corpus.reconcile_units(spark.createDataFrame([good], schema), short).count() == 1
+
+
+def test_reading_by_ids(spark, tmp_path):
+    """Ranges, strides and batches over several epochs, from the chunks that hold them only."""
+    docs = spark.createDataFrame([("c", f"d{i}", "text " * i) for i in range(30)], "crawl string, doc_id string, text string")
+    folder = f"file://{tmp_path}/c/train"
+    manifest = jobs.build_corpus(docs, jobs.Recipe(chunk_tokens=256, roles=("train",)), f"file://{tmp_path}/c")["train"]
+    total = jobs.epoch_samples(manifest, 32)
+    whole = {}
+    for epoch in (0, 1):
+        whole |= {r.sample_id: list(r.tokens) for r in jobs.read_corpus(spark, folder, manifest, 32, seed=5, epoch=epoch).collect()}
+    for ids in (samples.range_ids(spark, total - 3, 6), samples.range_ids(spark, 1, 9, stride=7), samples.stream_batches(spark, 1, 3, 2, 4)):
+        got = jobs.read_samples(spark, folder, manifest, 32, 5, ids).collect()
+        assert sorted(r.sample_id for r in got) == sorted(r.sample_id for r in ids.collect())
+        assert all(list(r.inputs) == whole[r.sample_id][:-1] and list(r.labels) == whole[r.sample_id][1:] for r in got)
+    assert jobs.read_samples(spark, folder, manifest, 32, 5, samples.range_ids(spark, 0, 0)).count() == 0
+    (tmp_path / "c/train/chunk-00001.bin").unlink()
+    assert jobs.read_samples(spark, folder, manifest, 32, 5, samples.range_ids(spark, 0, 8)).count() == 8
+    with pytest.raises(Exception, match="another size"):
+        jobs.read_samples(spark, folder, manifest, 32, 5, samples.range_ids(spark, 0, 9)).collect()
 
 
 def test_console_view(spark):
