@@ -13,15 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans.ranking import with_prefix_sum
 
-def chunk_layout(chunks: DataFrame, seq: int) -> DataFrame:
-    """``chunk_id, samples, cumulative`` of chunks with ``tokens``: (tokens - 1) div seq samples each.
 
-    One row per chunk (256 MiB of tokens), so the running sum over all chunks is over a small table.
-    """
-    upto = Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = chunks.select("chunk_id", F.expr(f"(tokens - 1) div {seq}").alias("samples"))
-    return rows.withColumn("cumulative", F.sum("samples").over(upto))
+def chunk_layout(chunks: DataFrame, seq: int) -> DataFrame:
+    """``chunk_id, samples, cumulative`` of chunks with ``tokens``: (tokens - 1) div seq samples each, summed in two levels."""
+    rows = chunks.select("chunk_id", F.expr(f"(tokens - 1) div {seq}").alias("samples")).withColumns({"_all": F.lit(0), "_band": F.expr("chunk_id div 1024")})
+    summed = with_prefix_sum(rows, F.col("samples"), ["_all"], "_band", ["chunk_id"], "_before")
+    return summed.select("chunk_id", "samples", (F.col("_before") + F.col("samples")).alias("cumulative"))
 
 
 def permutation_by_hash(layout: DataFrame, seed: int, epoch: int) -> DataFrame:
@@ -51,10 +50,14 @@ def range_ids(spark: SparkSession, start: int, rows: int, stride: int = 1) -> Da
     return spark.range(start, start + rows * stride, stride).withColumnRenamed("id", "sample_id")
 
 
-def stream_batches(spark: SparkSession, stream: int, streams: int, batch: int, batches: int) -> DataFrame:
-    """``batch_no, row_no, sample_id``: batch t of stream d starts at ``d + t*batch*n`` and steps by n."""
+def stream_batches(spark: SparkSession, stream: int, streams: int, batch: int, batches: int, total: int | None = None) -> DataFrame:
+    """``batch_no, row_no, sample_id``: batch t of stream d starts at ``d + t*batch*n`` and steps by n.
+
+    With ``total``, ids end there, and the last batch may be short.
+    """
     ids = spark.range(batches * batch).select(F.expr(f"id div {batch}").alias("batch_no"), F.pmod("id", F.lit(batch)).alias("row_no"))
-    return ids.withColumn("sample_id", F.lit(stream) + F.col("batch_no") * (batch * streams) + F.col("row_no") * streams)
+    rows = ids.withColumn("sample_id", F.lit(stream) + F.col("batch_no") * (batch * streams) + F.col("row_no") * streams)
+    return rows if total is None else rows.where(F.col("sample_id") < total)
 
 
 def shard_batches(total: Column, shards: DataFrame, per_head: int, samples_per_chunk: int, batch: int) -> DataFrame:

@@ -18,9 +18,9 @@ SEED = 7
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the corpus, normalised; the unit is a hundred ids."""
-    docs = table(spark, d, "documents").where("text is not null").select(
-        F.coalesce("source", F.lit("")).alias("crawl"), F.col("doc_id"), F.col("text"), F.format_string("unit-%05d", F.expr("doc_id div 100")).alias("unit_id")
+    """Documents of the corpus, normalised (a null text is empty); the unit is a hundred ids."""
+    docs = table(spark, d, "documents").select(
+        F.coalesce("source", F.lit("")).alias("crawl"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.format_string("unit-%05d", F.expr("doc_id div 100")).alias("unit_id")
     )
     return corpus.apply_transforms(docs, [("whitespace_normalize", 1)])
 
@@ -40,9 +40,9 @@ def train_stream(spark: SparkSession, d: str) -> DataFrame:
 
 SPACE_SQL = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 DOCS_SQL = f"""docs AS (
-  SELECT coalesce(source, '') AS crawl, doc_id, trim(regexp_replace(text, '{SPACE_SQL}', ' ', 'g'), ' ') AS text,
+  SELECT coalesce(source, '') AS crawl, doc_id, trim(regexp_replace(coalesce(text, ''), '{SPACE_SQL}', ' ', 'g'), ' ') AS text,
          printf('unit-%05d', doc_id // 100) AS unit_id
-  FROM documents WHERE text IS NOT NULL
+  FROM documents
 )"""
 KEYED_SQL = f"""{DOCS_SQL}, k0 AS (
   SELECT unit_id, crawl, doc_id, substr(sha256(crawl || chr(0) || doc_id::VARCHAR), 1, 32) AS key,
@@ -159,7 +159,7 @@ def q_read_range(spark: SparkSession, d: str) -> DataFrame:
 
 def q_stream_batches(spark: SparkSession, d: str) -> DataFrame:
     total = samples.chunk_layout(chunks(spark, d), SEQ).agg(F.max("cumulative")).first()[0] or 0
-    return samples.stream_batches(spark, 1, 4, 8, total // 32)
+    return samples.stream_batches(spark, 1, 4, 8, -(-total // 32), total)
 
 
 def q_shard_batches(spark: SparkSession, d: str) -> DataFrame:
@@ -344,8 +344,8 @@ ORACLE_SQL = {
         SELECT sample_id, 0::BIGINT AS epoch, chunk_id, local, j, chunk_id * {CHUNK_SAMPLES} + j AS g FROM rids JOIN perm ON chunk_id = sample_id // {CHUNK_SAMPLES} AND local = sample_id % {CHUNK_SAMPLES}""",
     "read_range": f"""WITH {PERM_SQL.replace('@epoch', '1')}, t AS (SELECT max(cumulative) AS total FROM layout), rids AS (SELECT total, unnest(range(total)) AS p FROM t)
         SELECT total + p AS sample_id, 1::BIGINT AS epoch, chunk_id, j FROM rids JOIN perm ON chunk_id = p // {CHUNK_SAMPLES} AND local = p % {CHUNK_SAMPLES}""",
-    "stream_batches": f"""WITH {LAYOUT_SQL}, t AS (SELECT max(cumulative) // 32 AS n FROM layout), b AS (SELECT unnest(range(n)) AS batch_no FROM t)
-        SELECT batch_no, r.row_no, 1 + batch_no * 32 + r.row_no * 4 AS sample_id FROM b, (SELECT unnest(range(8)) AS row_no) r""",
+    "stream_batches": f"""WITH {LAYOUT_SQL}, t AS (SELECT max(cumulative) AS total FROM layout), wanted AS (SELECT unnest(range(1, total, 4)) AS sample_id FROM t)
+        SELECT sample_id // 32 AS batch_no, sample_id % 32 // 4 AS row_no, sample_id FROM wanted""",
     "shard_batches": f"""WITH {LAYOUT_SQL}, t AS (SELECT max(cumulative) AS total FROM layout), s AS (SELECT DISTINCT chunk_id // 2 AS shard FROM layout),
         r AS (SELECT shard, shard * {2 * CHUNK_SAMPLES} AS low, least((shard + 1) * {2 * CHUNK_SAMPLES}, total) AS high FROM s, t),
         b AS (SELECT *, unnest(range((high - low - 1) // 6 + 1)) AS batch_no FROM r WHERE high > low)

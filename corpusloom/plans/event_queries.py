@@ -367,13 +367,42 @@ def q_ttl_seconds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_epoch_cycle_times(spark: SparkSession, d: str) -> DataFrame:
-    """Views begin rounds, purchases end them; stateful, so compared with a plain fold in the tests."""
+    """Views begin rounds, purchases end them."""
     e = events(spark, d).where("event_type in ('view', 'purchase')")
     return telemetry.epoch_cycle_times(e.select("host", F.when(F.col("event_type") == "view", "begin").otherwise("transition").alias("event"), F.expr("event_id % 3").alias("epoch"), F.col("ts").cast("timestamp")))
 
 
 def q_utilisation_windows(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.utilisation_windows(events(spark, d).select("host", F.col("ts").cast("timestamp"), "value"), span_ms=6 * 3600 * 1000)
+    out = telemetry.utilisation_windows(events(spark, d).select("host", F.col("ts").cast("timestamp"), "value"), span_ms=6 * 3600 * 1000)
+    return out.select("host", "anchor", "closed", F.round("total", 6).alias("total"))
+
+
+def q_phase_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts fall behind by the value of their events."""
+    e = events(spark, d).select("host", F.col("event_id").alias("step"), F.col("event_id").alias("local"), (F.col("event_id") + F.floor("value")).alias("remote"))
+    return telemetry.phase_timeline(e, 3, 2, 60, "host")
+
+
+def q_latest_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases are plain values, the other events subrecords of the same keys."""
+    rows = log(spark, d).withColumn("subkey", F.nullif("subkey", F.lit("purchase")))
+    out = records.latest_entries(rows, now())
+    subs = F.array_join(F.transform(F.array_sort(F.map_keys("value")), lambda k: F.concat(k, F.lit("="), F.format_string("%.2f", F.element_at(F.col("value"), k)))), ";")
+    return out.select("key", "plain", subs.alias("subs"), "expiration")
+
+
+def label_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Bans and failed pushes, which tell a running total, of five roles."""
+    e = events(spark, d).where("event_type in ('click', 'signup')")
+    push = F.concat(F.lit("INFO - [W2WSend] entries: 1, accepted_forward: 2, accepted_backward: 3, busy: 4, forward_pushes: 5, backward_pushes: 6, busy_retries: 7, drops: 8, push_errors: 9, per_target: body1.0."), F.col("user_id"), F.lit("="), F.col("event_id"))
+    ban = F.concat(F.lit("WARNING - Banned expert body1.0."), F.col("user_id"), F.lit(" reason=timeout duration=3600s"))
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - "), F.when(F.col("event_type") == "click", ban).otherwise(push))
+    return e.select(F.concat(F.lit("r"), F.col("user_id") % 5).alias("role"), text.alias("value"))
+
+
+def q_bounded_labels(spark: SparkSession, d: str) -> DataFrame:
+    out = telemetry.bounded_labels(telemetry.extract_metrics(telemetry.parse_lines(label_lines(spark, d))))
+    return out.select("role", "metric", "name", "n", "rank")
 
 
 QUERIES = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
@@ -468,6 +497,39 @@ ORACLE_SQL = {
     "visible_lines": "SELECT event_id, CASE event_type WHEN 'click' THEN 'WARNING' ELSE 'ERROR' END AS tag FROM events WHERE event_type IN ('click', 'error')",
     "family_metrics": f"""WITH f(k, family, kind, name, value) AS (VALUES {", ".join(f"({k}, '{family}', '{kind}', '{name}', {value}::DOUBLE)" for k, (family, _, found) in enumerate(FAMILY_LINES) for kind, name, value in found)})
         SELECT event_id, family, kind, name, f.value AS value FROM events JOIN f ON event_id % {len(FAMILY_LINES)} = k""",
+    "epoch_cycle_times": f"""WITH RECURSIVE {EV}, e AS (SELECT host, ts, CASE event_type WHEN 'view' THEN 'begin' ELSE 'transition' END AS event, event_id % 3 AS epoch,
+        row_number() OVER (PARTITION BY host ORDER BY ts, CASE event_type WHEN 'view' THEN 'begin' ELSE 'transition' END, event_id % 3) AS i FROM ev WHERE event_type IN ('view', 'purchase')),
+      f AS (SELECT host, i, ts, CASE WHEN event = 'begin' THEN epoch END AS be, CASE WHEN event = 'begin' THEN ts END AS bt, NULL::BIGINT AS te, NULL::TIMESTAMP AS tt,
+          CASE WHEN event = 'transition' THEN 'error_missed_ar_step' END AS name, 1.0::DOUBLE AS value FROM e WHERE i = 1
+        UNION ALL SELECT e.host, e.i, e.ts,
+          CASE WHEN e.event = 'begin' THEN e.epoch WHEN f.be + 1 = e.epoch THEN f.be END, CASE WHEN e.event = 'begin' THEN e.ts WHEN f.be + 1 = e.epoch THEN f.bt END,
+          CASE WHEN e.event = 'begin' THEN f.te WHEN f.be + 1 = e.epoch THEN e.epoch END, CASE WHEN e.event = 'begin' THEN f.tt WHEN f.be + 1 = e.epoch THEN e.ts END,
+          CASE WHEN e.event = 'begin' THEN CASE WHEN f.te = e.epoch THEN 'grad_accum_time' END WHEN f.be + 1 = e.epoch THEN 'ar_time' ELSE 'error_missed_ar_step' END,
+          CASE WHEN e.event = 'begin' THEN (epoch_us(e.ts) - epoch_us(f.tt)) / 1000.0 WHEN f.be + 1 = e.epoch THEN (epoch_us(e.ts) - epoch_us(f.bt)) / 1000.0 ELSE 1.0 END
+          FROM f JOIN e ON e.host = f.host AND e.i = f.i + 1)
+      SELECT host, ts, CASE name WHEN 'error_missed_ar_step' THEN 'error' ELSE 'duration' END AS kind, name, value FROM f WHERE name IS NOT NULL""",
+    "utilisation_windows": f"""WITH RECURSIVE {EV}, a AS (SELECT host, min(ts) AS anchor FROM ev GROUP BY host
+        UNION ALL SELECT a.host, min(ev.ts) FROM a JOIN ev ON ev.host = a.host AND ev.ts > a.anchor + INTERVAL 6 HOUR GROUP BY a.host, a.anchor),
+      w AS (SELECT host, anchor, lead(anchor) OVER (PARTITION BY host ORDER BY anchor) AS closed FROM a)
+      SELECT w.host, anchor, closed, round(sum(value), 6) AS total FROM w JOIN ev ON ev.host = w.host AND ts >= anchor AND ts < closed GROUP BY ALL""",
+    "phase_timeline": f"""WITH RECURSIVE {EV}, e AS (SELECT host, event_id AS step, floor(value) > 60 AS stale, row_number() OVER (PARTITION BY host ORDER BY event_id) AS i FROM ev),
+      f AS (SELECT host, i, step, CASE WHEN stale THEN 1 ELSE 0 END AS phase, CASE WHEN stale THEN 2 ELSE 0 END AS togo FROM e WHERE i = 1
+        UNION ALL SELECT e.host, e.i, e.step, CASE WHEN phase = 0 THEN CASE WHEN stale THEN 1 ELSE 0 END WHEN togo > 0 THEN phase WHEN phase = 1 THEN 2 ELSE 0 END,
+          CASE WHEN phase = 0 THEN CASE WHEN stale THEN 2 ELSE 0 END WHEN togo > 0 THEN togo - 1 WHEN phase = 1 THEN 1 ELSE 0 END FROM f JOIN e ON e.host = f.host AND e.i = f.i + 1)
+      SELECT host, step, phase FROM f""",
+    "latest_entries": f"""WITH RECURSIVE {LOG_SQL}, r AS (SELECT key, nullif(subkey, 'purchase') AS subkey, value, expiration, arrival,
+        row_number() OVER (PARTITION BY key ORDER BY arrival, nullif(subkey, 'purchase') NULLS FIRST, value) AS i FROM log WHERE expiration >= arrival),
+      f AS (SELECT key, i, expiration AS most, subkey IS NULL AS is_plain, i AS since FROM r WHERE i = 1
+        UNION ALL SELECT r.key, r.i, greatest(most, r.expiration), CASE WHEN r.expiration > most AND r.subkey IS NULL THEN true WHEN r.expiration > most THEN false ELSE is_plain END,
+          CASE WHEN r.expiration > most AND (r.subkey IS NULL OR is_plain) THEN r.i ELSE since END FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1),
+      l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1),
+      s AS (SELECT r.* FROM l JOIN r ON r.key = l.key AND r.i >= l.since WHERE NOT l.is_plain AND r.subkey IS NOT NULL AND r.expiration > {T0}
+        QUALIFY row_number() OVER (PARTITION BY r.key, r.subkey ORDER BY r.expiration DESC, r.arrival, r.value DESC) = 1)
+      SELECT l.key, r.value AS plain, NULL::VARCHAR AS subs, r.expiration FROM l JOIN r ON r.key = l.key AND r.i = l.since WHERE l.is_plain AND r.expiration > {T0}
+      UNION ALL SELECT key, NULL, string_agg(printf('%s=%.2f', subkey, value), ';' ORDER BY subkey), max(expiration) FROM s GROUP BY key""",
+    "bounded_labels": """WITH c AS (SELECT 'r' || user_id % 5 AS role, 'ban' AS metric, 'ban_timeout_body1.0.' || user_id AS name, count(*)::DOUBLE AS n, max(date_trunc('millisecond', ts)) AS seen FROM events WHERE event_type = 'click' GROUP BY user_id
+        UNION ALL SELECT 'r' || user_id % 5, 'w2w_push_fail', 'w2w_push_fail_body1.0.' || user_id, arg_max(event_id, (date_trunc('millisecond', ts), event_id))::DOUBLE, max(date_trunc('millisecond', ts)) FROM events WHERE event_type = 'signup' GROUP BY user_id)
+      SELECT role, metric, name, n, row_number() OVER (PARTITION BY role, metric ORDER BY n DESC, seen DESC, name)::INT AS "rank" FROM c QUALIFY "rank" <= 3""",
     "own_addresses": "SELECT 'p' || c_custkey AS peer_id, '/ip4/10.0.0.' || c_nationkey || '/tcp/' || c_custkey % 100 AS addresses FROM customer",
     "group_candidates": "SELECT event_id, event_type = 'view' AS looking_for_group FROM events WHERE event_type IN ('view', 'click')",
     "state_donors": "SELECT 'head.0.' || s_suppkey AS uid, s_nationkey AS priority FROM supplier WHERE s_suppkey <> 5",

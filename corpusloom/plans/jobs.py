@@ -199,6 +199,8 @@ def read_samples(spark: SparkSession, folder: str, manifest: dict, seq: int, see
 
 def rechunk_corpus(spark: SparkSession, inventory: DataFrame, old_chunk: int, new_chunk: int, folder: str) -> dict:
     """Cut an ordered legacy stream anew, byte for byte; its overlap tokens must agree.  Documents are not known: counted as 0."""
+    # The overlap tokens are read by themselves, and agree before anything is written.
+    corpus.fail_if_any(corpus.overlap_breaks(sources.object_ends(inventory)), "objects whose overlap tokens differ")
     slices = stored(sources.scan_token_objects(spark, inventory, old_chunk))
     written = token_chunks.write_chunks(corpus.cut_chunks(sources.rechunk(slices, old_chunk), new_chunk, tokens="tokens"), folder)
     return corpus.manifest_of(written, scalar.BYTE_EOS, new_chunk, 0)

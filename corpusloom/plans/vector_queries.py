@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import vectors
+from corpusloom.plans.jobs import average_vectors_by_parts
 from corpusloom.session import table
 
 
@@ -78,6 +79,31 @@ def q_dequantize(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("vec_id").agg(F.round(F.sum("restored"), 4).alias("total"), F.round(F.max(F.abs(F.col("restored") - F.col("x"))), 4).alias("worst"))
 
 
+def q_quantize_vectors8(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector by itself, in stretches of few elements, so that borders are quantiles of quantiles."""
+    codes, _ = vectors.quantize_vectors8(table(spark, d, "embeddings").select("vec_id", "embedding"), borders=15, longest=20)
+    return codes.select("vec_id", "pos", "code")
+
+
+def by_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A job per label with three owners: one fails for odd labels, one misses every fifth sender."""
+    sent = embeddings(spark, d).select("label", F.col("vec_id").alias("sender"), (1 + F.col("vec_id") % 3).cast("double").alias("weight"), "embedding")
+    local = sent.groupBy("label").agg(F.min_by("embedding", "sender").alias("embedding"))
+    labels = local.select("label")
+    owners = labels.select("label", F.explode(F.array(*[F.struct(F.lit(o).alias("owner"), F.lit(f).alias("fraction")) for o, f in (("a", 0.5), ("b", 0.25), ("c", 0.25))])).alias("o")).select("label", "o.*")
+    lost = labels.where("label % 2 = 1").select("label", F.lit("b").alias("owner"), F.lit(None).cast("long").alias("sender"))
+    lost = lost.unionByName(sent.where("sender % 5 = 0").select("label", F.lit("c").alias("owner"), "sender"))
+    return average_vectors_by_parts(sent, local, owners, lost, 10, ["label"])
+
+
+def q_average_by_parts(spark: SparkSession, d: str) -> DataFrame:
+    return by_parts(spark, d)[0].select("label", F.posexplode("embedding").alias("pos", "x")).select("label", "pos", F.round("x", 4).alias("x"))
+
+
+def q_average_by_parts_received(spark: SparkSession, d: str) -> DataFrame:
+    return by_parts(spark, d)[1].select("label", "expected", "received", F.round("fraction", 6).alias("fraction"))
+
+
 def q_quantize_quantile8_byte(spark: SparkSession, d: str) -> DataFrame:
     return vectors.quantize_quantile8(embeddings(spark, d), ["label"])[1].select("label", "code", "n", F.round("centre", 5).alias("centre"))
 
@@ -110,6 +136,12 @@ def q_received_fraction(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
 
 LONG = "long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings)"
+PARTS_SQL = """long AS (SELECT label, vec_id AS sender, (1 + vec_id % 3)::DOUBLE AS w, len(embedding)::BIGINT AS n, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  own AS (SELECT label, n, pos, x FROM long QUALIFY sender = min(sender) OVER (PARTITION BY label)),
+  p AS (SELECT DISTINCT label, n, pos // 10 AS part, pos // 10 * 10 AS low, least(n, pos // 10 * 10 + 10) AS high FROM own),
+  s AS (SELECT *, greatest(0, least(high, floor(n * 0.5)) - low) AS a, greatest(0, least(high, floor(n * 0.75)) - greatest(low, floor(n * 0.5))) AS b, greatest(0, high - greatest(low, floor(n * 0.75))) AS c FROM p),
+  owned AS (SELECT label, part, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS owner FROM s),
+  came AS (SELECT long.* FROM long JOIN owned ON owned.label = long.label AND owned.part = pos // 10 WHERE NOT (owner = 'b' AND long.label % 2 = 1) AND NOT (owner = 'c' AND sender % 5 = 0))"""
 CUTS = f"{LONG}, cuts AS (SELECT label, quantile_cont(x, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS b FROM long GROUP BY label), codes AS (SELECT vec_id, label, pos, x, len(list_filter(b, lambda q: q < x))::INT AS code FROM long JOIN cuts USING (label))"
 BYTE = f"{LONG}, cuts AS (SELECT label, quantile_cont(x, {[k / 256 for k in range(1, 256)]}) AS b FROM long GROUP BY label), codes AS (SELECT vec_id, label, pos, x, len(list_filter(b, lambda q: q < x))::INT AS code FROM long JOIN cuts USING (label))"
 ORACLE_SQL = {
@@ -130,6 +162,16 @@ ORACLE_SQL = {
     "sample_mean": f"WITH {LONG}, m AS (SELECT label, pos, coalesce(avg(x) FILTER (vec_id % 3 <> 0), 0) AS v FROM long GROUP BY label, pos) SELECT label, list(round(v, 4) + 0.0 ORDER BY pos) AS mean FROM m GROUP BY label",
     "quantize_uniform8": f"""WITH {LONG}, s AS (SELECT label, avg(x) AS mu, stddev_samp(x) AS sd FROM long GROUP BY label), c AS (SELECT label, x, least(255, greatest(0, round_even((x - mu) / (6 * sd / 256), 0) + 128))::INT AS code FROM long JOIN s USING (label))
         SELECT label, code, count(*) AS n, round(avg(x), 5) AS centre FROM c GROUP BY 1, 2""",
+    "quantize_vectors8": """WITH v AS (SELECT vec_id, len(embedding)::BIGINT AS n, embedding FROM embeddings),
+      w AS (SELECT *, CASE WHEN n <= 20 THEN n ELSE 20 + floor((n % 20 - 1) / (n // 20))::BIGINT + 1 END AS width FROM v),
+      l AS (SELECT vec_id, width, unnest(range(n)) AS pos, unnest(embedding)::DOUBLE AS x FROM w),
+      i AS (SELECT vec_id, unnest(quantile_cont(x, [k / 16.0 FOR k IN range(17)])) AS q FROM l GROUP BY vec_id, pos // width),
+      b AS (SELECT vec_id, quantile_cont(q, [k / 16.0 FOR k IN range(1, 16)]) AS b FROM i GROUP BY vec_id)
+      SELECT vec_id, pos::INT AS pos, len(list_filter(b, lambda y: y < x))::INT AS code FROM l JOIN b USING (vec_id)""".replace("[k / 16.0 FOR k IN range(17)]", str([k / 16 for k in range(17)])).replace("[k / 16.0 FOR k IN range(1, 16)]", str([k / 16 for k in range(1, 16)])),
+    "average_by_parts": f"""WITH {PARTS_SQL}, m AS (SELECT label, pos, sum(w * x) / sum(w) AS mean FROM came GROUP BY 1, 2)
+      SELECT o.label, o.pos::INT AS pos, round(coalesce(mean, x), 4) AS x FROM own o LEFT JOIN m USING (label, pos)""",
+    "average_by_parts_received": f"""WITH {PARTS_SQL}, e AS (SELECT DISTINCT label, sender, pos // 10 AS part FROM long), r AS (SELECT DISTINCT label, sender, pos // 10 AS part FROM came)
+      SELECT e.label, count(*) AS expected, count(r.sender) AS received, round(count(r.sender) / count(*), 6) AS fraction FROM e LEFT JOIN r USING (label, sender, part) GROUP BY 1""",
     "quantize_quantile8": f"WITH {CUTS} SELECT label, code, count(*) AS n, round(avg(x), 5) AS centre FROM codes GROUP BY 1, 2",
     "dequantize": f"WITH {CUTS}, d AS (SELECT *, avg(x) OVER (PARTITION BY label, code) AS restored FROM codes) SELECT vec_id, round(sum(restored), 4) AS total, round(max(abs(restored - x)), 4) AS worst FROM d GROUP BY vec_id",
     "quantize_quantile8_byte": f"WITH {BYTE} SELECT label, code, count(*) AS n, round(avg(x), 5) AS centre FROM codes GROUP BY 1, 2",

@@ -159,6 +159,27 @@ def scan_token_objects(spark: SparkSession, inventory: DataFrame, chunk_tokens:
     return dealt(checked, inventory.count(), 1).mapInArrow(slices, "ordinal long, pos long, tokens array<int>")
 
 
+def object_ends(inventory: DataFrame) -> DataFrame:
+    """``ordinal, first_token, last_token, n`` of int32 objects, by two short reads of each."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for ordinal, path, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size % 4 or not size:
+                    raise ValueError(f"wrong size: {path}")
+                with _open(path) as source:
+                    first = source.read(4)
+                    source.seek(size - 4)
+                    rows.append((ordinal, int.from_bytes(first, "little", signed=True), int.from_bytes(source.read(4), "little", signed=True), size // 4))
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["ordinal", "first_token", "last_token", "n"])
+
+    listed = inventory.select(F.col("ordinal").cast("long"), "path", F.col("size").cast("long"))
+    return dealt(listed, listed.count()).mapInArrow(ends, "ordinal long, first_token int, last_token int, n long")
+
+
 def rechunk(slices: DataFrame, old_chunk: int) -> DataFrame:
     """Positions of an ordered legacy stream are arithmetic: slices become documents of a stream that ``cut_chunks`` cuts."""
     start = F.col("ordinal") * old_chunk + F.col("pos")
@@ -175,7 +196,7 @@ def scan_log_lines(spark: SparkSession, path: str, streaming: bool = False) -> D
     from corpusloom.operators.telemetry import HEAD
 
     if streaming:
-        files = spark.readStream.schema("value string").option("wholetext", True).text(path)
+        files = spark.readStream.schema("value string").text(path, wholetext=True)
         cuts = F.split("value", r"\r?\n(?=" + HEAD[1:] + ")")
         # What comes before the first record is cut at each line.
         first = F.when(F.get(cuts, F.lit(0)).rlike(HEAD), F.slice(cuts, 1, 1)).otherwise(F.split(F.get(cuts, F.lit(0)), r"\r?\n"))

@@ -346,13 +346,12 @@ def stream_bounded_cache(puts: DataFrame, ttl_s: float, most_rows: int, most_byt
             expire(watermark)
         else:
             taken = sorted(r for part in rows for r in part[["us", "key", "nbytes"]].itertuples(index=False, name=None))
-            total = sum(n for _, n in entries.values())
             for us, k, n in taken:
                 expire(int(us))
                 entries.pop(k, None)
                 entries[k] = [int(us), int(n)]
                 out.append((key[0], k, int(us), int(n), "put"))
-                total = sum(b for _, b in entries.values()) if len(entries) > most_rows or total + n > most_bytes else total + int(n)
+                total = sum(size for _, size in entries.values())
                 while len(entries) > most_rows or total > most_bytes:
                     oldest = next(iter(entries))
                     at, size = entries.pop(oldest)
