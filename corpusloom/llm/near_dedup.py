@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import setsketch
+from corpusloom.llm.ordered import with_rank
 from corpusloom.llm.shingles import WordHash, shingle_set
 from corpusloom.plans.components import connected_components
 from corpusloom.plans.groups import with_group_values
@@ -70,23 +71,22 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 #: Bits of a parity sketch.
 PARITY = 2048
-#: They are kept as so many long columns, which compiled code compares much faster than arrays.
-PARITY_COLUMNS = [f"p{k}" for k in range(PARITY // 64)]
 
 
 def parity_sketches(sets: DataFrame) -> DataFrame:
+    """``doc_id, n, bits``: set size, and a bit for each place, set if an odd number of shingles falls there."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for shingles in batch.column(1):
                 place = shingles.values.to_numpy().view(np.uint64) % np.uint64(PARITY)
                 odd = np.bincount(place.astype(np.int64), minlength=PARITY) & 1
-                found.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                found.append(np.packbits(odd.astype(np.uint8)).tobytes())
             sizes = pa.compute.list_value_length(batch.column(1)).cast(pa.int64())
-            words = np.array(found, np.int64).reshape(-1, len(PARITY_COLUMNS))
-            yield pa.record_batch([batch.column(0), sizes, *map(pa.array, words.T.copy())], names=["doc_id", "n", *PARITY_COLUMNS])
+            yield pa.record_batch([batch.column(0), sizes, pa.array(found, pa.binary())], names=["doc_id", "n", "bits"])
 
-    return sets.mapInArrow(sketch, ", ".join(["doc_id long", "n long", *(f"{c} long" for c in PARITY_COLUMNS)]))
+    return sets.mapInArrow(sketch, "doc_id long, n long, bits binary")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, least: float, m: int) -> DataFrame:
@@ -138,37 +138,60 @@ def star_pairs(labelled: DataFrame, order: F.Column) -> DataFrame:
     return met.select(F.least("doc_id", "_l.id").alias("a"), F.greatest("doc_id", "_l.id").alias("b")).distinct()
 
 
-#: Nodes of a bucket in one strip; a task compares two strips at a time.
-STRIP = 256
+#: Nodes of a bucket in one strip; two strips are compared at a time.
+STRIP = 1024
 
 
-def cross_pairs(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(labelled: DataFrame, sets: DataFrame, percent: int, strip: int = STRIP) -> DataFrame:
     """Pairs of a bucket from different components that could be linked at all.
 
     Each node has a parity sketch of its whole set: every shingle flips one of ``PARITY`` bits.  The bits in which two
     sketches differ are at most the shingles that only one of the sets has, so a pair with more of them than the
     similarity allows is left out for certain, and what is left is not much more than the links.
 
-    A bucket is cut into strips of about ``STRIP`` nodes by a hash, and each two strips are a group of their own, so no bucket
-    is one task's work whatever its size.
+    The nodes of a bucket are ranked by set size and cut into strips; a strip is one row.  Strips whose sizes are near enough are
+    paired, one row for each two, so rows are as many as pairs of strips and not of nodes, and no bucket is one task's work.
     """
-    known = stored(parity_sketches(sets))
-    count = with_group_values(labelled, ["key"], F.xxhash64("doc_id"), [F.count(F.lit(1)).alias("_p")], [F.sum("_p").alias("_n")])
-    strips = F.ceil(F.col("_n") / STRIP).cast("int")
-    rows = count.select("key", "doc_id", "comp", strips.alias("_strips"), F.pmod(F.xxhash64("doc_id", F.lit("strip")), strips).cast("int").alias("strip"))
-    rows = stored(rows.join(known, "doc_id"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_strips") - 1))
-    one = rows.withColumn("other", every).drop("_strips")
-    columns = {c: f"_{c}" for c in ("key", "doc_id", "comp", "n", *PARITY_COLUMNS)}
-    # Each two rows meet once: in (strip of the one of the smaller component, strip of the other).
-    two = rows.withColumn("_other", F.col("strip")).withColumn("_strip", every).select(*[F.col(c).alias(d) for c, d in columns.items()], "_strip", "_other")
-    sizes = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-    apart = F.lit(0)
-    for c in PARITY_COLUMNS:
-        apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}")))
-    close = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("_n"))
-    met = one.join(two, (F.col("key") == F.col("_key")) & (F.col("strip") == F.col("_strip")) & (F.col("other") == F.col("_other")) & (F.col("comp") < F.col("_comp")) & sizes & close)
-    return met.select(F.least("doc_id", "_doc_id").alias("a"), F.greatest("doc_id", "_doc_id").alias("b")).distinct()
+    known = parity_sketches(sets)
+    ranked = with_rank(labelled.select("key", "doc_id", "comp").join(known, "doc_id"), "key", ["n", "doc_id"])
+    node = F.struct("doc_id", "comp", "n", "bits")
+    strips = stored(ranked.groupBy("key", F.expr(f"_rank div {strip}").alias("strip")).agg(F.collect_list(node).alias("nodes"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last")))
+    ends = strips.select("key", "strip", "low", "high", "first", "last")
+    other = ends.select("key", *[F.col(c).alias(f"_{c}") for c in ends.columns[1:]])
+    near = (F.col("strip") <= F.col("_strip")) & (100 * F.col("high") >= percent * F.col("_low")) & ((F.col("first") != F.col("_last")) | (F.col("last") != F.col("_first")))
+    pairs = ends.join(other, "key").where(near).select("key", "strip", "_strip")
+    met = pairs.join(strips.select("key", "strip", "nodes"), ["key", "strip"]).join(strips.select("key", F.col("strip").alias("_strip"), F.col("nodes").alias("_nodes")), ["key", "_strip"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two = (_strip_columns(batch.column(c)[k].values) for c in (1, 2))
+                left, right = close_nodes(one, two, percent, batch.column(0)[k].as_py())
+                yield pa.record_batch([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+    # A row is two strips, so few make a batch.
+    rows = met.select((F.col("strip") == F.col("_strip")).alias("same"), "nodes", "_nodes")
+    return rows.mapInArrow(compared, "a long, b long").distinct()
+
+
+def _strip_columns(nodes: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, comp, n = (nodes.field(c).to_numpy() for c in ("doc_id", "comp", "n"))
+    return ids, comp, n, np.frombuffer(b"".join(nodes.field("bits").to_pylist()), np.uint64).reshape(len(nodes), PARITY // 64)
+
+
+def close_nodes(one: tuple, two: tuple, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of nodes of two strips (each pair once, if they are the ``same``) of different components, whose sizes and bits allow a link."""
+    ids, comp, n, bits = two
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, (doc, c, size, own) in enumerate(zip(*one, strict=True)):
+        start = i + 1 if same else 0
+        fits = (comp[start:] != c) & (100 * np.minimum(size, n[start:]) >= percent * np.maximum(size, n[start:]))
+        at = start + np.flatnonzero(fits)
+        apart = np.bitwise_count(bits[at] ^ own).sum(axis=1, dtype=np.int64)
+        at = at[(100 + percent) * apart <= (100 - percent) * (size + n[at])]
+        left.append(np.full(len(at), doc))
+        right.append(ids[at])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

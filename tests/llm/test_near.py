@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import setsketch
-from corpusloom.llm.near_dedup import drop_near_duplicates, near_duplicates
+from corpusloom.llm.near_dedup import cross_pairs, drop_near_duplicates, near_duplicates, shingle_sets
 from corpusloom.llm.shingles import WordHash, shingle_set
 from corpusloom.plans.components import connected_components
 
@@ -35,6 +35,27 @@ def test_links_between_components_of_a_bucket(spark):
     assert set(brute.rows(near_duplicates(df, width=4))) == brute.near(rows)
 
 
+@pytest.mark.parametrize("strip", [3, 7, 1024])
+def test_cross_pairs_of_strips_lose_no_link(spark, strip):
+    """All links between components of a bucket are found, few other pairs are, and a strip is paired with strips only."""
+    rng = random.Random(strip)
+    base = [f"w{i}" for i in range(80)]
+    docs = []
+    for i in range(120):
+        w = base[: rng.choice([60, 70, 80])]
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 20)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = shingle_sets(df, 4).checkpoint()
+    labelled = spark.createDataFrame([(key, i, i // 2) for key, ids in ((1, range(120)), (2, range(0, 120, 3)), (3, [5])) for i in ids], "key long, doc_id long, comp long")
+    found = set(brute.rows(cross_pairs(labelled, sets, 80, strip)))
+    plain = {i: brute.shingles(t, 4) for i, t in docs}
+    links = {(a, b) for a in plain for b in plain if a < b and a // 2 != b // 2 and 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])}
+    assert len(links) > 50 and links <= found
+    assert all(a // 2 != b // 2 and 100 * len(plain[a] & plain[b]) >= 70 * len(plain[a] | plain[b]) for a, b in found)
+
+
 def test_edges(spark, no_docs, clashing, edge_docs):
     assert near_duplicates(no_docs).count() == 0
     text = " ".join(f"w{i}" for i in range(50))
