@@ -9,6 +9,7 @@ offset"), which are unfolded into slots on the executors; pieces take slots by a
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from corpusloom.session import cut, dealt
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Sequences whose slots are unfolded together.
 SPAN = 1 << 12
+#: Rows of one length that a bucket is meant to have.
+ROWS = 1 << 16
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool = False) -> DataFrame:
@@ -112,21 +115,27 @@ def pack_documents(
 
     A document is its ids and ``end_id``; one longer than ``capacity`` is cut into pieces.  Null texts are
     empty: a piece of one id.  Repeated rows and null ids get places of their own; an empty table gives an
-    empty result.  Other columns are not read.  The driver sees the histogram only (at most ``capacity`` rows).
+    empty result.  Other columns are not read.  The driver sees the histogram and the runs, a few thousand rows at any size.
     """
     spark = docs.sparkSession
     # Tokenized once; the histogram and the slot join both read it.
     pieces = cut(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = [(length, rank + k * SPAN * each, min(SPAN * each, n - k * SPAN * each), first + k * SPAN, each, at) for length, rank, n, first, each, at in plan_best_fit(histogram, capacity) for k in range(-(-n // (SPAN * each)))]
-    plan = dealt(spark.createDataFrame(runs, "length long, lo long, n long, first long, each long, at long"), len(runs), 128)
-    slots = plan.select("length", "lo", "first", "each", "at", F.explode(F.expr("sequence(0L, n - 1)")).alias("j")).select(
+    runs = plan_best_fit(histogram, capacity)
+    each_span = F.expr(f"n div (each * {SPAN}L) + if(n % (each * {SPAN}L) > 0, 1L, 0L)")
+    spans = sum(-(-n // (SPAN * each)) for _, _, n, _, each, _ in runs)
+    plan = spark.createDataFrame(runs, "length long, rank long, n long, first long, each long, at long").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), each_span - 1)))
+    plan = dealt(plan.select("length", "rank", "n", "first", "each", "at", "k"), spans, 128)
+    start = F.col("k") * SPAN * F.col("each")
+    slots = plan.withColumn("j", F.explode(F.sequence(start, F.least(start + SPAN * F.col("each"), "n") - 1))).select(
         F.col("length").alias("slot_length"),
-        (F.col("lo") + F.col("j")).alias("slot_rank"),
+        (F.col("rank") + F.col("j")).alias("slot_rank"),
         F.expr("first + j div each").alias("sequence_id"),
         F.expr("at + (j % each) * length").alias("offset"),
     )
-    keyed = pieces.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece"))).withColumn("_bucket", hash_bucket("_order", 2))
+    # The content is part of the order, so that rows without id, or of one id, are spread as well; buckets follow the commonest length.
+    digits = max(2, min(7, math.ceil(math.log(max([1, *histogram.values()]) / ROWS, 16))))
+    keyed = pieces.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", "ids_crc32"))).withColumn("_bucket", hash_bucket("_order", digits))
     ranked = with_prefix_sum(keyed, F.lit(1), ["length"], "_bucket", ["_order", "ids_crc32"], "rank")
     # There are as many slots as pieces, which the planner cannot know: they must not be broadcast.
     placed = ranked.join(slots.hint("merge"), (F.col("length") == F.col("slot_length")) & (F.col("rank") == F.col("slot_rank")))
