@@ -168,9 +168,11 @@ def flop_per_sample(params: Column, layers: int, heads: int, head_dim: int, seq:
     return (F.lit(4.0 if backward else 2.0) * params + F.lit(float(attention))) * F.lit(float(seq))
 
 
-def shift_labels(tokens: Column) -> Column:
-    """(inputs, labels): all but the last token, all but the first."""
-    return F.struct(F.slice(tokens, F.lit(1), F.size(tokens) - 1).alias("inputs"), F.slice(tokens, F.lit(2), F.size(tokens) - 1).alias("labels"))
+def shift_labels(tokens: Column, batch: int | None = None) -> Column:
+    """(inputs, labels): all but the last token, all but the first; with ``batch``, also each label's weight 1/(batch * labels)."""
+    n = F.size(tokens) - 1
+    weight = [] if batch is None else [F.when(n > 0, 1.0 / (n * batch)).alias("weight")]
+    return F.struct(F.slice(tokens, F.lit(1), n).alias("inputs"), F.slice(tokens, F.lit(2), n).alias("labels"), *weight)
 
 
 def ttl_seconds(expiration: Column, now: Column) -> Column:

@@ -5,6 +5,7 @@ A document table has ``crawl, doc_id, text`` (all non-null); a keyed one also ``
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -83,22 +84,29 @@ def tokenize_bytes(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn("tokens", scalar.byte_tokenize(column))
 
 
-def tokenize_with(df: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """``tokens`` by a pinned tokenizer file that every executor can open; no special tokens are added, null texts have none."""
+def tokenize_with(df: DataFrame, path: str, column: str = "text", sha256: str | None = None) -> DataFrame:
+    """``tokens`` by a pinned tokenizer file that every executor can open; no special tokens are added, null texts have none.
+
+    With ``sha256``, an executor that finds another file under the name fails.
+    """
 
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
-        encode = _tokenizer(path).encode_batch_fast
+        encode = _tokenizer(path, sha256).encode_batch_fast
         return pa.array([e.ids for e in encode(text.fill_null("").to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
 
     return df.withColumn("tokens", ids.asNondeterministic()(column))
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str):
+def _tokenizer(path: str, sha256: str | None):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    with open(path, "rb") as file:
+        data = file.read()
+    if sha256 and hashlib.sha256(data).hexdigest() != sha256:
+        raise ValueError(f"{path} is not the tokenizer that the recipe pins")
+    return Tokenizer.from_str(data.decode())
 
 
 def drop_docs_with_eos(df: DataFrame, eos: int) -> DataFrame:

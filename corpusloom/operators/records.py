@@ -5,6 +5,9 @@ A log has ``key, subkey, value, expiration, arrival``; ``now`` is a timestamp co
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,59 @@ def validate_records(rows: DataFrame, types: dict[str, str], owner: tuple[str, s
     return rows.where(good), rows.where(~good)
 
 
+@dataclass(frozen=True)
+class Validator:
+    """One link of a chain: ``good`` tells whether a record's ``value`` may pass, ``strip`` what the next link sees of it."""
+
+    name: str
+    good: Callable[[Column], Column]
+    strip: Callable[[Column], Column] = lambda value: value
+
+
+def schema_validator(types: dict[str, str]) -> Validator:
+    """JSON with every field of ``types`` present and of its variant type."""
+
+    def good(value: Column) -> Column:
+        parsed = F.try_parse_json(value)
+        out = parsed.isNotNull()
+        for name, kind in types.items():
+            out = out & F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == kind, F.lit(False))
+        return out
+
+    return Validator("schema", good)
+
+
+def owner_validator(column: str, pattern: str) -> Validator:
+    return Validator("owner", lambda value: F.col(column).rlike(pattern))
+
+
+def signature_validator(secret: str, *signed: str) -> Validator:
+    """A trailing ``[signature:<hex>]``: SHA-256 of the secret, the ``signed`` columns and the value before it, which is then taken off."""
+    bare = lambda value: F.regexp_replace(value, r"\[signature:[0-9a-f]*\]$", "")
+
+    def good(value: Column) -> Column:
+        told = F.regexp_extract(value, r"\[signature:([0-9a-f]*)\]$", 1)
+        return told == F.sha2(F.concat_ws("\0", F.lit(secret), *[F.col(c).cast("string") for c in signed], bare(value)), 256)
+
+    return Validator("signature", good, bare)
+
+
+def run_validators(rows: DataFrame, chain: Sequence[Validator], value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Records that pass the whole chain, their values stripped by it, and those that don't, with the link that ``failed``.
+
+    Links are tried in order, each on what the one before left of the value; a null value passes none.
+    """
+    seen, failed = F.col(value), F.lit(None).cast("string")
+    checks = []
+    for link in chain:
+        checks.append((link.name, F.coalesce(link.good(seen), F.lit(False))))
+        seen = link.strip(seen)
+    for name, good in reversed(checks):
+        failed = F.when(~good, F.lit(name)).otherwise(failed)
+    told = rows.withColumns({"failed": failed, "_stripped": seen})
+    return told.where("failed is null").withColumn(value, F.col("_stripped")).drop("failed", "_stripped"), told.where("failed is not null").drop("_stripped")
+
+
 def own_addresses(rows: DataFrame, addresses: str = "addresses", owner: str = "peer_id") -> DataFrame:
     """Addresses without their ``/p2p/<id>`` suffix, of the record's owner only."""
     own = F.filter(addresses, lambda a: F.split_part(a, F.lit("/p2p/"), F.lit(2)) == F.col(owner))

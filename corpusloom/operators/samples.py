@@ -70,6 +70,24 @@ def shard_batches(total: Column, shards: DataFrame, per_head: int, samples_per_c
     return rows.select("shard", "batch_no", first.alias("first_sample"), F.least(first + batch, F.col("high")).alias("end_sample"))
 
 
+def shard_epochs(total: Column, shards: DataFrame, per_head: int, samples_per_chunk: int, batch: int, epochs: int) -> DataFrame:
+    """The batches of ``shard_batches`` for so many epochs, one after another: ``shard, epoch, turn, first_sample, end_sample``.
+
+    Sample ids run on through the epochs, ``turn`` through a shard's batches; the last batch of each epoch may be short.
+    """
+    once = shard_batches(total, shards, per_head, samples_per_chunk, batch)
+    width = per_head * samples_per_chunk
+    size = F.least((F.col("shard") + 1) * width, total) - F.col("shard") * width
+    each = F.ceil(size / batch).cast("long")
+    rows = once.withColumn("epoch", F.explode(F.expr(f"sequence(0L, {epochs - 1}L)")))
+    return rows.select("shard", "epoch", (F.col("epoch") * each + F.col("batch_no")).alias("turn"), *[(F.col("epoch") * total + F.col(c)).alias(c) for c in ("first_sample", "end_sample")])
+
+
+def legacy_batch(spark: SparkSession, batch: int, rows: int) -> DataFrame:
+    """Sample ids of one batch of a plain contiguous read."""
+    return range_ids(spark, batch * rows, rows)
+
+
 def locate(ids: DataFrame, total: Column, per_chunk: int) -> DataFrame:
     """Absolute sample id to (epoch, chunk, local)."""
     pos = F.pmod("sample_id", total)

@@ -388,6 +388,14 @@ def counter_deltas(df: DataFrame, by: Sequence[str], counter: str, order: Sequen
     return rows.where("_d >= 0 and _t > 0").withColumn("mbps", F.col("_d") * 8 / F.col("_t") / 1e6).drop("_d", "_t")
 
 
+def retransmit_shares(df: DataFrame, by: Sequence[str], out: str, retrans: str, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """``out_delta, retrans_delta, retrans_pct`` between readings of two counters; where either went back there is no row, and nothing sent is 0 %."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = df.withColumns({f"{name}_delta": F.col(c) - F.lag(c).over(w) for name, c in (("out", out), ("retrans", retrans))})
+    share = F.when(F.col("out_delta") > 0, 100.0 * F.col("retrans_delta") / F.col("out_delta")).otherwise(0.0)
+    return rows.where("out_delta >= 0 and retrans_delta >= 0").withColumn("retrans_pct", share)
+
+
 def adjusted_ema(df: DataFrame, by: Sequence[str], interval: str, size: str, alpha: float, eps: float = 1e-20, order: Sequence[str] = ("ts",)) -> DataFrame:
     """Bias-corrected mean time per sample, as samples per second, after all rows of each key.
 

@@ -162,6 +162,14 @@ def q_stream_batches(spark: SparkSession, d: str) -> DataFrame:
     return samples.stream_batches(spark, 1, 4, 8, -(-total // 32), total)
 
 
+def q_shard_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Two epochs of the batches of each shard."""
+    layout = samples.chunk_layout(chunks(spark, d), SEQ)
+    shards = layout.groupBy(F.expr("chunk_id div 2").alias("shard")).agg(F.count(F.lit(1)).alias("n")).drop("n")
+    total = layout.agg(F.max("cumulative")).first()[0] or 0
+    return samples.shard_epochs(F.lit(total), shards, 2, CHUNK_SAMPLES, 6, 2)
+
+
 def q_shard_batches(spark: SparkSession, d: str) -> DataFrame:
     layout = samples.chunk_layout(chunks(spark, d), SEQ)
     shards = layout.groupBy(F.expr("chunk_id div 2").alias("shard")).agg(F.count(F.lit(1)).alias("n")).drop("n")
@@ -346,6 +354,10 @@ ORACLE_SQL = {
         SELECT total + p AS sample_id, 1::BIGINT AS epoch, chunk_id, j FROM rids JOIN perm ON chunk_id = p // {CHUNK_SAMPLES} AND local = p % {CHUNK_SAMPLES}""",
     "stream_batches": f"""WITH {LAYOUT_SQL}, t AS (SELECT max(cumulative) AS total FROM layout), wanted AS (SELECT unnest(range(1, total, 4)) AS sample_id FROM t)
         SELECT sample_id // 32 AS batch_no, sample_id % 32 // 4 AS row_no, sample_id FROM wanted""",
+    "shard_epochs": f"""WITH {LAYOUT_SQL}, t AS (SELECT max(cumulative) AS total FROM layout), s AS (SELECT DISTINCT chunk_id // 2 AS shard FROM layout),
+        r AS (SELECT shard, total, shard * {2 * CHUNK_SAMPLES} AS low, least((shard + 1) * {2 * CHUNK_SAMPLES}, total) AS high FROM s, t),
+        b AS (SELECT *, unnest(range((high - low - 1) // 6 + 1)) AS n FROM r WHERE high > low), e AS (SELECT *, unnest(range(2)) AS epoch FROM b)
+        SELECT shard, epoch, row_number() OVER (PARTITION BY shard ORDER BY epoch, n) - 1 AS turn, epoch * total + low + n * 6 AS first_sample, epoch * total + least(low + n * 6 + 6, high) AS end_sample FROM e""",
     "shard_batches": f"""WITH {LAYOUT_SQL}, t AS (SELECT max(cumulative) AS total FROM layout), s AS (SELECT DISTINCT chunk_id // 2 AS shard FROM layout),
         r AS (SELECT shard, shard * {2 * CHUNK_SAMPLES} AS low, least((shard + 1) * {2 * CHUNK_SAMPLES}, total) AS high FROM s, t),
         b AS (SELECT *, unnest(range((high - low - 1) // 6 + 1)) AS batch_no FROM r WHERE high > low)

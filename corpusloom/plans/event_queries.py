@@ -69,6 +69,17 @@ def q_validate_records(spark: SparkSession, d: str) -> DataFrame:
     return good.select("event_id", F.lit("valid").alias("state")).unionByName(bad.select("event_id", F.lit("quarantine").alias("state")))
 
 
+def q_run_validators(spark: SparkSession, d: str) -> DataFrame:
+    """Signed properties of events, some with another secret, none, or another owner."""
+    payload = F.when(F.col("event_id") % 5 == 0, F.lit('{"k": "x"}')).otherwise(F.col("props"))
+    secret = F.when(F.col("event_id") % 3 == 0, F.lit("other")).otherwise(F.lit("mine"))
+    signature = F.sha2(F.concat_ws("\0", secret, F.col("host"), payload), 256)
+    rows = events(spark, d).select("event_id", "host", F.when(F.col("event_id") % 11 == 0, payload).otherwise(F.concat(payload, F.lit("[signature:"), signature, F.lit("]"))).alias("value"))
+    chain = [records.signature_validator("mine", "host"), records.owner_validator("host", "[0-8]$"), records.schema_validator({"k": "BIGINT"})]
+    good, bad = records.run_validators(rows, chain)
+    return good.select("event_id", F.lit(None).cast("string").alias("failed"), "value").unionByName(bad.select("event_id", "failed", F.lit(None).cast("string").alias("value")))
+
+
 def q_tier_lookup(spark: SparkSession, d: str) -> DataFrame:
     tiers = spark.createDataFrame([(-10000.0, "none"), (0.0, "small"), (2500.0, "medium"), (7500.0, "large")], "threshold double, label string")
     return records.tier_lookup(table(spark, d, "customer").select("c_custkey", "c_acctbal"), tiers, "c_acctbal").select("c_custkey", "tier")
@@ -220,6 +231,13 @@ def q_counter_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.round("mbps", 6).alias("mbps"))
 
 
+def q_retransmit_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Values as readings of two counters, which go back often."""
+    e = events(spark, d).withColumns({"segs": F.floor("value").cast("long"), "again": F.floor(F.col("value") / 7).cast("long")})
+    out = telemetry.retransmit_shares(e, HOST, "segs", "again", ORDER)
+    return out.select("event_id", "out_delta", "retrans_delta", F.round("retrans_pct", 6).alias("retrans_pct"))
+
+
 def q_adjusted_ema(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).withColumn("size", F.expr("event_id % 4 + 1.0D"))
     return telemetry.adjusted_ema(e, ["host"], "value", "size", 0.1, order=ORDER).withColumn("samples_per_second", F.round("samples_per_second", 6))
@@ -429,6 +447,8 @@ ORACLE_SQL = {
     "evict_to_size": f"WITH {LOG_SQL}, l AS (SELECT key, value, expiration FROM log WHERE expiration > {T0} QUALIFY row_number() OVER (PARTITION BY key ORDER BY expiration DESC, arrival, value DESC) = 1) SELECT * FROM l ORDER BY expiration DESC, key LIMIT 50",
     "live_members": f"""SELECT event_id, 'p' || user_id AS peer, CASE WHEN event_id % 4 = 2 THEN 2 ELSE 0 END AS phase, CASE WHEN event_id % 4 = 2 THEN (event_id % 9)::INT END AS epoch
         FROM events WHERE event_id % 4 <> 1 AND event_id % 40 <> 3 AND ts + to_hours((event_id % 100)::INT) > {T0}""",
+    "run_validators": """WITH f AS (SELECT event_id, props, CASE WHEN event_id % 11 = 0 OR event_id % 3 = 0 THEN 'signature' WHEN user_id % 10 = 9 THEN 'owner' WHEN event_id % 5 = 0 THEN 'schema' END AS failed FROM events)
+      SELECT event_id, failed, CASE WHEN failed IS NULL THEN props END AS value FROM f""",
     "validate_records": "SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 'quarantine' ELSE 'valid' END AS state FROM events",
     "tier_lookup": "SELECT c_custkey, CASE WHEN c_acctbal >= 7500 THEN 'large' WHEN c_acctbal >= 2500 THEN 'medium' WHEN c_acctbal >= 0 THEN 'small' ELSE 'none' END AS tier FROM customer",
     "name_contains_lookup": """WITH k AS (SELECT DISTINCT p_type AS ref_name FROM part UNION SELECT DISTINCT split_part(p_type, ' ', 1) FROM part),
@@ -482,6 +502,8 @@ ORACLE_SQL = {
         SELECT event_id, row_number() OVER (PARTITION BY host, era ORDER BY ts, event_id) AS count, count >= 3 AS alert FROM e WHERE event_type = 'error'""",
     "windowed_count": f"""WITH {EV} SELECT event_id, sum((event_type = 'error')::INT) OVER (PARTITION BY host ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::BIGINT AS count, count >= 3 AS alert FROM ev WHERE event_type IN ('error', 'purchase')""",
     "top_labels": f"""WITH {EV}, c AS (SELECT event_type, host, count(*) AS n, max(ts) AS last_seen FROM ev GROUP BY 1, 2) SELECT event_type, host, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, last_seen DESC, host)::INT AS "rank" FROM c QUALIFY "rank" <= 3""",
+    "retransmit_shares": f"""WITH {EV}, l AS (SELECT event_id, floor(value)::BIGINT - lag(floor(value)::BIGINT) OVER w AS out_delta, floor(value / 7)::BIGINT - lag(floor(value / 7)::BIGINT) OVER w AS retrans_delta FROM ev WINDOW w AS (PARTITION BY host ORDER BY ts, event_id))
+      SELECT *, round(CASE WHEN out_delta > 0 THEN 100.0::DOUBLE * retrans_delta / out_delta ELSE 0 END, 6) AS retrans_pct FROM l WHERE out_delta >= 0 AND retrans_delta >= 0""",
     "counter_deltas": f"""WITH {EV}, l AS (SELECT event_id, value * 1e6 - lag(value * 1e6) OVER w AS dv, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS dt FROM ev WINDOW w AS (PARTITION BY host ORDER BY ts, event_id))
         SELECT event_id, round(dv * 8 / dt / 1e6, 6) AS mbps FROM l WHERE dv >= 0 AND dt > 0""",
     "adjusted_ema": f"""WITH {EV}, b AS (SELECT host, value / (event_id % 4 + 1) AS x, row_number() OVER (PARTITION BY host ORDER BY ts DESC, event_id DESC) - 1 AS k FROM ev)

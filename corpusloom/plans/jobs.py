@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -44,16 +45,25 @@ class Recipe:
         if self.chunk_tokens < 1 or any(role not in self.roles or budget < 1 for role, budget in self.budgets):
             raise ValueError("chunks and budgets must be positive, budgets of roles that are built")
 
+    @property
+    def tokenizer_sha256(self) -> str | None:
+        """Digest of the tokenizer file as it is now; every executor must find the same."""
+        if not self.tokenizer:
+            return None
+        with open(self.tokenizer, "rb") as file:
+            return hashlib.sha256(file.read()).hexdigest()
+
     @property
     def sha256(self) -> str:
-        return scalar.canonical_digest({k: v.hex() if isinstance(v, bytes) else v for k, v in self.__dict__.items()})
+        """What is built follows from what the tokenizer file holds, not from where it lies."""
+        return scalar.canonical_digest({k: v.hex() if isinstance(v, bytes) else v for k, v in self.__dict__.items()} | {"tokenizer": self.tokenizer_sha256 or ""})
 
 
 def encode_documents(docs: DataFrame, recipe: Recipe) -> DataFrame:
     """Keyed, tokenized, framed and routed documents of a recipe."""
     rows = docs if "key" in docs.columns else corpus.doc_key(docs, recipe.flavour, recipe.seed)
     rows = corpus.apply_transforms(rows.select("crawl", "doc_id", "text", "unit_id", "key"), recipe.transforms)
-    rows = (corpus.tokenize_with(rows, recipe.tokenizer) if recipe.tokenizer else corpus.tokenize_bytes(rows)).drop("text")
+    rows = (corpus.tokenize_with(rows, recipe.tokenizer, sha256=recipe.tokenizer_sha256) if recipe.tokenizer else corpus.tokenize_bytes(rows)).drop("text")
     rows = rows.withColumn("has_eos", F.array_contains("tokens", recipe.eos))
     rows = corpus.route_roles(corpus.with_validation(rows, recipe.domain, recipe.validation, recipe.flavour), recipe.roles)
     rows = corpus.frame_tokens(corpus.assert_token_range(rows, recipe.vocabulary), recipe.bos, recipe.eos)

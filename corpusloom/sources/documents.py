@@ -76,10 +76,23 @@ def scan_documents(spark: SparkSession, paths: Sequence[str], root: str = "") ->
 
 
 def list_inventory(spark: SparkSession, root: str, suffixes: Sequence[str] = (".jsonl", ".parquet")) -> DataFrame:
-    """``name, size, path`` below ``root`` by name; other suffixes are ignored, duplicate names are refused by ``unique_names``."""
+    """``name, size, path`` below ``root`` by name; other suffixes are ignored.
+
+    A local name that is a symbolic link, or leads through one, is an error: it may lie outside of the root.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
     kept = files.where(F.lower("path").rlike("(" + "|".join("\\" + s for s in suffixes) + ")$"))
-    return kept.select(_relative(F.col("path"), root).alias("name"), "size", "path").orderBy("name")
+    base = root.removeprefix("file://").rstrip("/")
+
+    def contained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist() if base.startswith("/") else ():
+                if os.path.realpath(f"{base}/{name}") != f"{os.path.realpath(base)}/{name}":
+                    raise ValueError(f"a symbolic link in an inventory: {name}")
+            yield batch
+
+    named = kept.select(_relative(F.col("path"), root).alias("name"), "size", "path")
+    return named.mapInArrow(contained, "name string, size long, path string").orderBy("name")
 
 
 def unique_names(inventory: DataFrame) -> DataFrame:

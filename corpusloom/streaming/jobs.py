@@ -42,9 +42,11 @@ def stream_client_stats(events: DataFrame, window: str = "60 seconds", delay: st
 def stream_leases(leases: DataFrame, receipts: DataFrame, ttl: str = "60 seconds", delay: str = DELAY) -> DataFrame:
     """Outer interval join of two streams: an unanswered lease comes out when the watermark has passed its ttl.
 
-    A receipt that is sent again within the ttl gives a row of its own; the first of them settles the lease.
+    A receipt that is sent again within the delay is dropped, so a lease is settled once.
     """
-    met = records.leases_met(leases.withWatermark("ts", delay), receipts.withWatermark("ts", delay), ttl, ("origin", "seq", "receiver"))
+    by = ["origin", "seq", "receiver"]
+    once = receipts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(by)
+    met = records.leases_met(leases.withWatermark("ts", delay), once, ttl, tuple(by))
     return records.with_lease_state(met)
 
 

@@ -188,6 +188,50 @@ def test_small_helpers(spark):
     assert [(r.x, r.y) for r in row] == [([1.0], [1.0]), ([3.0], [0.0])]
 
 
+def test_batches_of_a_shard_roll_over(spark):
+    total, shards = 23, spark.createDataFrame([(s,) for s in range(4)], "shard long")
+    out = samples.shard_epochs(F.lit(total), shards, 1, 8, 3, 3).orderBy("shard", "turn").collect()
+    want = []
+    for s in range(3):
+        low, high, turn = s * 8, min((s + 1) * 8, total), 0
+        for epoch in range(3):
+            for first in range(low, high, 3):
+                want.append((s, epoch, turn, epoch * total + first, epoch * total + min(first + 3, high)))
+                turn += 1
+    assert [tuple(r) for r in out] == want
+    assert [r.sample_id for r in samples.legacy_batch(spark, 2, 3).collect()] == [6, 7, 8]
+
+
+def test_chain_of_validators(spark):
+    import hashlib
+
+    sign = lambda key, text, secret="s": text + "[signature:" + hashlib.sha256(f"{secret}\0{key}\0{text}".encode()).hexdigest() + "]"
+    good = '{"a": 1}'
+    rows = [("p1", sign("p1", good)), ("p2", sign("p1", good)), ("p3", good), ("p4", sign("p4", '{"a": "1"}')), ("q", sign("q", good)), ("p5", None), ("p6", sign("p6", good, "other"))]
+    chain = [records.signature_validator("s", "key"), records.owner_validator("key", "^p"), records.schema_validator({"a": "BIGINT"})]
+    passed, failed = records.run_validators(spark.createDataFrame(rows, "key string, value string"), chain)
+    assert [tuple(r) for r in passed.collect()] == [("p1", good)]
+    assert {r.key: r.failed for r in failed.collect()} == {"p2": "signature", "p3": "signature", "p4": "schema", "q": "owner", "p5": "signature", "p6": "signature"}
+
+
+def test_links_and_weights_and_pins(spark, tmp_path):
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/sub/a.jsonl").write_text('{"id": "1", "text": "x"}')
+    assert [r.name for r in src.list_inventory(spark, str(tmp_path / "in")).collect()] == ["sub/a.jsonl"]
+    (tmp_path / "out.jsonl").write_text("{}")
+    (tmp_path / "in/b.jsonl").symlink_to(tmp_path / "out.jsonl")
+    with pytest.raises(Exception, match="symbolic link"):
+        src.list_inventory(spark, str(tmp_path / "in")).collect()
+    row = spark.createDataFrame([([1, 2, 3],)], "t array<int>").select(scalar.shift_labels(F.col("t"), 4).alias("s")).first().s
+    assert (list(row.inputs), list(row.labels), row.weight) == ([1, 2], [2, 3], 0.125)
+    (tmp_path / "t.json").write_text("{}")
+    with pytest.raises(Exception, match="recipe pins"):
+        corpus.tokenize_with(spark.createDataFrame([("x",)], "text string"), str(tmp_path / "t.json"), sha256="0" * 64).collect()
+    one = jobs.Recipe(tokenizer=str(tmp_path / "t.json"), eos=2).sha256
+    (tmp_path / "t.json").write_text("[]")
+    assert jobs.Recipe(tokenizer=str(tmp_path / "t.json"), eos=2).sha256 != one
+
+
 def test_rechunking(spark, tmp_path):
     tokens = np.arange(1000, dtype="<i4")
     files = []

@@ -120,7 +120,7 @@ def test_leases_and_client_stats_stream(spark, tmp_path):
     got = run_stream(spark, jobs.stream_client_stats, rows, schema, tmp_path / "c", "complete")
     assert sorted(map(tuple, got)) == sorted(map(tuple, telemetry.client_stats(spark.createDataFrame(rows, schema)).collect()))
     leases = [("a", k, "r", ts(k)) for k in range(5)] + [("z", 0, "r", ts(9999))]
-    receipts = [("a", 1, "r", ts(5)), ("a", 3, "r", ts(900)), ("z", 0, "r", ts(9999))]
+    receipts = [("a", 1, "r", ts(5)), ("a", 1, "r", ts(6)), ("a", 3, "r", ts(900)), ("z", 0, "r", ts(9999))]
     schema = "origin string, seq long, receiver string, ts timestamp"
     for name, part in (("leases", leases), ("receipts", receipts)):
         for k in range(2):
@@ -129,7 +129,9 @@ def test_leases_and_client_stats_stream(spark, tmp_path):
     query = jobs.stream_leases(read("leases"), read("receipts")).writeStream.format("memory").queryName("leases_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     query.stop()
-    got = {(r.origin, r.seq): r.state for r in spark.table("leases_out").collect() if r.origin == "a"}
+    rows = [r for r in spark.table("leases_out").collect() if r.origin == "a"]
+    got = {(r.origin, r.seq): r.state for r in rows}
+    assert len(rows) == len(got)
     assert got[("a", 1)] == "settled" and set(got.items()) <= {(("a", k), "settled" if k == 1 else "expired") for k in range(5)}
 
 
