@@ -7,6 +7,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +176,20 @@ def shift_labels(tokens: Column, batch: int | None = None) -> Column:
     return F.struct(F.slice(tokens, F.lit(1), n).alias("inputs"), F.slice(tokens, F.lit(2), n).alias("labels"), *weight)
 
 
+def token_bytes(tokens: Column, shift: int = 0) -> Column:
+    """The low byte of each token of an array less ``shift``, as one value (null: null); by Arrow."""
+
+    @F.arrow_udf(T.BinaryType())
+    def low_bytes(tokens: pa.Array) -> pa.Array:
+        filled = pc.fill_null(tokens, pa.scalar([], tokens.type))
+        low = (filled.flatten().to_numpy(zero_copy_only=False) - shift).astype(np.uint8)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(filled).to_numpy())]).astype(np.int32)
+        whole = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+        return pc.if_else(pc.is_valid(tokens), whole, None)
+
+    return low_bytes(tokens)
+
+
 def ttl_seconds(expiration: Column, now: Column) -> Column:
     return F.greatest(F.lit(0.0), (F.unix_micros(expiration) - F.unix_micros(now)) / 1e6)
 

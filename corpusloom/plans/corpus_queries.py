@@ -273,8 +273,9 @@ def q_framed_tokens(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.tokenize_bytes(documents(spark, d).select("doc_id", "text"))
     rows = corpus.frame_tokens(corpus.assert_token_range(corpus.drop_docs_with_eos(rows, EOS), scalar.BYTE_CAP), scalar.BYTE_BOS, scalar.BYTE_EOS)
     pair = scalar.shift_labels(F.col("tokens"))
-    inner = F.transform(F.slice("tokens", F.lit(2), F.size("tokens") - 2), lambda t: F.lpad(F.hex(t - scalar.BYTE_SHIFT), 2, "0"))
-    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first"), F.element_at("tokens", -1).alias("last"), F.size(pair["inputs"]).cast("long").alias("n_inputs"), F.element_at(pair["labels"], -1).cast("long").alias("last_label"), F.sha2(F.array_join(inner, ""), 256).alias("tokens_sha256"))
+    # Bytes come back from the tokens; framing tokens are taken off.
+    inner = F.hex(scalar.token_bytes(F.slice("tokens", F.lit(2), F.size("tokens") - 2), scalar.BYTE_SHIFT))
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.get("tokens", F.lit(0)).alias("first"), F.element_at("tokens", -1).alias("last"), F.size(pair["inputs"]).cast("long").alias("n_inputs"), F.element_at(pair["labels"], -1).cast("long").alias("last_label"), F.sha2(inner, 256).alias("tokens_sha256"))
 
 
 def q_global_order(spark: SparkSession, d: str) -> DataFrame:

@@ -334,6 +334,35 @@ FAMILY_LINES: tuple[tuple[str, str, tuple[tuple[str, str, float], ...]], ...] =
     ("T27", "INFO - AR chunk gap stats sender 1: max=2.5s mean=0.5s n=3", (("gauge", "ar_chunk_gap_max", 2.5), ("gauge", "ar_chunk_gap_mean", 0.5))),
     ("T28", "INFO - Beginning optimizer step #41", (("gauge", "step", 41), ("event", "ar_begin", 41))),
     ("T28", "INFO - Transitioning to epoch 42", (("event", "ar_transition", 42),)),
+    ("T1", "INFO - Read stream closed early from sender 4", (("error", "error_ar_stream_closed_early", 1),)),
+    ("T1", "INFO - [FAILURE SIM] Case 3: lost connection to peer 5", (("error", "failure_sim_ar", 1),)),
+    ("T1", "ERROR - something else", (("error", "error_unknown", 1),)),
+    ("T2", "INFO - Pre Avg total_grad: 0.5", (("gauge", "pre_avg_grad", 0.5),)),
+    ("T2", "INFO - Error norm val: 0.25", (("gauge", "error_psgd_grad", 0.25),)),
+    ("T2", "INFO - Error pre-clip norm val: 0.75", (("gauge", "error_pre_psgd_grad", 0.75),)),
+    ("T2", "INFO - Prepsgd norm val: 3.5", (("gauge", "pre_psgd_grad", 3.5),)),
+    ("T2", "INFO - Postpsgd norm val: 4.5", (("gauge", "post_psgd_grad", 4.5),)),
+    ("T2", "INFO - Pre step total_grad: 5.5", (("gauge", "pre_step_grad", 5.5),)),
+    ("T3", "INFO - train loss = 2.5, num batches process = 64, internal trainer step = 12", (("gauge", "head_batches", 64), ("gauge", "head_loss", 2.5))),
+    ("T3", "INFO - train loss = 1.25", (("gauge", "head_loss", 1.25),)),
+    ("T6", "INFO - Allocated GPU mem is 0.5", (("gauge", "gpu_alloc", 0.5),)),
+    ("T6", "INFO - Reserved GPU mem is 0.75", (("gauge", "gpu_reserve", 0.75),)),
+    ("T6", "INFO - GPU utilization is 87.5", (("gauge", "gpu_util", 87.5),)),
+    ("T6", "INFO - Total RAM mem is 512Gb", (("gauge", "ram_total", 512),)),
+    ("T6", "INFO - Used RAM mem is 0.25", (("gauge", "ram_usage", 0.25),)),
+    ("T7", "INFO - Download Speed: 90.5 Mbps", (("gauge", "download_speed", 90.5),)),
+    ("T7", "INFO - Upload Speed: 45.25 Mbps", (("gauge", "upload_speed", 45.25),)),
+    ("T11", "INFO - TCP retransmit: 5 of 1000 segs retransmitted (0.500%) cc=bbr", (("gauge", "tcp_retrans_segs", 5), ("gauge", "tcp_out_segs", 1000), ("gauge", "tcp_retrans_pct", 0.5), ("gauge", "cc_default_bbr", 1))),
+    ("T21", "INFO - body1.0.7_forward: 28 batches (0.47 s/batch), 56 examples (0.93 s/example), avg batch size 2.00, avg batch await time 12ms", (("gauge", "forward_batches", 28), ("gauge", "avg_batch_size", 2), ("duration", "batch_await_time", 12))),
+    ("T24", "INFO - Averaging parameters failed with TimeoutError()", (("gauge", "state_avg_timeout", 1),)),
+    ("T24", "INFO - Averaging gradients failed with AllreduceException('Averaging step failed: could not find a group')", (("gauge", "grad_avg_groupsize", 0),)),
+    ("T25", "INFO - Reducer: received 12.5% of data", (("gauge", "reducer_pcnt", 12.5),)),
+    ("T26", "INFO - Banned sender 4: reason=slow", (("error", "ar_sender_banned_slow", 1),)),
+    ("T26", "INFO - Rejected request from 4: reason=late", (("error", "ar_request_rejected_late", 1),)),
+    ("T27", "INFO - AR barrier wait 1.25s on part 3 sender 4", (("duration", "ar_barrier_wait", 1.25),)),
+    ("T27", "INFO - AR queue stats sender 3: inbound max=7/9 mean=2.5", (("gauge", "ar_in_qsize_max", 7), ("gauge", "ar_in_qsize_mean", 2.5))),
+    ("T28", "INFO - All-reduce round started at local epoch #3", (("event", "state_ar_start", 3),)),
+    ("T28", "INFO - All-reduce round finished at local epoch #4", (("event", "state_ar_end", 4),)),
 )
 
 
