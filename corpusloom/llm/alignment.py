@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import stored
 
 #: Bytes of text that are aligned together; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Characters that are encoded in one call.
 CHUNK = 1 << 15
 #: Distances from the middle that are tried for all intervals of a level at once.
