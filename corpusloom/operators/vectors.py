@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,23 +63,30 @@ def split_parts(df: DataFrame, size: int, vec: str = "embedding") -> DataFrame:
     return df.where(F.size(vec) > 0).select(*[c for c in df.columns if c != vec], F.posexplode(pieces).alias("part_index", "part"))
 
 
-def assign_parts(parts: DataFrame, owners: DataFrame, by: list[str]) -> DataFrame:
-    """Each part goes to the owner whose range of elements it overlaps most, the first on ties.
+def assign_parts(parts: DataFrame, owners: DataFrame, by: list[str], order: Sequence[str] = ("part_index",)) -> DataFrame:
+    """Each part goes to the owner whose range of elements it overlaps most, the first on ties: ``parts`` with ``owner``.
 
-    ``parts``: ``part_index, n``; ``owners``: ``owner, fraction``.  Ranges end at the floor of the cumulative fraction
-    of all elements, the last at the end.  A part meets only owners of its own group.
+    ``parts``: ``n`` and the columns of ``order``; ``owners``: ``owner, fraction``.  Ranges end at the floor of the cumulative
+    fraction of all elements, the last at the end.  A part meets only owners of its own group, as one array: rows are sorted
+    once and not multiplied.
     """
-    along = Window.partitionBy(*by).orderBy("part_index")
-    p = parts.withColumn("p_end", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.withColumns({"p_start": F.col("p_end") - F.col("n"), "total": F.sum("n").over(Window.partitionBy(*by))})
-    o = owners.withColumn("_c", F.sum("fraction").over(Window.partitionBy(*by).orderBy("owner").rowsBetween(Window.unboundedPreceding, 0)))
-    o = o.withColumn("_last", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("owner").desc())) == 1)
-    o = o.withColumn("_before", F.coalesce(F.lag("_c").over(Window.partitionBy(*by).orderBy("owner")), F.lit(0.0)))
-    met = p.join(o, by)
-    low = F.greatest("p_start", F.floor(F.col("_before") * F.col("total") + 1e-9))
-    high = F.least("p_end", F.when(F.col("_last"), F.col("total")).otherwise(F.floor(F.col("_c") * F.col("total") + 1e-9)))
-    best = met.withColumn("_overlap", F.greatest(F.lit(0), high - low))
-    return best.groupBy(*by, "part_index", "n").agg(F.min_by("owner", F.struct(-F.col("_overlap"), "owner")).alias("owner"))
+    along = Window.partitionBy(*by).orderBy(*order)
+    # One order for both frames, so that they share a sort and the buffer of a group.
+    p = parts.withColumns({"_end": F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    listed = Window.partitionBy(*by).orderBy("owner")
+    upto = F.sum("fraction").over(listed.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("fraction").over(listed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    last = F.row_number().over(listed) == F.count(F.lit(1)).over(listed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    o = owners.withColumns({"_c": upto, "_before": before, "_last": last})
+    ranges = o.groupBy(*by).agg(F.collect_list(F.struct("owner", "_before", "_c", "_last")).alias("_ranges"))
+
+    def ranked(r: Column) -> Column:
+        low = F.greatest(F.col("_end") - F.col("n"), F.floor(r["_before"] * F.col("_total") + 1e-9))
+        high = F.least("_end", F.when(r["_last"], F.col("_total")).otherwise(F.floor(r["_c"] * F.col("_total") + 1e-9)))
+        return F.struct((-F.greatest(F.lit(0), high - low)).alias("less"), r["owner"].alias("owner"))
+
+    best = F.array_min(F.transform("_ranges", ranked))["owner"]
+    return p.join(ranges, by).select(*[F.col(c) for c in parts.columns], best.alias("owner"))
 
 
 def apportion(scores: DataFrame, total: int, by: list[str], item: str, score: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import vectors
 from corpusloom.plans.jobs import average_vectors_by_parts
-from corpusloom.session import table
+from corpusloom.session import dealt, table
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -48,10 +48,13 @@ def q_split_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_assign_parts(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "lineitem").select(F.expr("l_orderkey div 100").alias("job"), F.col("l_quantity").cast("long").alias("n"), F.row_number().over(vectors.Window.partitionBy(F.expr("l_orderkey div 100")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("part_index"))
+    li, order = table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    parts = li.select(F.expr("l_orderkey div 100").alias("job"), F.col("l_quantity").cast("long").alias("n"), *order)
     jobs = parts.select("job").distinct()
     owners = jobs.select("job", F.explode(F.array(*[F.struct(F.lit(o).alias("owner"), F.lit(f).alias("fraction")) for o, f in (("a", 0.5), ("b", 0.25), ("c", 0.25))])).alias("o")).select("job", "o.*")
-    return vectors.assign_parts(parts, owners, ["job"]).groupBy("job", "owner").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("total"))
+    # The count is read off the footers; a task's share of the rows does not grow with them.
+    owned = vectors.assign_parts(dealt(parts, li.count(), 250_000, "job"), owners, ["job"], order)
+    return owned.groupBy("job", "owner").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("total"))
 
 
 def q_apportion(spark: SparkSession, d: str) -> DataFrame:

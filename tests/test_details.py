@@ -1,14 +1,16 @@
 """Folds, records of two kinds, long vectors, averaging by parts, log records of several lines, and whole fleet jobs."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom import session
 from corpusloom.functions import scalar
 from corpusloom.operators import corpus, records, samples, telemetry, vectors
-from corpusloom.plans import jobs
+from corpusloom.plans import jobs, vector_queries
 from corpusloom.sources import documents as src
 from test_telemetry import plan_of, ts
 
@@ -247,3 +249,26 @@ def test_rechunking(spark, tmp_path):
     (tmp_path / "0300.bin").write_bytes((tokens[300:401] + 5).astype("<i4").tobytes())
     with pytest.raises(ValueError, match="overlap"):
         jobs.rechunk_corpus(spark, inventory, 100, 64, f"file://{tmp_path}/other")
+
+
+def test_parts_meet_their_owners_unmultiplied(spark, data_dir):
+    """Parts in an order of several columns go where a plain loop sends them; no row per part and owner is sorted or shuffled."""
+    rng = random.Random(5)
+    parts = [(g, a, b, rng.randint(0, 9)) for g in "xyz" for a in range(6) for b in range(3)]
+    owners = {"x": [("a", 0.5), ("b", 0.25), ("c", 0.25)], "y": [("b", 0.1), ("a", 0.3), ("d", 0.6)]}
+    want = []
+    for g, shares in owners.items():
+        own, shares = sorted(p for p in parts if p[0] == g), sorted(shares)
+        total, start, ranges, share = sum(p[3] for p in own), 0, [], 0.0
+        for i, (o, f) in enumerate(shares):
+            low, share = math.floor(share * total + 1e-9), share + f
+            ranges.append((o, low, total if i == len(shares) - 1 else math.floor(share * total + 1e-9)))
+        for p in own:
+            want.append((*p, min((-max(0, min(start + p[3], high) - max(start, low)), o) for o, low, high in ranges)[1]))
+            start += p[3]
+    given = spark.createDataFrame([(g, o, f) for g, s in owners.items() for o, f in s], "g string, owner string, fraction double")
+    out = vectors.assign_parts(spark.createDataFrame(rng.sample(parts, len(parts)), "g string, a long, b long, n long"), given, ["g"], ["a", "b"])
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert session.dealt(spark.range(4_000_000), 4_000_000, 250_000, "id").rdd.getNumPartitions() == 16
+    plan = plan_of(vector_queries.q_assign_parts(spark, data_dir))
+    assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
