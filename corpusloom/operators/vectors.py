@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -188,13 +188,21 @@ def dequantize(codes: DataFrame, book: DataFrame, by: list[str]) -> DataFrame:
     return codes.join(book.select(*by, "code", F.col("centre").alias("restored")), [*by, "code"])
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: a lambda takes it as a variable, where it would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scale_meanstd(vector: Column, eps: float = 1e-6) -> Column:
     """Subtract the mean, divide by norm/sqrt(n), at least ``eps``."""
-    n = F.size(vector)
+    n = F.greatest(F.size(vector), F.lit(1))  # an empty vector stays empty
     mean = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    centred = F.transform(vector, lambda x: x.cast("double") - mean)
-    std = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x)) / F.sqrt(n)
-    return F.transform(centred, lambda x: x / F.greatest(std, F.lit(eps)))
+
+    def scaled(centred: Column) -> Column:
+        std = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x)) / F.sqrt(n)
+        return _with(F.greatest(std, F.lit(eps)), lambda d: F.transform(centred, lambda x: x / d))
+
+    return _with(mean, lambda m: _with(F.transform(vector, lambda x: x.cast("double") - m), scaled))
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
