@@ -1,10 +1,12 @@
 """Folds, records of two kinds, long vectors, averaging by parts, log records of several lines, and whole fleet jobs."""
 
+import hashlib
 import math
 import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +287,18 @@ def test_scaling_takes_time_in_proportion(spark):
     wide = x.astype(np.float64)
     assert np.allclose(out[0], (wide - wide.mean()) / wide.std(), rtol=0, atol=1e-9)
     assert out[1] == [] and out[2] is None and out[3] == [0.0, 0.0]
+
+
+def test_tokens_are_made_by_pieces(monkeypatch):
+    """A batch of any size leaves in pieces of few bytes beyond their first text, in order, nulls and empty texts in their places."""
+    monkeypatch.setattr(scalar, "PIECE", 100)
+    rng = random.Random(9)
+    texts = [None, "", *("é" * rng.choice((0, 3, 20, 30, 400)) for _ in range(300)), None]
+    batches = [pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string()).slice(1), pa.array([], pa.string()), pa.array([None], pa.string())]
+    want = [None if t is None else [b + 16 for b in t.encode()] for t in [*texts, *texts, None]]
+    out = list(scalar._byte_tokens.func(iter(batches)))
+    assert [x for piece in out for x in piece.to_pylist()] == want
+    assert all(sum(n or 0 for n in piece.value_lengths().to_pylist()[1:]) < 100 for piece in out) and len(out) > 100
+    hashed = [x for piece in scalar._hashed_byte_tokens.func(iter(batches)) for x in piece.to_pylist()]
+    assert [h["tokens"] for h in hashed] == want
+    assert [h["sha256"] for h in hashed] == [None if w is None else hashlib.sha256(bytes(x - 16 for x in w).hex().upper().encode()).hexdigest() for w in want]
