@@ -126,15 +126,14 @@ def settled_apart(labelled: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of buckets whose nodes are not all in one component, with their present component."""
     now = labelled.select("key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left")
     now = stored(now.select("key", "doc_id", F.coalesce("root", "doc_id").alias("comp")))
-    parts = [F.min("comp").alias("_p"), F.max("comp").alias("_q")]
-    apart = with_group_values(now, ["key"], F.xxhash64("doc_id"), parts, [F.min("_p").alias("_a"), F.max("_q").alias("_b")], "_a <> _b")
+    apart = with_group_values(now, ["key"], F.xxhash64("doc_id"), [], [F.min("comp").alias("_a"), F.max("comp").alias("_b")], "_a <> _b")
     return stored(apart.select("key", "doc_id", "comp"))
 
 
 def star_pairs(labelled: DataFrame, order: F.Column) -> DataFrame:
     """Each node with the first node of its bucket by ``order``, where that is of another component."""
-    first = F.min(F.struct(order.alias("o"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("_p")
-    met = with_group_values(labelled, ["key"], F.xxhash64("doc_id"), [first], [F.min("_p").alias("_l")]).where("comp <> _l.c")
+    first = F.min(F.struct(order.alias("o"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))).alias("_l")
+    met = with_group_values(labelled, ["key"], F.xxhash64("doc_id"), [], [first]).where("comp <> _l.c")
     return met.select(F.least("doc_id", "_l.id").alias("a"), F.greatest("doc_id", "_l.id").alias("b")).distinct()
 
 
@@ -212,18 +211,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     nodes = sketch.where("n_shingles > 0").join(same.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi")
     keyed = nodes.select("doc_id", F.explode("bands").alias("key"))
     # Rows of buckets with more than one node: the only rows that later rounds read, and the only sets they need.
-    parts = [F.min("doc_id").alias("_p"), F.max("doc_id").alias("_q")]
-    crowded = with_group_values(keyed, ["key"], F.xxhash64("doc_id"), parts, [F.min("_p").alias("_a"), F.max("_q").alias("_b")], "_a <> _b")
+    crowded = with_group_values(keyed, ["key"], F.xxhash64("doc_id"), [], [F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")], "_a <> _b")
     labelled = stored(crowded.select("key", "doc_id").distinct()).withColumn("comp", F.col("doc_id"))
     met = stored(labelled.select(F.col("doc_id").alias("_id")).distinct())
     sets = stored(shingle_sets(slim.join(met, F.col("doc_id") == F.col("_id"), "left_semi"), width))
     nodes = stored(nodes.join(met, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "n_shingles", "regs"))
 
-    tested = links = roots = None
+    tested = roots = None
+    joined = False  # whether the last round joined anything
     # Stars by one order for all buckets, so a group tends to one leader; then by another for each bucket; then all pairs
     # that could still be linked.
     for round_no in range(3):
-        if roots is not None:
+        if joined:
             labelled = settled_apart(labelled, roots)
             if labelled.isEmpty():
                 break
@@ -234,14 +233,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs)
+        joined = False
         if pairs.isEmpty():
-            if roots is None:
+            if not round_no:
                 break
             continue
         new = stored(verified(stored(likely(pairs, nodes, least, m)), sets, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        roots = connected_components(links)
+        joined = not new.isEmpty()
+        if joined:
+            # What is joined already is stars, so few steps are left.
+            roots = connected_components(new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return _labelled(sketch, same, roots)
 
 

@@ -121,3 +121,31 @@ def test_connected_components(spark):
     want = {(x, find(x)) for x in parent if find(x) != x}
     assert set(brute.rows(connected_components(spark.createDataFrame(edges, "a long, b long")))) == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_need_no_step_to_see_the_end(spark, monkeypatch):
+    """Tables written: the edges, and one for each step; stars need none, and what a step makes stars needs no other."""
+    from corpusloom.plans import components
+
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df: written.append(1) or df.checkpoint())
+    stars = [(5, 5 + i) for i in range(1, 40)] + [(100, 101)]
+    leader = [(min(i, 20), max(i, 20)) for i in range(40) if i != 20]
+    for edges, steps, want in ((stars, 0, {(b, a) for a, b in stars}), (leader, 1, {(i, 0) for i in range(1, 40)}), ([], 0, set())):
+        written.clear()
+        assert set(brute.rows(components.connected_components(spark.createDataFrame(edges, "a long, b long")))) == want
+        assert len(written) == 1 + steps
+
+
+def test_group_values_without_parts(spark):
+    """The same values with one shuffle less, though a group holds most rows."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.plans.groups import with_group_values
+
+    rows = spark.createDataFrame([(i % 7 if i % 10 == 0 else 99, i) for i in range(1000)], "k long, v long")
+    parts = with_group_values(rows, ["k"], F.xxhash64("v"), [F.min("v").alias("_p")], [F.min("_p").alias("m")])
+    direct = with_group_values(rows, ["k"], F.xxhash64("v"), [], [F.min("v").alias("m")])
+    shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (parts, direct)]
+    assert shuffles[1] == shuffles[0] - 1
+    assert sorted(brute.rows(direct)) == sorted(brute.rows(parts)) and direct.count() == 1000
